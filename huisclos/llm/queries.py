@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import contaminated_pairs
+from .mixing import mix_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import simhash_duplicates
+from .toxicity import toxicity_scores
 from .url_filters import judge_urls
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -17,10 +20,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "keep")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -29,12 +41,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_toxicity": op2_toxicity,
         "op4_secret_scan": op4_secret_scan,
+        "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
+        "op9_decontamination": op9_decontamination,
     }
 
 
