@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import top_neighbours
+from .brown import brown_scores
 from .common import read_table
 from .decontaminate import contaminated_pairs
 from .mixing import mix_documents
@@ -41,10 +43,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -53,7 +63,9 @@ def queries() -> dict:
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
         "op7_sharding": op7_sharding,
+        "op8_brown": op8_brown,
         "op9_decontamination": op9_decontamination,
+        "op10_ann": op10_ann,
     }
 
 
