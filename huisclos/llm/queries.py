@@ -12,6 +12,7 @@ from .mixing import mix_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import simhash_duplicates
+from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .url_filters import judge_urls
 
@@ -26,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_toxicity": op2_toxicity,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
