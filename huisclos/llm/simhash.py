@@ -26,6 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Written, partitions
 from .components import connected_components
@@ -180,15 +181,16 @@ def _edges_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(linked(np.concatenate(open_fps)), columns=["a", "b"], dtype=np.int64)
 
 
-def fingerprint_documents(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) over whole texts."""
+def fingerprint_documents(docs: DataFrame, size: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` plus fp, over whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(t, size) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            yield pdf[list(carry)].assign(fp=fps.view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    kept = [docs.schema[c] for c in carry]
+    return docs.select(*carry, "text").mapInPandas(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def fingerprint_components(fps: DataFrame) -> DataFrame:
