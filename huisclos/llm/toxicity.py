@@ -7,7 +7,7 @@ windows of ``WINDOW`` words at a stride of half a window are scored, to the last
 a document's score is that of its worst window. In training a document's windows are joined by
 noisy-or, so that only document labels are needed.
 
-The network is fitted on the driver on a sample of labelled rows that is bounded by
+The network is fitted in one task on a sample of labelled rows that is bounded by
 ``max_toxic``, ``max_clean`` and ``max_chars`` characters a text (whole texts, shorter ones only; if
 fewer than ``few`` toxic ones are that short, the limit is ten times as high). Weights (about 3 MB, whatever
 the input) go to the executors, where texts are scored in blocks of a few MB.
@@ -20,9 +20,11 @@ Extra columns are kept by ``score_texts``, but for one named like its result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -260,9 +262,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 1800, max_chars: int = 4000, few: int = 200) -> Network | None:
+    """Training runs in one task over the bounded sample, with one thread; lost executors only repeat it."""
     sample = labelled_sample(docs, labels, max_toxic, max_clean, max_chars, few)
-    values = {y for _, y in sample}
-    return train([t for t, _ in sample], [y for _, y in sample]) if values == {0, 1} else None
+    if {y for _, y in sample} != {0, 1}:
+        return None
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("n")
+        yield pd.DataFrame({"network": [pickle.dumps(train(list(rows["text"]), [int(y) for y in rows["toxic"]]).w)]})
+
+    rows = docs.sparkSession.createDataFrame([(n, t, y) for n, (t, y) in enumerate(sample)], "n int, text string, toxic int")
+    net = Network()
+    net.w = pickle.loads(rows.coalesce(1).mapInPandas(fit, "network binary").first()["network"])
+    return net
 
 
 def score_texts(docs: DataFrame, net: Network | None, column: str = "toxicity") -> DataFrame:
