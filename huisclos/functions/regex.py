@@ -6,6 +6,8 @@ so a match starts after all gaps up to it and all matches before it; ``length``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,18 +19,26 @@ LEFT, RIGHT = rf"(?<!{WORD})", rf"(?!{WORD})"
 BORDER = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def matches(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start int, end int, value string>>`` of the non-overlapping matches, left to right."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def total(parts: Column, n: Column) -> Column:
         return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def place(value: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(hits, i)
-        return F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
+    def places(p: Column) -> Column:
+        def place(value: Column, i: Column) -> Column:
+            start = total(p["gaps"], i + 1) + total(p["hits"], i)
+            return let(start, lambda at: F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value")))
 
-    return F.transform(hits, place)
+        return F.transform(p["hits"], place)
+
+    return let(F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hits")), places)
 
 
 def rebuild(text: Column, spans: Column) -> Column:
@@ -44,8 +54,9 @@ def rebuild(text: Column, spans: Column) -> Column:
 
 def context_before(text: Column, start: Column) -> Column:
     """The line up to ``start`` and the line before it, which a blank line cuts off."""
-    prefix = F.substring(text, F.lit(1), start)
-    lines = F.split(prefix, "\n", -1)
-    current, previous = F.element_at(lines, -1), F.try_element_at(lines, F.lit(-2))
-    blank = previous.isNull() | previous.rlike(r"^(?U)\s*$")
-    return F.when(blank, current).otherwise(F.concat(previous, F.lit("\n"), current))
+
+    def window(lines: Column) -> Column:
+        current, previous = F.element_at(lines, -1), F.try_element_at(lines, F.lit(-2))
+        return F.when(previous.isNull() | previous.rlike(r"^(?U)\s*$"), current).otherwise(F.concat(previous, F.lit("\n"), current))
+
+    return let(F.split(F.substring(text, F.lit(1), start), "\n", -1), window)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import rank
-from ..functions.regex import BORDER, LEFT, RIGHT, context_before, matches
+from ..functions.regex import BORDER, LEFT, RIGHT, context_before, let, matches
 from ..functions.validators import iban_valid, luhn_valid, nir_valid, without_separators
 
 SPAN = "array<struct<type:string,start:int,end:int,score:double,value:string>>"
@@ -37,32 +37,30 @@ class Rule:
 
     def candidates(self, text: Column) -> Column:
         found = matches(text, self.pattern)
-        if self.head or self.tail:
-            part = self.head or self.tail
+        if part := self.head or self.tail:
 
             def cut(m: Column) -> Column:
-                value = F.regexp_extract(m["value"], part, 1)
-                start = m["start"] if self.head else m["end"] - F.length(value)
-                return F.struct(start.alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
+                def placed(value: Column) -> Column:
+                    start = m["start"] if self.head else m["end"] - F.length(value)
+                    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+                return let(F.regexp_extract(m["value"], part, 1), placed)
 
             found = F.transform(found, cut)
 
         def seen(pattern: str, m: Column) -> Column:
             return context_before(text, m["start"]).rlike(pattern)
 
-        def span(kind: str, score: float) -> Callable[[Column], Column]:
-            return lambda m: F.struct(F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"), F.lit(score).alias("score"), m["value"].alias("value"))
+        def judged(m: Column) -> Column:
+            sure = F.lit(True) if self.valid is None else self.valid(m["value"])
+            kind = F.when(sure, self.type if self.context is None else F.when(seen(self.context, m), self.type))
+            score = F.when(sure, self.score)
+            if self.suspect:
+                kind = kind.otherwise(F.when(seen(self.suspect_context, m), self.suspect))
+                score = score.otherwise(self.suspect_score)
+            return F.struct(kind.alias("type"), m["start"].alias("start"), m["end"].alias("end"), score.alias("score"), m["value"].alias("value"))
 
-        sure = found
-        if self.valid:
-            sure = F.filter(sure, lambda m: self.valid(m["value"]))
-        if self.context:
-            sure = F.filter(sure, lambda m: seen(self.context, m))
-        out = F.transform(sure, span(self.type, self.score))
-        if self.suspect:
-            doubtful = F.filter(found, lambda m: ~self.valid(m["value"]) & seen(self.suspect_context, m))
-            out = F.concat(out, F.transform(doubtful, span(self.suspect, self.suspect_score)))
-        return out
+        return F.filter(F.transform(found, judged), lambda s: s["type"].isNotNull())
 
 
 def _luhn(value: Column) -> Column:
@@ -156,9 +154,8 @@ def merge_adjacent(spans: Column) -> Column:
 
 def detect(docs: DataFrame, text: str = "text", engines: Iterable[Engine] = (), column: str = "spans") -> DataFrame:
     """``docs`` plus ``column``: resolved and merged spans. Null texts have none."""
-    found = docs.withColumn(column, F.coalesce(candidates(F.col(text), engines), F.array().cast(SPAN)))
-    resolved = found.withColumn(column, F.when(F.size(column) > 0, resolve_overlaps(F.col(column))).otherwise(F.col(column)))
-    return resolved.withColumn(column, merge_adjacent(F.col(column)))
+    found = F.coalesce(candidates(F.col(text), engines), F.array().cast(SPAN))
+    return docs.withColumn(column, let(found, lambda c: F.when(F.size(c) > 1, merge_adjacent(resolve_overlaps(c))).otherwise(c)))
 
 
 def gazetteer_engine(names: dict[str, list[str]], score: float = 0.9) -> Engine:

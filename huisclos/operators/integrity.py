@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS
-from ..functions.regex import BORDER, matches, rebuild
+from ..functions.regex import BORDER, let, matches, rebuild
 
 #: Letters that fold to plain capitals by dropping their accent.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -49,18 +49,27 @@ def _restore(text: Column, known: Column, pattern: str) -> Column:
 
     def fix(m: Column) -> Column:
         kind, number = folded(F.regexp_extract(m["value"], pattern, 1)), _number(m["value"], pattern)
-        exact = canonical(kind, number)
-        near = F.filter(known, lambda k: (_number(k, CANONICAL) == number) & _within_one(F.regexp_extract(k, CANONICAL, 1), kind))
-        value = F.when(F.array_contains(known, exact), exact).when(F.size(near) == 1, F.element_at(near, 1)).otherwise(m["value"])
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("replacement"))
+
+        def chosen(t: Column) -> Column:
+            near = F.filter(known, lambda k: (_number(k, CANONICAL) == t["number"]) & _within_one(F.regexp_extract(k, CANONICAL, 1), t["kind"]))
+            single = let(near, lambda n: F.when(F.size(n) == 1, F.try_element_at(n, F.lit(1))))
+            return let(canonical(t["kind"], t["number"]), lambda exact: F.when(F.array_contains(known, exact), exact).otherwise(F.coalesce(single, m["value"])))
+
+        token = F.struct(kind.alias("kind"), number.alias("number"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), let(token, chosen).alias("replacement"))
 
     return rebuild(text, F.transform(matches(text, pattern), fix))
 
 
 def restore_tokens(text: Column, known: Column) -> Column:
     """``normalize``, then altered tokens with and without brackets. ``known``: the dossier's placeholders."""
-    known = F.filter(F.coalesce(known, F.array().cast("array<string>")), lambda k: k.rlike(CANONICAL))
-    return F.when(F.size(known) == 0, normalize(text)).otherwise(_restore(_restore(normalize(text), known, BRACKETED), known, BARE))
+    numbered = F.filter(F.coalesce(known, F.array().cast("array<string>")), lambda k: k.rlike(CANONICAL))
+
+    def steps(k: Column) -> Column:
+        repaired = let(normalize(text), lambda t: let(_restore(t, k, BRACKETED), lambda u: _restore(u, k, BARE)))
+        return F.when(F.size(k) == 0, normalize(text)).otherwise(repaired)
+
+    return let(numbered, steps)
 
 
 def suspects(text: Column, known: Column, legacy_nearest_type: bool = False) -> Column:
@@ -71,25 +80,34 @@ def suspects(text: Column, known: Column, legacy_nearest_type: bool = False) ->
     """
     plausible = F.array_union(F.array(*map(F.lit, LABELS)), F.transform(known, lambda k: F.regexp_extract(k, CANONICAL, 1)))
 
-    def named(pattern: str) -> Column:
+    def named(pattern: str, types: Column) -> Column:
         def name(m: Column) -> Column:
-            kind, number = folded(F.regexp_extract(m["value"], pattern, 1)), _number(m["value"], pattern)
-            near = F.array_min(F.filter(plausible, lambda p: _within_one(p, kind)))
-            chosen = near if legacy_nearest_type else F.when(F.array_contains(plausible, kind), kind).otherwise(near)
-            return canonical(chosen, number)
+            def typed(kind: Column) -> Column:
+                near = F.array_min(F.filter(types, lambda p: _within_one(p, kind)))
+                chosen = near if legacy_nearest_type else F.when(F.array_contains(types, kind), kind).otherwise(near)
+                return canonical(chosen, _number(m["value"], pattern))
+
+            return let(folded(F.regexp_extract(m["value"], pattern, 1)), typed)
 
         return F.transform(matches(text, pattern), name)
 
-    found = F.array_distinct(F.concat(named(BRACKETED), named(BARE)))
+    found = let(plausible, lambda types: F.array_distinct(F.concat(named(BRACKETED, types), named(BARE, types))))
     return F.filter(found, lambda t: t.isNotNull() & ~F.array_contains(known, t))
 
 
 def check(text: Column, sent: Column, known: Column, legacy_nearest_type: bool = False) -> Column:
     """``struct<ok, unknown, missing, action>``: unknown placeholders block, missing ones only inform."""
     none = F.array().cast("array<string>")
-    sent, known = F.coalesce(sent, none), F.coalesce(known, none)
-    present = F.array_distinct(F.transform(matches(text, LOOSE), lambda m: canonical(F.regexp_extract(m["value"], LOOSE, 1), _number(m["value"], LOOSE))))
-    unknown = F.array_sort(F.array_union(F.array_except(present, known), suspects(text, known, legacy_nearest_type)))
-    missing = F.array_sort(F.array_except(sent, present))
-    ok = F.size(unknown) == 0
-    return F.struct(ok.alias("ok"), unknown.alias("unknown"), missing.alias("missing"), F.when(ok, "ok").otherwise("review_required").alias("action"))
+    given = F.struct(text.alias("text"), F.coalesce(sent, none).alias("sent"), F.coalesce(known, none).alias("known"))
+
+    def report(g: Column) -> Column:
+        present = F.array_distinct(F.transform(matches(g["text"], LOOSE), lambda m: canonical(F.regexp_extract(m["value"], LOOSE, 1), _number(m["value"], LOOSE))))
+
+        def compared(p: Column) -> Column:
+            unknown = F.array_sort(F.array_union(F.array_except(p, g["known"]), suspects(g["text"], g["known"], legacy_nearest_type)))
+            missing = F.array_sort(F.array_except(g["sent"], p))
+            return let(unknown, lambda u: F.struct((F.size(u) == 0).alias("ok"), u.alias("unknown"), missing.alias("missing"), F.when(F.size(u) == 0, "ok").otherwise("review_required").alias("action")))
+
+        return let(present, compared)
+
+    return let(given, report)

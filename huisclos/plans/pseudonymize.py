@@ -14,6 +14,7 @@ from ..operators.detect import Engine, detect
 from ..operators.policy import KEEP, MASK, REVIEW, action_for, as_maps
 from ..operators.rewrite import replace_spans
 from ..operators.vault import canonical_of, number_surfaces
+from .materialize import written
 
 KEYS = ["dossier_id", "seq"]
 
@@ -42,27 +43,27 @@ def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: Data
 
     Masked and kept spans take no number and leave no vault row.
     """
-    spans = long_spans(docs, policies, engines)
+    spans = written(long_spans(docs, policies, engines))
     numbered = spans.where(~F.col("action").isin(KEEP, MASK))
     people = F.col("type") == "PERSONNE"
     others = numbered.where(~people) if coreference else numbered
-    surfaces = number_surfaces(others.select(*KEYS, "start", "type", "surface"), None if known is None or not coreference else known.where(~people))
-    if known is not None and not coreference:
-        surfaces = number_surfaces(others.select(*KEYS, "start", "type", "surface"), known)
+    if known is not None and coreference:
+        known = known.where(~people)
+    surfaces = written(number_surfaces(others.select(*KEYS, "start", "type", "surface"), known))
     canonical = canonical_of(surfaces)
     if coreference:
-        resolved = resolve_people(numbered.where(people).select(*KEYS, "start", "surface"))
+        resolved = written(resolve_people(numbered.where(people).select(*KEYS, "start", "surface")))
         surfaces = surfaces.unionByName(resolved.select("dossier_id", F.lit("PERSONNE").alias("type"), "surface", "placeholder", "number"))
         chosen = resolved.select("dossier_id", "placeholder", F.lit("PERSONNE").alias("type"), F.col("canonical").alias("value")).distinct()
         canonical = canonical.unionByName(chosen)
     keyed = spans.join(surfaces.drop("number"), ["dossier_id", "type", "surface"], "left")
     marker = F.concat(F.lit("["), label(F.col("type")), F.lit("]"))
-    written = keyed.withColumn("placeholder", F.when(F.col("action") == MASK, marker).when(F.col("action") == KEEP, None).otherwise(F.col("placeholder")))
-    replacements = written.where("placeholder IS NOT NULL").select(*KEYS, "start", "end", F.col("placeholder").alias("replacement"))
-    per_type = written.groupBy(*KEYS, "type").agg(F.count("*").cast("int").alias("n"), F.collect_set(F.when(F.col("action") == REVIEW, F.col("placeholder"))).alias("r"))
+    marked = keyed.withColumn("placeholder", F.when(F.col("action") == MASK, marker).when(F.col("action") == KEEP, None).otherwise(F.col("placeholder")))
+    replacements = marked.where("placeholder IS NOT NULL").select(*KEYS, "start", "end", F.col("placeholder").alias("replacement"))
+    per_type = marked.groupBy(*KEYS, "type").agg(F.count("*").cast("int").alias("n"), F.collect_set(F.when(F.col("action") == REVIEW, F.col("placeholder"))).alias("r"))
     reports = per_type.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"), F.array_sort(F.flatten(F.collect_list("r"))).alias("in_review"))
     texts = replace_spans(docs, replacements, KEYS).join(reports, KEYS, "left")
-    return Protected(texts, written, surfaces, canonical)
+    return Protected(texts, marked, surfaces, canonical)
 
 
 def serious_view(spans: DataFrame) -> DataFrame:
