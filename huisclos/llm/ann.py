@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written, partitions
+from .common import Written
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -98,7 +98,7 @@ def calibrate(x: np.ndarray, books: list[np.ndarray], k: int, aim: float, querie
     return float(np.quantile(needed, aim)) / len(x) if needed else 1.0
 
 
-def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int = 16384, books: int = 64, aim: float = 0.97, block: int = 8192) -> DataFrame:
+def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int = 16384, books: int = 64, aim: float = 0.97, block: int = 1024) -> DataFrame:
     """``query``: SQL condition on vec_id that names the queries. Returns query_id, rank, vec_id, score."""
     spark, schema = embeddings.sparkSession, "query_id long, rank int, vec_id long, score double"
     keep = k + 1
@@ -157,7 +157,7 @@ def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int =
             yield pd.DataFrame({"slot": (cell * 31 + part * 7) % groups, "cell": cell << 20 | part, "v": pdf["v"], "ids": pdf["ids"]})
 
     # a slot holds about ``block`` entries of whole cell blocks
-    groups = int(max(partitions(spark), -(-counts.sum() // block)))
+    groups = int(max(1, -(-counts.sum() // block)))
     asked = sized.where(query)
     queries = asked.select("v", "entry").distinct()
     sent = queries.mapInPandas(walks, "slot long, query long, v array<double>, cells array<long>")
