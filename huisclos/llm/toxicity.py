@@ -36,6 +36,8 @@ WINDOW, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS = 15, 15
 WIDTH, HIDDEN, ATTENTION = 6, 8, 8
 EMPTY_SCORE = 0.05
+#: Share of words whose embedding is left out in a training step, so that characters must serve too.
+WORD_DROPOUT = 0.25
 
 
 def features(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,10 +190,11 @@ def _warm_start(net: Network, ids, grams, firsts, rows, toxic: np.ndarray) -> No
         n = np.bincount(pairs % size, minlength=size)
         odds = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((n - t + 0.5) / (len(toxic) - toxic.sum() + 1))
         net.w[name][:, 0] = np.where(n > 0, odds / 2, 0).astype(np.float32)
+        net.w[name][n == 0] = 0  # unseen words are read by their characters
 
 
 def train(texts: list[str], labels: list[int], steps: int = 260, docs_a_step: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit by Adam; documents' windows are joined by noisy-or, classes weigh the same."""
+    """Fit by Adam; documents' windows are joined by noisy-or."""
     net, rng = Network(seed), np.random.default_rng(seed)
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(b) for b in encoded]))).astype(np.int64)
@@ -202,7 +205,6 @@ def train(texts: list[str], labels: list[int], steps: int = 260, docs_a_step: in
     doc, start, size = windows(rows)
     of_doc = np.searchsorted(doc, np.arange(len(texts) + 1))
     usable = np.nonzero(np.diff(rows) > 0)[0]
-    balance = {1: 0.5 / max(1, toxic.sum()), 0: 0.5 / max(1, len(toxic) - toxic.sum())}
     epochs = max(3, round(steps * docs_a_step / max(1, len(usable))))
     first, second, step = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     for epoch in range(epochs):
@@ -217,6 +219,8 @@ def train(texts: list[str], labels: list[int], steps: int = 260, docs_a_step: in
             bytes_at = np.repeat(ends[words] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             own_grams, own_firsts = grams[bytes_at], np.cumsum(lengths) - lengths
             vectors = net.words(ids[words], own_grams, own_firsts)
+            hidden = rng.random(len(words)) < WORD_DROPOUT
+            vectors[hidden, :WIDTH] = 0
             gates = net.gates(vectors)
             t = np.arange(WINDOW)[:, None]
             mask = (t < size[picked]).astype(np.float32)
@@ -227,8 +231,7 @@ def train(texts: list[str], labels: list[int], steps: int = 260, docs_a_step: in
             y = toxic[batch]
             # d loss / d logit: p for a clean document's window; -(1 - P) p / P for a toxic one's, P by noisy-or
             slope = np.where(y[own] > 0, -p * (clean / np.maximum(1 - clean, 1e-9))[own], p)
-            weight = np.where(y > 0, balance[1], balance[0]) * len(toxic) / len(batch)
-            grad, dgates = net.backward(memory, mask, (slope * weight[own]).astype(np.float32))
+            grad, dgates = net.backward(memory, mask, (slope / len(batch)).astype(np.float32))
             dvec = np.zeros_like(vectors)
             for d in "fb":
                 flat, g = at.reshape(-1), (dgates[d] * mask[:, :, None]).reshape(-1, 3 * HIDDEN)
@@ -236,6 +239,7 @@ def train(texts: list[str], labels: list[int], steps: int = 260, docs_a_step: in
                 grad[f"W{d}"], grad[f"b{d}"] = vectors.T @ summed, summed.sum(axis=0)
                 dvec += summed @ net.w[f"W{d}"].T
             scatter = lambda bucket, g, n: np.stack([np.bincount(bucket, weights=g[:, c], minlength=n) for c in range(WIDTH)], axis=1).astype(np.float32)
+            dvec[hidden, :WIDTH] = 0
             grad["word"] = scatter(ids[words], dvec[:, :WIDTH], 1 << WORD_BITS)
             grad["char"] = scatter(own_grams, np.repeat(dvec[:, WIDTH:] / lengths[:, None], lengths, axis=0), 1 << CHAR_BITS)
             step += 1
