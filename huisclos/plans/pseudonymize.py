@@ -27,6 +27,7 @@ class Protected:
     spans: DataFrame
     surfaces: DataFrame
     canonical: DataFrame
+    people: DataFrame | None = None
 
 
 def long_spans(docs: DataFrame, policies: DataFrame | None = None, engines: Iterable[Engine] = ()) -> DataFrame:
@@ -38,21 +39,22 @@ def long_spans(docs: DataFrame, policies: DataFrame | None = None, engines: Iter
     return rows.join(as_maps(policies), "dossier_id", "left").withColumn("action", action_for(F.col("type"), F.col("policy"))).drop("policy")
 
 
-def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: DataFrame | None = None, engines: Iterable[Engine] = (), coreference: bool = False) -> Protected:
+def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: DataFrame | None = None, engines: Iterable[Engine] = (), coreference: bool = False, people: DataFrame | None = None) -> Protected:
     """``docs``: (dossier_id, seq, text, ...), seq the order of arrival in a dossier, unique in it.
 
-    Masked and kept spans take no number and leave no vault row.
+    Masked and kept spans take no number and leave no vault row. ``known`` and ``people`` are the surfaces
+    and people of an earlier batch; with coreference, people are numbered by the latter alone.
     """
     spans = written(long_spans(docs, policies, engines))
     numbered = spans.where(~F.col("action").isin(KEEP, MASK))
-    people = F.col("type") == "PERSONNE"
-    others = numbered.where(~people) if coreference else numbered
+    named = F.col("type") == "PERSONNE"
+    others = numbered.where(~named) if coreference else numbered
     if known is not None and coreference:
-        known = known.where(~people)
+        known = known.where(~named)
     surfaces = written(number_surfaces(others.select(*KEYS, "start", "type", "surface"), known))
     canonical = canonical_of(surfaces)
     if coreference:
-        resolved = written(resolve_people(numbered.where(people).select(*KEYS, "start", "surface")))
+        people = resolved = written(resolve_people(numbered.where(named).select(*KEYS, "start", "surface"), people))
         surfaces = surfaces.unionByName(resolved.select("dossier_id", F.lit("PERSONNE").alias("type"), "surface", "placeholder", "number"))
         chosen = resolved.select("dossier_id", "placeholder", F.lit("PERSONNE").alias("type"), F.col("canonical").alias("value")).distinct()
         canonical = canonical.unionByName(chosen)
@@ -63,7 +65,7 @@ def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: Data
     per_type = marked.groupBy(*KEYS, "type").agg(F.count("*").cast("int").alias("n"), F.collect_set(F.when(F.col("action") == REVIEW, F.col("placeholder"))).alias("r"))
     reports = per_type.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"), F.array_sort(F.flatten(F.collect_list("r"))).alias("in_review"))
     texts = replace_spans(docs, replacements, KEYS).join(reports, KEYS, "left")
-    return Protected(texts, marked, surfaces, canonical)
+    return Protected(texts, marked, surfaces, canonical, people)
 
 
 def serious_view(spans: DataFrame) -> DataFrame:
