@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, partitions
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -159,7 +159,8 @@ def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int =
     # a slot holds about ``block`` entries of whole cell blocks
     groups = int(max(1, -(-counts.sum() // block)))
     asked = sized.where(query)
-    queries = asked.select("v", "entry").distinct()
+    # a walk is long for so short a row: no merging of partitions by size here
+    queries = asked.select("v", "entry").distinct().repartition(partitions(spark), "entry")
     sent = queries.mapInPandas(walks, "slot long, query long, v array<double>, cells array<long>")
     placed = indexed.read().mapInPandas(place, "slot long, cell long, v array<double>, ids array<long>")
 
