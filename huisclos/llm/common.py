@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,6 @@ def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * factor)
 
 
-def training_fold(df: DataFrame, left_out: int) -> DataFrame:
-    """Add ``held_out``: crc32(doc_id as text) mod 5 equals ``left_out``."""
-    return df.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == left_out)
+def held_out(remainder: int) -> Column:
+    """crc32(doc_id as text) mod 5 equals ``remainder``; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == remainder, F.lit(False))

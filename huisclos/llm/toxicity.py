@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import FOLD, WORD_BYTE, runs, text_slices, word_hashes
+from .common import held_out
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS = 15, 15
@@ -254,7 +255,7 @@ def train(texts: list[str], labels: list[int], steps: int = 260, docs_a_step: in
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int, few: int) -> list[tuple[str, int]]:
     """Whole texts of a bounded sample of labelled training rows, in a fixed order."""
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    one = one.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("order", F.xxhash64("doc_id"))
+    one = one.where(~held_out(0)).withColumn("order", F.xxhash64("doc_id"))
     pick = lambda value, n: one.where(F.col("toxic") == value).orderBy("order", "doc_id").limit(n)
     ids = pick(1, max_toxic).unionAll(pick(0, max_clean))  # at most max_toxic + max_clean rows
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL AND text <> ''")
@@ -297,5 +298,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Returns doc_id, held_out, score, predicted for every document."""
     net = fit_toxicity(docs, labels)
     scored = score_texts(docs.select("doc_id", "text"), net, "score")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out(0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
