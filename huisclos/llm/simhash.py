@@ -10,8 +10,10 @@ count; a key gives a spanning forest of its links, not all pairs, and the forest
 joined to components.
 
 Exact copies share one fingerprint, so keys hold each fingerprint once however many documents have
-it. A key with many different fingerprints is searched by probing the words at up to two flips in
-its sorted fingerprints, which is linear in their number.
+it. Keys are counted first; one with more than ``CROWDED`` fingerprints is split by the indices of the
+third segment, which linked fingerprints share as well. A split key leaves two segments near fixed
+codewords, so its fingerprints have a bound that does not depend on the data. Where many still meet,
+they are searched by probing the words at up to two flips, which is linear in their number.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other. Null doc_ids get a
 fingerprint but never name a component. An empty table gives no rows. Extra columns are ignored.
@@ -35,6 +37,10 @@ WIDTHS = (22, 21, 21)
 #: Fixed value: the generator polynomial of the [23, 12, 7] Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 LENGTH = 23
+#: Keys with more different fingerprints are split by their third segment.
+CROWDED = 2048
+#: Marks split keys: plain ones use bits 0 to 33, 60 and 61.
+SPLIT = 1 << 58
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -86,25 +92,48 @@ def decode(words: np.ndarray, rem: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (words ^ table[syndrome]) >> 11
 
 
-def golay_keys(fps: np.ndarray, rem: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (position in ``fps``, key): every key of every fingerprint."""
+def segments_of(fps: np.ndarray) -> list[np.ndarray]:
     segments, at = [], 0
     for width in WIDTHS:
         segments.append(((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64))
         at += width
+    return segments
+
+
+def index_sets(words: np.ndarray, width: int, rem: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (position in ``words``, codeword index): what a word and its one-bit neighbours decode to."""
+    flips = np.concatenate(([0], np.left_shift(1, np.arange(width))))
+    index = np.sort(decode(words[:, None] ^ flips[None, :], rem, table), axis=1)
+    new = np.ones(index.shape, dtype=bool)
+    new[:, 1:] = index[:, 1:] != index[:, :-1]
+    row, col = np.nonzero(new)
+    return row, index[row, col]
+
+
+def golay_keys(fps: np.ndarray, rem: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (position in ``fps``, key): every key of every fingerprint."""
+    segments = segments_of(fps)
     rows, keys = [], []
     for s, exact in enumerate(segments):
-        fuzzy, width = segments[(s + 1) % 3], WIDTHS[(s + 1) % 3]
-        flips = np.concatenate(([0], np.left_shift(1, np.arange(width))))
-        index = np.sort(decode(fuzzy[:, None] ^ flips[None, :], rem, table), axis=1)
-        new = np.ones(index.shape, dtype=bool)
-        new[:, 1:] = index[:, 1:] != index[:, :-1]
-        row, col = np.nonzero(new)
+        row, index = index_sets(segments[(s + 1) % 3], WIDTHS[(s + 1) % 3], rem, table)
         rows.append(row)
-        keys.append((np.int64(s) << 60) | (exact[row] << 12) | index[row, col])
+        keys.append((np.int64(s) << 60) | (exact[row] << 12) | index)
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def split_keys(keys: np.ndarray, fps: np.ndarray, rem: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (position in ``keys``, finer key): each key joined with every index of its fingerprint's third segment."""
+    segments, of = segments_of(fps), keys >> 60
+    rows, finer = [], []
+    for s in range(3):
+        own = np.nonzero(of == s)[0]
+        row, index = index_sets(segments[(s + 2) % 3][own], WIDTHS[(s + 2) % 3], rem, table)
+        rest = keys[own][row] & ((1 << 60) - 1)
+        rows.append(own[row])
+        finer.append((np.int64(s) << 60) | SPLIT | (rest << 12) | index)
+    return np.concatenate(rows), np.concatenate(finer)
+
+
 def links_within(fps: np.ndarray, bits: int = 2, direct: int = 2048) -> list[tuple[int, int]]:
     """A spanning forest (member, root) of the links among sorted distinct fingerprints."""
     n = len(fps)
@@ -154,6 +183,17 @@ def _keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys, "fp": part[rows].view(np.int64)})
 
 
+def _split_crowded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rem, table = remainders(), error_patterns()
+    for pdf in batches:
+        crowded = pdf["crowded"].notna().to_numpy()
+        yield pdf.loc[~crowded, ["key", "fp"]]
+        keys, fps = pdf["key"].to_numpy()[crowded], pdf["fp"].to_numpy(dtype=np.int64)[crowded].view(np.uint64)
+        for i in range(0, len(keys), 8192):
+            rows, finer = split_keys(keys[i : i + 8192], fps[i : i + 8192], rem, table)
+            yield pd.DataFrame({"key": finer, "fp": fps[i : i + 8192][rows].view(np.int64)})
+
+
 def _edges_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches come sorted by key; a key's rows may cross batches."""
     open_key: int | None = None
@@ -193,11 +233,18 @@ def fingerprint_documents(docs: DataFrame, size: int = 3, carry: tuple[str, ...]
     return docs.select(*carry, "text").mapInPandas(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
-def fingerprint_components(fps: DataFrame) -> DataFrame:
-    """``fps``: (doc_id, fp). Returns (fp, component_id): the smallest doc_id reachable from it."""
+def fingerprint_components(fps: DataFrame, crowded_from: int = CROWDED) -> DataFrame:
+    """``fps``: (doc_id, fp). Returns (fp, component_id): the smallest doc_id reachable from it.
+
+    Crowded keys are joined back by Spark, which broadcasts their list only below its own size limit.
+    """
     spark = fps.sparkSession
     first = Written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     keys = first.read().select("fp").mapInPandas(_keys_of, "key long, fp long")
+    counts = keys.groupBy("key").agg(F.count("*").alias("crowded"))
+    crowded = Written(counts.where(F.col("crowded") > crowded_from))
+    if crowded.read().limit(1).count():
+        keys = keys.join(crowded.read(), "key", "left").select("key", "fp", "crowded").mapInPandas(_split_crowded, "key long, fp long")
     dealt = keys.repartition(partitions(spark), "key").sortWithinPartitions("key")
     edges = dealt.mapInPandas(_edges_of, "a long, b long").distinct()
     labels = connected_components(edges)

@@ -260,10 +260,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     ids = pick(1, max_toxic).unionAll(pick(0, max_clean))  # at most max_toxic + max_clean rows
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL AND text <> ''")
     limit = max_chars if found.where((F.col("toxic") == 1) & (F.length("text") <= max_chars)).limit(few).count() >= few else 10 * max_chars
-    rows = found.where(F.length("text") <= limit).select("order", "doc_id", "text", "toxic").collect()
-    # a repeated doc_id may bring more rows than ids: the first ones stay
-    rows.sort(key=lambda r: (r["order"], r["doc_id"], r["text"]))
-    return [(r["text"], int(r["toxic"])) for value, most in ((1, max_toxic), (0, max_clean)) for r in [r for r in rows if r["toxic"] == value][:most]]
+    # a doc_id that many rows share gives its smallest text, so no more rows than ids are collected
+    one_text = found.where(F.length("text") <= limit).groupBy("order", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(one_text.collect(), key=lambda r: (-r["toxic"], r["order"], r["doc_id"]))
+    return [(r["text"], int(r["toxic"])) for r in rows]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 1800, max_chars: int = 4000, few: int = 200) -> Network | None:

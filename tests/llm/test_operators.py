@@ -15,9 +15,9 @@ from huisclos.llm.decontaminate import contaminated_pairs
 from huisclos.llm.mixing import mix_documents
 from huisclos.llm.secrets import scan_secrets
 from huisclos.llm.sharding import shard_documents
-from huisclos.llm.simhash import fingerprint, simhash_duplicates
+from huisclos.llm.simhash import fingerprint, fingerprint_components, simhash_duplicates
 from huisclos.llm.suffix_dedup import remove_repeats
-from huisclos.llm.toxicity import EMPTY_SCORE, toxicity_scores
+from huisclos.llm.toxicity import EMPTY_SCORE, labelled_sample, toxicity_scores
 from huisclos.llm.url_filters import build_cascade, judge_urls
 
 DOCS = "doc_id long, text string, lang string, source string, fp string, key string, word string"
@@ -154,6 +154,40 @@ def test_simhash(docs, empty, odd):
     assert simhash_duplicates(empty).count() == 0 and simhash_duplicates(odd).count() == 5
 
 
+@pytest.mark.parametrize("crowded_from", [8, 2048])
+def test_crowded_keys_lose_no_link(spark, crowded_from):
+    rng = random.Random(5)
+    fps = set()
+    for centre in [rng.getrandbits(64) for _ in range(6)]:
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(60)}
+        low = centre & ((1 << 22) - 1)  # many fingerprints that share a segment
+        fps |= {low | (centre ^ sum(1 << b for b in rng.sample(range(22, 64), rng.randint(0, 3)))) & ~((1 << 22) - 1) for _ in range(60)}
+    fps = sorted(fps)
+    root = list(range(len(fps)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 2:
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    table = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    got = {r["fp"]: r["component_id"] for r in fingerprint_components(table, crowded_from).collect()}
+    assert got == {f: top(i) for i, f in enumerate(signed)}
+
+
+def test_repeated_ids_give_one_text(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i:03}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels, 10, 10, 4000, 1)
+    assert sorted(sample) == sorted((f"text {i:03}", i % 2) for i in range(4) if zlib.crc32(str(i).encode()) % 5)
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
