@@ -63,7 +63,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes | np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each lower-cased word, and the n + 1 offsets of the rows among the words."""
     raw = np.frombuffer(data, dtype=np.uint8)
     starts, ends = runs(WORD_BYTE[raw], offsets, 1)

@@ -1,9 +1,9 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Each word enters as a word embedding (hashed word) beside a character embedding (the mean over its
-hashed character 4-grams, with word borders). Two gated recurrent layers read a window of words in
-both directions; attention weighs the positions, and a logistic unit scores the pooled state. All
-windows of ``WINDOW`` words at a stride of half a window are scored, to the last word of every text;
+hashed character 4-grams, with word borders). Capitals of ASCII and Latin-1 count as small letters.
+Two gated recurrent layers read a window of words in both directions; attention weighs the positions,
+and a logistic unit scores the pooled state. All windows of ``WINDOW`` words at a stride of half a window are scored, to the last word of every text;
 a document's score is that of its worst window. In training a document's windows are joined by
 noisy-or, so that only document labels are needed.
 
@@ -41,10 +41,18 @@ EMPTY_SCORE = 0.05
 WORD_DROPOUT = 0.25
 
 
+def lower_latin(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with capitals from U+00C0 to U+00DE in lower case; lengths stay."""
+    capital = (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
+    capital[:1] = False
+    capital[1:] &= raw[:-1] == 0xC3
+    return raw + (capital.view(np.uint8) << 5)
+
+
 def features(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word bucket of each word, 4-gram bucket of each word byte, first byte of each word among them, rows' offsets among words)."""
-    hashes, rows = word_hashes(data, offsets)
-    raw = np.frombuffer(data, dtype=np.uint8)
+    raw = lower_latin(np.frombuffer(data, dtype=np.uint8))
+    hashes, rows = word_hashes(raw, offsets)
     inside = WORD_BYTE[raw]
     starts, ends = runs(inside, offsets, 1)
     folded = np.where(inside, FOLD[raw], 0).astype(np.uint32)

@@ -15,7 +15,7 @@ from huisclos.llm.secrets import infer_alphabet, randomness, rejection_bins, sca
 from huisclos.llm.sharding import schedule
 from huisclos.llm.simhash import decode, error_patterns, fingerprint, golay_keys, links_within, remainders
 from huisclos.llm.suffix_dedup import common_prefixes, merge_shards, repeats_in_shard, suffix_array
-from huisclos.llm.toxicity import EMPTY_SCORE, WINDOW, Network, features, train, windows
+from huisclos.llm.toxicity import EMPTY_SCORE, WINDOW, Network, features, lower_latin, train, windows
 
 
 def test_golay_corrects_three_errors():
@@ -229,6 +229,15 @@ def test_training_learns_words_and_parts_of_words():
     assert scores[0] < 0.5 < scores[1] and scores[2] == scores[3] == EMPTY_SCORE
 
 
+def test_capitals_give_the_same_features():
+    text = "ÀÉÈÊ ÎÏ×÷ ÑÓÞ ß abcÇ Āé ÿ日本😀"
+    small = "".join(c.lower() if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text)
+    assert lower_latin(np.frombuffer(text.encode(), np.uint8)).tobytes() == small.encode()
+    assert len(lower_latin(np.zeros(0, np.uint8))) == 0
+    a, b = (features(t.encode(), np.array([0, len(t.encode())])) for t in ("RÉEUXON ÑAN", "réeuxon ñan"))
+    assert all((x == y).all() for x, y in zip(a, b))
+
+
 def test_windows_cover_every_word():
     rows = np.array([0, 0, 1, 33, 65, 200])
     doc, start, size = windows(rows)
