@@ -12,9 +12,9 @@ the item's words.
 Words are runs of letters, digits and characters beyond ASCII, lower-cased in A-Z. Words are compared
 by 64-bit hashes.
 
-Edge cases: null and empty texts, and items of fewer than ``least`` words, match nothing. Documents
-with a null doc_id are judged together under the null id; equal rows give equal pairs once. Empty
-tables give no rows. Extra columns are ignored. Whole texts are read, however long.
+Edge cases: null and empty texts, and items of fewer than ``least`` words, match nothing. Each text is
+judged by itself, also where documents share an id or have none; rows equal in id and text give a pair
+once. Empty tables give no rows. Extra columns are ignored. Whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ def _rolling(words: list[int], marked: list[bool], size: int) -> Iterator[tuple[
 def greedy_tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
     """Tiles (item start, doc start, length), the longest first; no word is in two tiles.
 
-    ``GAP`` in ``doc`` matches nothing. The search length starts at the item's and halves; a longer
-    match than twice the length, met on the way, restarts it there.
+    ``GAP`` in ``doc`` matches nothing. The search length starts at half the item's and halves. Matches
+    found at a length are taken whole, so those longer than it come first too.
     """
     mine, theirs = [False] * len(item), [False] * len(doc)
     tiles: list[tuple[int, int, int]] = []
@@ -117,9 +117,9 @@ def _seeds_in_documents(table: np.ndarray, least: int):
             inside = hit + least <= at[row + 1]
             hit, row = hit[inside], row[inside]
             if len(hit):
-                ids = rows.column(0).take(pa.array(row))
+                ids, text_keys = (rows.column(c).take(pa.array(row)) for c in ("doc_id", "text_key"))
                 own = pa.array([words[i : i + least].view(np.int64) for i in hit], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hit - at[row]), pa.array(grams[hit].view(np.int64)), own], names=["doc_id", "at", "seed", "words"])
+                yield pa.RecordBatch.from_arrays([ids, text_keys, pa.array(hit - at[row]), pa.array(grams[hit].view(np.int64)), own], names=["doc_id", "text_key", "at", "seed", "words"])
 
     return run
 
@@ -166,11 +166,12 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, th
 
     seeds = Written(items.read().mapInPandas(grams, "item_id long, item_at long, seed long"))
     table = seed_table(seeds.read())
-    found = docs.select("doc_id", "text").mapInArrow(_seeds_in_documents(table, least), "doc_id long, at long, seed long, words array<long>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = keyed.mapInArrow(_seeds_in_documents(table, least), "doc_id long, text_key long, at long, seed long, words array<long>")
     # one row for a seed and item, however often the item repeats it
     by_item = seeds.read().groupBy("seed", "item_id").agg(F.collect_set("item_at").alias("item_ats"))
     hits = found.join(by_item, "seed")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "words")).alias("hits"), F.flatten(F.collect_set("item_ats")).alias("item_ats"))
+    pairs = hits.groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.struct("at", "words")).alias("hits"), F.flatten(F.collect_set("item_ats")).alias("item_ats"))
     under = F.size(F.array_distinct(F.flatten(F.transform("item_ats", lambda p: F.sequence(p, p + least - 1)))))
     likely = pairs.join(items.read(), "item_id").where(under >= threshold * F.size("words"))
     return likely.select("doc_id", "item_id", "words", "hits").mapInPandas(_tile_pairs(least, threshold), PAIRS)

@@ -253,7 +253,9 @@ def test_contamination(spark, docs, empty, odd):
     assert {k for k in got} == {(d, 1) for d in (7, 8, 9, 10, 100, 102)} | ({(10, 1)} if (10, 1) in got else set())
     assert got[100, 1] == (1.0, 2) and got[8, 1] == (1.0, 1)
     assert contaminated_pairs(empty, items).count() == 0 and contaminated_pairs(docs, items.limit(0)).count() == 0
-    assert {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(odd, items).collect()} == {(None, 1), (3, 1)}
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in contaminated_pairs(odd, items).collect()) == [(0, 1), (3, 1)]
+    halves = spark.createDataFrame([(i, t) for i in (None, 5) for t in (" ".join(words[:20]), " ".join(words[20:]))], "doc_id long, text string")
+    assert contaminated_pairs(halves, items).count() == 0
 
 
 def test_neighbours(spark):
