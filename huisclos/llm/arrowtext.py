@@ -63,10 +63,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(data: bytes | np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each lower-cased word, and the n + 1 offsets of the rows among the words."""
+def word_hashes(data: bytes | np.ndarray, offsets: np.ndarray, of: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each lower-cased word (a run of bytes in ``of``), and the n + 1 offsets of the rows among the words."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    starts, ends = runs(WORD_BYTE[raw], offsets, 1)
+    starts, ends = runs(of[raw], offsets, 1)
     rows = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), rows

@@ -304,3 +304,44 @@ def test_pipeline_stages(spark, tmp_path):
         now = after
     assert sizes[0] == len(docs) and sizes[1] < sizes[0] and sizes[3] == sizes[4]
     assert corpus_pipeline.run(spark, d).count() == sizes[-1]
+
+
+@pytest.mark.parametrize("small, block", [(32, 512), (2, 16)])
+def test_near_copies_are_all_linked(spark, monkeypatch, small, block):
+    """Copies at 0.8 to 0.95, pairs below 0.8 and a crowd whose members are not all within 0.8, against brute force."""
+    import corpus_pipeline
+    from huisclos.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(5)
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"neu{rng.randrange(10**9)}"
+        return words
+
+    texts = [None, "", "un", "UN", "trois mots ici"]
+    for _ in range(30):
+        base = prose(200, rng).split()
+        texts += [" ".join(base), " ".join(edited(base, rng.randint(1, 8)))]
+    crowd = prose(120, rng).split()
+    texts += [" ".join(edited(crowd, rng.randint(0, 6))) for _ in range(80)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    similarity = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0 for j in range(len(texts)) for i in range(j)}
+    assert sum(0.8 <= s < 0.95 for s in similarity.values()) > 20 and sum(0.7 < s < 0.8 for s in similarity.values()) > 20
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(root)
+        for (i, j), s in similarity.items():
+            if s >= 0.8:
+                root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect())
+    assert kept == sorted(set(root))
