@@ -11,7 +11,9 @@ Topics come from a rule on the text: legal, contact, symbols, lines or prose. An
 can be given.
 
 There are (sources x languages x topics) cells at most; up to ``max_cells`` (checked) they are raked
-with numpy on the driver, beyond it the marginals are raked by Spark joins over the cell table.
+with numpy on the driver, beyond it the marginals are raked by Spark joins over the cell table. Both
+paths stop by one rule: when no share was off by ``TOLERANCE`` in a round, or after ``ROUNDS`` rounds with
+a warning that names the worst share's error.
 
 Edge cases: null source or lang is a value of its own. Null and empty texts have zero words and one
 token (an end), so each cell with rows has tokens. Equal rows share their fate. An empty table gives
@@ -20,6 +22,8 @@ no rows. Extra columns are kept by ``mix_documents`` and ignored otherwise.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import Written
 
 MARGINS = ("source", "lang", "topic")
+ROUNDS, TOLERANCE = 200, 1e-9
 
 
 def rule_topic(text: Column) -> Column:
@@ -53,7 +58,7 @@ def tempered(sizes: dict, power: float) -> dict:
     return {k: v / total for k, v in lifted.items()}
 
 
-def rake(cells: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def rake(cells: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weighted cell sizes (summing to 1) whose marginals meet ``targets``; ``codes``: a column of value numbers for each margin."""
     x = cells / cells.sum()
     for _ in range(rounds):
@@ -65,9 +70,15 @@ def rake(cells: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], rounds
             x = x * factor[codes[:, m]]
         if worst < tolerance:
             break
+    else:
+        _not_met(rounds, worst)
     return x / x.sum()
 
 
+def _not_met(rounds: int, worst: float) -> None:
+    warnings.warn(f"raking stopped after {rounds} rounds with a share off its target by {worst:.2g}", stacklevel=2)
+
+
 def inclusion(cells: np.ndarray, raked: np.ndarray, budget: float) -> np.ndarray:
     """Probabilities with sum(p x cells) = budget where possible, p in proportion to raked / cells below 1."""
     p, full = np.zeros(len(cells)), np.zeros(len(cells), dtype=bool)
@@ -85,7 +96,7 @@ def inclusion(cells: np.ndarray, raked: np.ndarray, budget: float) -> np.ndarray
     return np.minimum(p, 1.0)
 
 
-def _on_driver(cells: DataFrame, power: float, fraction: float) -> DataFrame:
+def _on_driver(cells: DataFrame, power: float, fraction: float, rounds: int) -> DataFrame:
     rows = cells.collect()  # at most max_cells rows, checked by the caller
     schema = "source string, lang string, topic string, weight double, probability double"
     if not rows:
@@ -99,7 +110,7 @@ def _on_driver(cells: DataFrame, power: float, fraction: float) -> DataFrame:
         have = np.bincount(codes[-1], weights=sizes)
         shares = tempered(dict(enumerate(have)), power)
         targets.append(np.array([shares[i] for i in range(len(values))]))
-    raked = rake(sizes, np.array(codes).T, targets)
+    raked = rake(sizes, np.array(codes).T, targets, rounds)
     p = inclusion(sizes, raked, fraction * sizes.sum())
     weight = raked / (sizes / sizes.sum())
     out = [(r["source"], r["lang"], r["topic"], float(w), float(q)) for r, w, q in zip(rows, weight, p)]
@@ -117,15 +128,21 @@ def _on_executors(cells: DataFrame, power: float, fraction: float, rounds: int)
         targets[m] = Written(lifted.select(F.col(m).alias("value"), (F.col("lifted") / norm).alias("target")))
     table = Written(x)
     for _ in range(rounds):
-        x = table.read()
+        x = table.read().withColumn("off", F.lit(0.0))
         for m in MARGINS:
             have = x.groupBy(F.col(m).alias("value")).agg(F.sum("x").alias("have"))
             goal = targets[m].read()
-            factor = have.alias("h").join(goal.alias("g"), F.col("h.value").eqNullSafe(F.col("g.value"))).select("h.value", (F.col("target") / F.col("have")).alias("factor"))
-            x = x.join(factor, x[m].eqNullSafe(factor["value"])).withColumn("x", F.col("x") * F.col("factor")).drop("value", "factor")
+            factor = have.alias("h").join(goal.alias("g"), F.col("h.value").eqNullSafe(F.col("g.value"))).select("h.value", (F.col("target") / F.col("have")).alias("factor"), F.abs(F.col("have") - F.col("target")).alias("gap"))
+            x = x.join(factor, x[m].eqNullSafe(factor["value"])).withColumn("x", F.col("x") * F.col("factor"))
+            x = x.withColumn("off", F.greatest("off", "gap")).drop("value", "factor", "gap")
         after = Written(x)
         table.drop()
         table = after
+        worst = table.read().agg(F.max("off")).first()[0]
+        if worst < TOLERANCE:
+            break
+    else:
+        _not_met(rounds, worst)
     x = table.read().withColumn("weight", F.col("x") / (F.col("tokens") / F.lit(float(total))))
     low, high = 0.0, 1.0
     budget = fraction * total
@@ -138,14 +155,14 @@ def _on_executors(cells: DataFrame, power: float, fraction: float, rounds: int)
     return x.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
 
 
-def mix_documents(docs: DataFrame, fraction: float = 0.8, power: float = 0.8, topic: Column | None = None, max_cells: int = 100_000, rounds: int = 20) -> DataFrame:
+def mix_documents(docs: DataFrame, fraction: float = 0.8, power: float = 0.8, topic: Column | None = None, max_cells: int = 100_000, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` plus topic, n_tokens, weight, probability, keep. ``fraction`` of all tokens is the budget; ``power`` tempers the targets."""
     topic = rule_topic(F.col("text")) if topic is None else topic
     made = ("topic", "n_tokens", "weight", "probability", "keep")
     full = docs.drop(*made).withColumn("topic", topic).withColumn("n_tokens", token_count(F.col("text")))
     cells = Written(full.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     if cells.read().count() <= max_cells:
-        fitted = F.broadcast(_on_driver(cells.read(), power, fraction))
+        fitted = F.broadcast(_on_driver(cells.read(), power, fraction, rounds))
     else:
         fitted = _on_executors(cells.read(), power, fraction, rounds)
     fitted = fitted.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "weight", "probability")

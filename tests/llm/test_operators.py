@@ -227,6 +227,22 @@ def test_mixing(docs, empty, odd):
     assert mix_documents(empty).count() == 0 and mix_documents(odd).count() == 5
 
 
+def test_raking_by_joins_equals_raking_on_the_driver(spark):
+    """Sources that nearly fix the language converge slowly: 20 rounds don't do."""
+    sizes = [("a", "fr", 60), ("a", "en", 5), ("b", "fr", 9), ("b", "en", 200), ("c", "en", 20), ("c", "de", 9), (None, "de", 90), (None, "fr", 9)]
+    rows = [(i, "mot " * n + t, lang, source) for i, (source, lang, n, t) in enumerate((s, g, n, t) for s, g, n in sizes for t in ("", "license"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def fitted(**how):
+        return {r["doc_id"]: (r["weight"], r["probability"]) for r in mix_documents(docs, fraction=0.6, power=0.5, **how).collect()}
+
+    driver, joins = fitted(), fitted(max_cells=0)
+    assert np.allclose([driver[i] for i in sorted(driver)], [joins[i] for i in sorted(driver)], rtol=1e-6, atol=0)
+    for how in ({}, {"max_cells": 0}):
+        with pytest.warns(UserWarning, match="after 2 rounds"):
+            fitted(rounds=2, **how)
+
+
 def test_brown(spark, docs, empty, odd):
     got = {r["doc_id"]: r for r in brown_scores(docs, known=100, clustered=20, classes=4).collect()}
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(TEXTS))]
