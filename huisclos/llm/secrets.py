@@ -1,7 +1,9 @@
 """Secret scans: base patterns plus a randomness test battery.
 
 Base kinds are assignments of passwords and keys, access key ids and long lower-case hex runs.
-The battery looks at every other run of 20 or more token characters that mixes letters and digits.
+The battery looks at what these leave free of each run of token characters, and at its pieces between
+separators (each set of ``/``, ``+``, ``-`` and ``_``), where 20 or more characters mix letters and digits:
+a key in a url path or behind a word and a dash is a piece of its run. A piece inside a longer random span isn't reported again.
 It infers the encoding (the smallest alphabet that holds all characters), maps characters to symbol
 numbers and tests the hypothesis "symbols are independent and uniform" three ways: chi-squared over
 equal alphabet cells, Wald-Wolfowitz runs about the median, and lag-one serial correlation. The
@@ -50,6 +52,7 @@ ALPHABETS = (
 )
 BINS, BIN_WIDTH = 400, 0.05
 STRATA = (20, 24, 32, 40, 64, 128, 256)
+SEPARATORS = b"/+-_"
 
 
 def _normal_tail(z: float) -> float:
@@ -96,6 +99,27 @@ def stratum(length: int) -> int:
     return max(i for i, least in enumerate(STRATA) if length >= least)
 
 
+def pieces(run: bytes) -> list[tuple[int, int]]:
+    """The run and its parts between the bytes of each set of the separators that it holds: (start, end) of those long enough, each once."""
+    held = [c for c in SEPARATORS if c in run]
+    found = {(0, len(run))}
+    for picked in range(1, 1 << len(held)):
+        cut = np.isin(np.frombuffer(run, dtype=np.uint8), [c for i, c in enumerate(held) if picked >> i & 1])
+        at = np.concatenate(([-1], np.nonzero(cut)[0], [len(run)]))
+        found.update((a + 1, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist()) if b - a > STRATA[0])
+    return sorted(found)
+
+
+def free_parts(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans ``taken`` leave of a run, where long enough."""
+    out = []
+    for s, e in [*sorted(t for t in taken if t[0] < end and start < t[1]), (end, end)]:
+        if s - start >= STRATA[0]:
+            out.append((start, s))
+        start = max(start, e)
+    return out
+
+
 def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
     hexes = np.array([chr(b) in "0123456789abcdef" for b in range(256)])
     tokens = np.array([b < 128 and (chr(b).isalnum() or chr(b) in "+/_-") for b in range(256)])
@@ -135,12 +159,13 @@ def scan_batch(data: bytes, offsets: np.ndarray) -> dict[int, list[tuple[int, in
         add(int(row), int(a - offsets[row]), 2, int(b - offsets[row]))
     starts, ends = runs(tokens[raw], offsets, STRATA[0])
     for row, a, b in zip((np.searchsorted(offsets, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist()):
-        token = data[a:b].decode()
-        if not any(map(str.isdigit, token)) or not any(map(str.isalpha, token)):
-            continue
-        start, end = a - int(offsets[row]), b - int(offsets[row])
-        if not any(s < end and start < e for s, k, e, _ in spans.get(row, ()) if k < 3):
-            add(row, start, 3, end, randomness(token))
+        row_at = int(offsets[row])
+        base = [(s, e) for s, k, e, _ in spans.get(row, ()) if k < 3]
+        for start, end in free_parts(a - row_at, b - row_at, base):
+            for i, j in pieces(data[row_at + start : row_at + end]):
+                token = data[row_at + start + i : row_at + start + j].decode()
+                if any(map(str.isdigit, token)) and any(map(str.isalpha, token)):
+                    add(row, start + i, 3, start + j, randomness(token))
     return spans
 
 
@@ -207,8 +232,16 @@ def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
         return (t["kind"] < 3) | (t["bin"] < F.element_at(first_rejected, t["stratum"] + 1))
 
     names = F.array(*map(F.lit, KINDS))
-    spans = F.filter("found", kept)
+    accepted = F.filter("found", kept)
+
+    def outermost(t):
+        def around(o):
+            return (o["kind"] == 3) & (o["start"] <= t["start"]) & (o["end"] >= t["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+
+        return (t["kind"] < 3) | ~F.exists("accepted", around)
+
+    spans = F.filter("accepted", outermost)
     text = F.transform(spans, lambda t: F.concat_ws(":", F.element_at(names, t["kind"] + 1), t["start"].cast("string"), t["end"].cast("string")))
-    return scanned.read().select(
+    return scanned.read().withColumn("accepted", accepted).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.concat_ws(",", text).alias("spans"), F.size(F.filter(spans, lambda t: t["kind"] == 3)).cast("long").alias("n_random")
     )

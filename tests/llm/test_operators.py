@@ -141,6 +141,21 @@ def test_secrets(spark, docs, empty, odd):
     assert scan_secrets(docs).count() == len(TEXTS) and scan_secrets(empty).count() == 0 and scan_secrets(odd).count() == 5
 
 
+def test_secrets_inside_longer_runs(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = "".join(rng.choice(letters) for _ in range(40))
+    url = "".join(rng.choice(letters + "-_") for _ in range(40))
+    texts = [f"host.com/my-hook/{key}", f"https://h.fr/services/incoming/webhooks/{key}1", f"a-b/{url}/fin", f"deadbeefdeadbeef/{key}", key, "a-b/c-d/e-f/g-h/version2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in scan_secrets(df).collect()}
+    assert got[4] == "random:0:40" and got[5] == "" and got[3].startswith("hex:0:16,random:")
+    for i, whole in enumerate((key, key + "1", url, key, key)):
+        _, start, end = got[i].split(",")[-1].split(":")
+        at = texts[i].index(whole)
+        assert int(start) <= at and int(end) >= at + len(whole), i
+
+
 def test_simhash(docs, empty, odd):
     fps = [fingerprint(t) for t in TEXTS]
     root = list(range(len(TEXTS)))
