@@ -14,7 +14,8 @@ by 64-bit hashes.
 
 Edge cases: null and empty texts, and items of fewer than ``least`` words, match nothing. Each text is
 judged by itself, also where documents share an id or have none; rows equal in id and text give a pair
-once. Empty tables give no rows. Extra columns are ignored. Whole texts are read, however long.
+once. So is each item: an item without an id gives pairs with a null item_id, and different texts under one
+item_id give a pair each; items equal in id and text count once. Empty tables give no rows. Extra columns are ignored. Whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_slices(batches):
         words, at = word_hashes(data, offsets)
         words = np.where(words == GAP, np.uint64(1), words).view(np.int64)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([words[a:b] for a, b in zip(at[:-1], at[1:])], pa.list_(pa.int64()))], names=["item_id", "words"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([words[a:b] for a, b in zip(at[:-1], at[1:])], pa.list_(pa.int64()))], names=["item_key", "item_id", "words"])
 
 
 def seed_table(seeds: DataFrame) -> np.ndarray:
@@ -148,7 +149,7 @@ def _tile_pairs(least: int, threshold: float):
     return run
 
 
-PAIRS = "doc_id long, item_id long, n_words long, n_covered long, coverage double, n_tiles long, tiles string"
+PAIRS = "doc_id string, item_id string, n_words long, n_covered long, coverage double, n_tiles long, tiles string"
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -156,22 +157,26 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, th
 
     ``tiles``: document word : item word : length, comma-joined.
     """
-    items = Written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_words_of, "item_id long, words array<long>"))
+    keyed_items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text")
+    items = Written(keyed_items.dropDuplicates(["item_key"]).mapInArrow(_words_of, "item_key long, item_id long, words array<long>"))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for item_id, words in zip(pdf["item_id"], pdf["words"]):
+            for item_key, words in zip(pdf["item_key"], pdf["words"]):
                 h = gram_hashes(np.asarray(words, dtype=np.int64).view(np.uint64), least).view(np.int64)
-                yield pd.DataFrame({"item_id": item_id, "item_at": np.arange(len(h)), "seed": h})
+                yield pd.DataFrame({"item_key": item_key, "item_at": np.arange(len(h)), "seed": h})
 
-    seeds = Written(items.read().mapInPandas(grams, "item_id long, item_at long, seed long"))
+    seeds = Written(items.read().select("item_key", "words").mapInPandas(grams, "item_key long, item_at long, seed long"))
     table = seed_table(seeds.read())
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = keyed.mapInArrow(_seeds_in_documents(table, least), "doc_id long, text_key long, at long, seed long, words array<long>")
     # one row for a seed and item, however often the item repeats it
-    by_item = seeds.read().groupBy("seed", "item_id").agg(F.collect_set("item_at").alias("item_ats"))
+    by_item = seeds.read().groupBy("seed", "item_key").agg(F.collect_set("item_at").alias("item_ats"))
     hits = found.join(by_item, "seed")
-    pairs = hits.groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.struct("at", "words")).alias("hits"), F.flatten(F.collect_set("item_ats")).alias("item_ats"))
+    pairs = hits.groupBy("doc_id", "text_key", "item_key").agg(F.collect_set(F.struct("at", "words")).alias("hits"), F.flatten(F.collect_set("item_ats")).alias("item_ats"))
     under = F.size(F.array_distinct(F.flatten(F.transform("item_ats", lambda p: F.sequence(p, p + least - 1)))))
-    likely = pairs.join(items.read(), "item_id").where(under >= threshold * F.size("words"))
-    return likely.select("doc_id", "item_id", "words", "hits").mapInPandas(_tile_pairs(least, threshold), PAIRS)
+    likely = pairs.join(items.read(), "item_key").where(under >= threshold * F.size("words"))
+    # ids go through pandas as text: beside nulls, numbers would turn into floats
+    ids = [F.col(c).cast("string").alias(c) for c in ("doc_id", "item_id")]
+    tiled = likely.select(*ids, "words", "hits").mapInPandas(_tile_pairs(least, threshold), PAIRS)
+    return tiled.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})

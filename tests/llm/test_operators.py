@@ -289,6 +289,13 @@ def test_contamination(spark, docs, empty, odd):
     assert contaminated_pairs(halves, items).count() == 0
 
 
+def test_items_without_or_with_repeated_ids(spark):
+    other = prose(25, random.Random(78))
+    items = spark.createDataFrame([(None, PASSAGE), (None, other), (2**53 + 1, PASSAGE), (2**53 + 1, other), (2**53 + 1, other)], "item_id long, text string")
+    found = contaminated_pairs(spark.createDataFrame([(1, "x " + PASSAGE), (None, other)], "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0, r["coverage"]) for r in found) == [(0, 0, 1.0), (0, 2**53 + 1, 1.0), (1, 0, 1.0), (1, 2**53 + 1, 1.0)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 8))
