@@ -24,39 +24,64 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
-    """``array<struct<start int, end int, value string>>`` of the non-overlapping matches, left to right."""
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+MATCHES = "array<struct<start:int,end:int,value:string>>"
+#: Elements that a fold adds to one array before it begins another.
+CHUNK = 256
+
+
+class Growing:
+    """An array that a fold lengthens: chunks of ``CHUNK``, so that n additions copy n x ``CHUNK`` elements and not n squared."""
 
-    def total(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+    @staticmethod
+    def empty(kind: str) -> list[Column]:
+        return [F.array().cast(kind).alias("part"), F.array().cast(f"array<{kind}>").alias("parts")]
 
-    def places(p: Column) -> Column:
-        def place(value: Column, i: Column) -> Column:
-            start = total(p["gaps"], i + 1) + total(p["hits"], i)
-            return let(start, lambda at: F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value")))
+    @staticmethod
+    def plus(acc: Column, more: Column) -> list[Column]:
+        full = F.size(acc["part"]) >= CHUNK
+        part = F.when(full, more).otherwise(F.concat(acc["part"], more))
+        return [part.alias("part"), F.when(full, F.array_append(acc["parts"], acc["part"])).otherwise(acc["parts"]).alias("parts")]
 
-        return F.transform(p["hits"], place)
+    @staticmethod
+    def same(acc: Column) -> list[Column]:
+        return [acc["part"].alias("part"), acc["parts"].alias("parts")]
 
-    return let(F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hits")), places)
+    @staticmethod
+    def whole(acc: Column) -> Column:
+        return F.flatten(F.array_append(acc["parts"], acc["part"]))
+
+
+def matches(text: Column, pattern: str | Column) -> Column:
+    """``array<struct<start int, end int, value string>>`` of the non-overlapping matches, left to right.
+
+    One fold carries the offset from match to match. Texts without a match are searched once and not split.
+    """
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    parts = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.length(p["gap"])
+        end = at + F.length(p["hit"])
+        one = F.array(F.struct(at.alias("start"), end.alias("end"), p["hit"].alias("value")))
+        return F.when(p["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), *Growing.plus(acc, one)))
+
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), *Growing.empty(MATCHES)), step, Growing.whole)
+    return F.when(F.rlike(text, regex), found).when(text.isNotNull(), F.array().cast(MATCHES))
 
 
 def rebuild(text: Column, spans: Column) -> Column:
     """``text`` with each of the sorted, disjoint ``spans`` (start, end, replacement) replaced."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, s["replacement"]).alias("out"))
+    def piece(s: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        return F.concat(F.substring(text, before + 1, s["start"] - before), s["replacement"])
 
-    return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    tail = F.substring(text, F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
+    return F.when(text.isNotNull() & spans.isNotNull(), F.concat(F.array_join(F.transform(spans, piece), ""), tail))
 
 
 def context_before(text: Column, start: Column) -> Column:
     """The line up to ``start`` and the line before it, which a blank line cuts off."""
-
-    def window(lines: Column) -> Column:
-        current, previous = F.element_at(lines, -1), F.try_element_at(lines, F.lit(-2))
-        return F.when(previous.isNull() | previous.rlike(r"^(?U)\s*$"), current).otherwise(F.concat(previous, F.lit("\n"), current))
-
-    return let(F.split(F.substring(text, F.lit(1), start), "\n", -1), window)
+    head = F.substring(text, F.lit(1), start)
+    two = F.substring_index(head, "\n", -2)
+    return F.when(two.rlike(r"^(?U)\s*\n[^\n]*$"), F.substring_index(head, "\n", -1)).otherwise(two)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import rank
-from ..functions.regex import BORDER, LEFT, RIGHT, context_before, let, matches
+from ..functions.regex import BORDER, LEFT, RIGHT, Growing, context_before, let, matches
 from ..functions.validators import iban_valid, luhn_valid, nir_valid, without_separators
 
 SPAN = "array<struct<type:string,start:int,end:int,score:double,value:string>>"
@@ -36,31 +36,37 @@ class Rule:
     tail: str | None = None
 
     def candidates(self, text: Column) -> Column:
+        """Spans of one text. Texts in which the context never occurs skip the search for it before each match."""
         found = matches(text, self.pattern)
         if part := self.head or self.tail:
 
             def cut(m: Column) -> Column:
-                def placed(value: Column) -> Column:
-                    start = m["start"] if self.head else m["end"] - F.length(value)
-                    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
-
-                return let(F.regexp_extract(m["value"], part, 1), placed)
+                value = F.regexp_extract(m["value"], part, 1)
+                start = m["start"] if self.head else m["end"] - F.length(value)
+                return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
             found = F.transform(found, cut)
 
-        def seen(pattern: str, m: Column) -> Column:
-            return context_before(text, m["start"]).rlike(pattern)
+        def judged(found: Column, in_text: Column | None = None) -> Column:
+            def judge(m: Column) -> Column:
+                sure = F.lit(True) if self.valid is None else self.valid(m["value"])
+                kind = F.when(sure, F.lit(self.type) if self.context is None else F.when(context_before(text, m["start"]).rlike(self.context), self.type))
+                score = F.when(sure, self.score)
+                if self.suspect:
+                    kind = kind.otherwise(F.when(in_text & context_before(text, m["start"]).rlike(self.suspect_context), self.suspect))
+                    score = score.otherwise(self.suspect_score)
+                return F.struct(kind.alias("type"), m["start"].alias("start"), m["end"].alias("end"), score.alias("score"), m["value"].alias("value"))
 
-        def judged(m: Column) -> Column:
-            sure = F.lit(True) if self.valid is None else self.valid(m["value"])
-            kind = F.when(sure, self.type if self.context is None else F.when(seen(self.context, m), self.type))
-            score = F.when(sure, self.score)
-            if self.suspect:
-                kind = kind.otherwise(F.when(seen(self.suspect_context, m), self.suspect))
-                score = score.otherwise(self.suspect_score)
-            return F.struct(kind.alias("type"), m["start"].alias("start"), m["end"].alias("end"), score.alias("score"), m["value"].alias("value"))
+            return F.filter(F.transform(found, judge), lambda s: s["type"].isNotNull()).cast(SPAN)
 
-        return F.filter(F.transform(found, judged), lambda s: s["type"].isNotNull())
+        # contexts are looked for only where the pattern occurs
+        here, none = text.rlike(self.pattern), F.array().cast(SPAN)
+        if self.context:
+            return F.when(here & text.rlike(self.context), judged(found)).otherwise(none)
+        if self.suspect:
+            both = F.struct(found.alias("found"), text.rlike(self.suspect_context).alias("in_text"))
+            return F.when(here, let(both, lambda b: judged(b["found"], b["in_text"]))).otherwise(none)
+        return judged(found)
 
 
 def _luhn(value: Column) -> Column:
@@ -82,8 +88,8 @@ RULES = [
     Rule("PLAQUE", rf"(?U){LEFT}[A-Z]{{2}}-\d{{3}}-[A-Z]{{2}}{RIGHT}", 0.8),
     Rule("REFERENCE_DOSSIER", rf"(?U){LEFT}[A-Z]{{2,5}}-(?:\d{{4}}-)?\d{{3,6}}{RIGHT}", 0.6),
     Rule("DATE_NAISSANCE", rf"(?U){LEFT}(?i:né(?:e|\(e\))?\s+le\s*:?\s+){DATE}", 0.85, tail=rf"(?U)({DATE})$"),
-    Rule("DATE_NAISSANCE", rf"(?U){LEFT}{DATE}{RIGHT}", 0.8, None, r"(?iU)date\s+de\s+naissance"),
-    Rule("DATE_PROCEDURALE", rf"(?U){LEFT}{DATE}{RIGHT}", 0.7),
+    Rule("DATE_NAISSANCE", rf"(?U){DATE}", 0.8, None, r"(?iU)date\s+de\s+naissance"),
+    Rule("DATE_PROCEDURALE", rf"(?U){DATE}", 0.7),
 ]
 #: Fixed value: characters stripped from the borders of what overlap leaves of a span.
 TRIMMED = " \t\n\r,;:.()!?«»\"'"
@@ -123,11 +129,11 @@ def _left_of(span: Column, kept: Column) -> Column:
     return F.filter(F.transform(F.aggregate(kept, whole, subtract), strip), lambda s: s["value"] != "")
 
 
-def resolve_overlaps(spans: Column) -> Column:
+def _by_priority(spans: Column) -> Column:
     """Keep spans by priority, length, score and order; a span that overlaps kept ones is trimmed to its free parts."""
     keyed = F.transform(
         spans,
-        lambda s, i: F.struct(rank(s["type"]).alias("rank"), (s["start"] - s["end"]).alias("shorter"), (-s["score"]).alias("worse"), i.alias("order"), s.alias("span")),
+        lambda s: F.struct(rank(s["span"]["type"]).alias("rank"), (s["span"]["start"] - s["span"]["end"]).alias("shorter"), (-s["span"]["score"]).alias("worse"), s["order"].alias("order"), s["span"].alias("span")),
     )
     ordered = F.transform(F.array_sort(keyed), lambda k: k["span"])
 
@@ -140,22 +146,57 @@ def resolve_overlaps(spans: Column) -> Column:
     return F.transform(by_start, lambda k: k["span"]).cast(SPAN)
 
 
+def resolve_overlaps(spans: Column) -> Column:
+    """Spans without overlaps, by start. Only spans that touch a common stretch of text are compared with each other."""
+    held = "array<struct<at:int,order:int,span:struct<type:string,start:int,end:int,score:double,value:string>>>"
+    keyed = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("at"), i.alias("order"), s.alias("span"))).cast(held))
+    stop = F.array(F.struct(F.lit(2**31 - 1).alias("at"), F.lit(0).alias("order"), F.lit(None).alias("span"))).cast(held)
+
+    def settled(open_: Column) -> Column:
+        return F.when(F.size(open_) == 1, F.transform(open_, lambda k: k["span"])).otherwise(_by_priority(open_))
+
+    def step(acc: Column, k: Column) -> Column:
+        joined = F.struct(F.concat(acc["open"], F.array(k)).alias("open"), F.greatest(acc["reach"], k["span"]["end"]).alias("reach"), *Growing.same(acc))
+        begun = F.struct(F.array(k).alias("open"), k["span"]["end"].alias("reach"), *Growing.plus(acc, settled(acc["open"])))
+        return F.when(k["at"] < acc["reach"], joined).otherwise(begun)
+
+    start = F.struct(F.array().cast(held).alias("open"), F.lit(-1).alias("reach"), *Growing.empty(SPAN))
+    return F.aggregate(F.concat(keyed, stop), start, step, Growing.whole)
+
+
 def merge_adjacent(spans: Column) -> Column:
     """Join touching spans of the same name-like type; the lower score stands."""
+    stop = F.array(F.lit(None)).cast(SPAN)
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = last.isNotNull() & (last["type"] == s["type"]) & s["type"].isin(*MERGED) & (last["end"] == s["start"])
+    def step(acc: Column, s: Column) -> Column:
+        last = acc["last"]
+        joins = (last["type"] == s["type"]) & s["type"].isin(*MERGED) & (last["end"] == s["start"])
         merged = _span(s["type"], last["start"], s["end"], F.least(last["score"], s["score"]), F.concat(last["value"], s["value"]))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(s))).cast(SPAN)
+        done = F.when(last.isNull(), F.array().cast(SPAN)).otherwise(F.array(last))
+        return F.when(F.coalesce(joins, F.lit(False)), F.struct(merged.alias("last"), *Growing.same(acc))).otherwise(F.struct(s.alias("last"), *Growing.plus(acc, done)))
+
+    start = F.struct(F.lit(None).cast(SPAN[6:-1]).alias("last"), *Growing.empty(SPAN))
+    return F.aggregate(F.concat(spans, stop), start, step, Growing.whole)
+
+
+def detect(docs: DataFrame, text: str = "text", engines: Iterable[Engine] = (), column: str = "spans", engine_threshold: float = 0.0) -> DataFrame:
+    """``docs`` plus ``column``: resolved and merged spans. Null texts have none.
+
+    Spans of ``engines`` below ``engine_threshold`` are dropped; rules have fixed scores.
+    """
+    sure = [lambda t, e=e: F.filter(e(t).cast(SPAN), lambda s: s["score"] >= engine_threshold) for e in engines]
+    found = F.coalesce(candidates(F.col(text), sure), F.array().cast(SPAN))
+    resolved = docs.withColumn(column, let(found, lambda c: F.when(F.size(c) > 1, resolve_overlaps(c)).otherwise(c)))
+    return resolved.withColumn(column, merge_adjacent(F.col(column))) if sure else resolved  # rules make no names
 
-    return F.aggregate(spans, F.array().cast(SPAN), step)
 
+def span_rows(found: DataFrame, keys: list[str], column: str = "spans") -> DataFrame:
+    """(``keys``, s): a row for each span of ``column``.
 
-def detect(docs: DataFrame, text: str = "text", engines: Iterable[Engine] = (), column: str = "spans") -> DataFrame:
-    """``docs`` plus ``column``: resolved and merged spans. Null texts have none."""
-    found = F.coalesce(candidates(F.col(text), engines), F.array().cast(SPAN))
-    return docs.withColumn(column, let(found, lambda c: F.when(F.size(c) > 1, merge_adjacent(resolve_overlaps(c))).otherwise(c)))
+    ``explode`` would make the optimizer test the size of the array below the projection that makes it, and so
+    evaluate all rules again for each test; ``explode_outer`` with the null row dropped after it does not.
+    """
+    return found.select(*keys, F.explode_outer(column).alias("s")).where("s IS NOT NULL")
 
 
 def gazetteer_engine(names: dict[str, list[str]], score: float = 0.9) -> Engine:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import label
 from ..operators.coreference import resolve_people
-from ..operators.detect import Engine, detect
+from ..operators.detect import Engine, detect, span_rows
 from ..operators.policy import KEEP, MASK, REVIEW, action_for, as_maps
 from ..operators.rewrite import replace_spans
 from ..operators.vault import canonical_of, number_surfaces
@@ -30,22 +30,22 @@ class Protected:
     people: DataFrame | None = None
 
 
-def long_spans(docs: DataFrame, policies: DataFrame | None = None, engines: Iterable[Engine] = ()) -> DataFrame:
+def long_spans(docs: DataFrame, policies: DataFrame | None = None, engines: Iterable[Engine] = (), engine_threshold: float = 0.0) -> DataFrame:
     """(dossier_id, seq, type, start, end, score, surface, action): a row for each detected span."""
-    found = detect(docs.select(*KEYS, "text"), engines=engines)
-    rows = found.select(*KEYS, F.explode("spans").alias("s")).select(*KEYS, "s.type", "s.start", "s.end", "s.score", F.col("s.value").alias("surface"))
+    found = detect(docs.select(*KEYS, "text"), engines=engines, engine_threshold=engine_threshold)
+    rows = span_rows(found, KEYS).select(*KEYS, "s.type", "s.start", "s.end", "s.score", F.col("s.value").alias("surface"))
     if policies is None:
         return rows.withColumn("action", action_for(F.col("type"), F.create_map().cast("map<string,string>")))
     return rows.join(as_maps(policies), "dossier_id", "left").withColumn("action", action_for(F.col("type"), F.col("policy"))).drop("policy")
 
 
-def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: DataFrame | None = None, engines: Iterable[Engine] = (), coreference: bool = False, people: DataFrame | None = None) -> Protected:
+def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: DataFrame | None = None, engines: Iterable[Engine] = (), coreference: bool = False, people: DataFrame | None = None, engine_threshold: float = 0.0) -> Protected:
     """``docs``: (dossier_id, seq, text, ...), seq the order of arrival in a dossier, unique in it.
 
     Masked and kept spans take no number and leave no vault row. ``known`` and ``people`` are the surfaces
     and people of an earlier batch; with coreference, people are numbered by the latter alone.
     """
-    spans = written(long_spans(docs, policies, engines))
+    spans = written(long_spans(docs, policies, engines, engine_threshold))
     numbered = spans.where(~F.col("action").isin(KEEP, MASK))
     named = F.col("type") == "PERSONNE"
     others = numbered.where(~named) if coreference else numbered

@@ -9,7 +9,7 @@ from ..functions.labels import label
 from ..functions.validators import iban_valid, luhn_valid, nir_key, nir_valid
 from ..operators import judge as judging
 from ..operators.coreference import resolve_people
-from ..operators.detect import detect, gazetteer_engine, merge_adjacent
+from ..operators.detect import detect, gazetteer_engine, merge_adjacent, span_rows
 from ..operators.evaluate import canary_match, leaks, recall_precision, truth_spans
 from ..operators.integrity import check, normalize, restore_tokens
 from ..operators.rewrite import reidentify
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _spans(df: DataFrame, key: str) -> DataFrame:
-    return detect(df.select(key, "text")).select(key, F.explode("spans").alias("s")).select(key, F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
+    return span_rows(detect(df.select(key, "text")), [key]).select(key, F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -162,10 +162,16 @@ def merged_spans(spark, d):
     return merged.select("o_orderkey", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.score").alias("score"))
 
 
+def _parts(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def _messages(spark, d) -> DataFrame:
     """Orders as documents: dossier = customer, seq = order."""
     text = F.concat(F.lit("Suivi REF-"), _digits_mod("o_orderkey", 1_000_000, 6), F.lit(" du "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(", ecrire a c"), (F.col("o_orderkey") % 7).cast("string"), F.lit("@mail.fr"))
-    return _table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("dossier_id"), F.col("o_orderkey").alias("seq"), text.alias("text"))
+    # one small file is one task otherwise; the key is the one by which dossiers are numbered
+    orders = _table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").repartition(_parts(spark), "o_custkey")
+    return orders.select(F.col("o_custkey").cast("string").alias("dossier_id"), F.col("o_orderkey").alias("seq"), text.alias("text"))
 
 
 def _policies(spark, d) -> DataFrame:
@@ -179,7 +185,7 @@ def policy_actions(spark, d):
 
 
 def numbering(spark, d):
-    spans = long_spans(_messages(spark, d)).where("type = 'EMAIL'")
+    spans = written(long_spans(_messages(spark, d)).where("type = 'EMAIL'"))
     return number_surfaces(spans.select("dossier_id", "seq", "start", "type", "surface")).select("dossier_id", "surface", "placeholder", "number")
 
 
@@ -214,7 +220,7 @@ def mode_separation(spark, d):
 
 
 def purge_vault(spark, d):
-    spans = long_spans(_messages(spark, d)).where("type = 'EMAIL'").select("dossier_id", "seq", "start", "type", "surface")
+    spans = written(long_spans(_messages(spark, d)).where("type = 'EMAIL'").select("dossier_id", "seq", "start", "type", "surface"))
     gone = _table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("dossier_id"))
     return purge(number_surfaces(spans), gone).groupBy("dossier_id").agg(F.count("*").alias("n"))
 
@@ -223,7 +229,7 @@ def _replies(spark, d) -> DataFrame:
     n = F.col("o_orderkey")
     text = F.concat(F.lit("Vu "), F.when(n % 4 == 0, "[EMAIL 1]").when(n % 4 == 1, "email_001").when(n % 4 == 2, "[EMIAL_001]").otherwise("EMAL-1"), F.lit(" et "), F.when(n % 3 == 0, "[PLAQUE_009]").otherwise("[PLAQUE_001]"))
     known = F.array(F.lit("[EMAIL_001]"), F.lit("[PLAQUE_001]"))
-    return _table(spark, d, "orders").select("o_orderkey", text.alias("text"), known.alias("known"))
+    return _table(spark, d, "orders").select("o_orderkey").repartition(_parts(spark), "o_orderkey").select("o_orderkey", text.alias("text"), known.alias("known"))
 
 
 def normalize_tokens(spark, d):

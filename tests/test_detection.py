@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from huisclos.functions.labels import PRIORITY
 from huisclos.functions.validators import iban_valid, luhn_valid, nir_key, nir_valid
-from huisclos.operators.detect import SPAN, TRIMMED, detect, gazetteer_engine, merge_adjacent, resolve_overlaps
+from huisclos.operators.detect import RULES, SPAN, TRIMMED, detect, gazetteer_engine, merge_adjacent, resolve_overlaps, span_rows
 
 
 def found(spark, texts, engines=()):
@@ -47,6 +47,10 @@ CASES = [
     ("Plaque AB-123-CD, dossier DOS-2024-0012", ["PLAQUE", "REFERENCE_DOSSIER"]),
     ("né le 14 mars 1979, séance du 12/02/2026 puis 1er juillet 2025", ["DATE_NAISSANCE", "DATE_PROCEDURALE", "DATE_PROCEDURALE"]),
     ("Date de naissance : 03.04.1980", ["DATE_NAISSANCE"]),
+    ("Date de naissance : x12/02/1979", ["DATE_NAISSANCE"]),
+    ("le 12/02/2026bis, 112/02/1979, le12 mars 1979, 12/02/20261", ["DATE_PROCEDURALE"] * 4),
+    ("SIREN 824 750 005", ["FR_SIREN_SUSPECT"]),
+    ("RIB FR12 3000 3000 1100 0987 6543 185", ["IBAN_SUSPECT"]),
     ("", []),
     (None, []),
 ]
@@ -122,3 +126,18 @@ def test_merge(spark, spans, n):
     assert len(out) == n
     if n == 1:
         assert tuple(out[0])[1:4] == (3, 21, 0.8)
+
+
+def test_each_rule_is_evaluated_once_a_row(spark, capsys):
+    df = spark.range(3).select("id", F.concat(F.lit("a@b.fr "), F.col("id").cast("string")).alias("text"))
+    spans = span_rows(detect(df), ["id"]).select("id", "s.type", "s.start")
+    spans.explain("extended")
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert plan.count("regexp_extract_all") == len(RULES) and spans.count() == 3
+
+
+def test_a_long_log_ends(spark):
+    n = 5_000
+    text = "".join(f"12/02/20{i % 90 + 10} x{i}\n" for i in range(n))
+    spans = detect(spark.createDataFrame([(text,)], "text string")).first()["spans"]
+    assert len(spans) == n and all(text[s["start"] : s["end"]] == s["value"] for s in spans[::997])
