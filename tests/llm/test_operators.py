@@ -116,6 +116,21 @@ def test_repeats(spark, docs, empty, split):
     assert remove_repeats(empty).count() == 0
 
 
+def test_repeats_with_hot_anchors(spark, monkeypatch):
+    """A passage in a third of the rows, each with other surroundings; few contexts make an anchor hot here."""
+    from huisclos.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 4096)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, noise(150) + (PASSAGE[:220] if i % 3 == 0 else "") + noise(150)) for i in range(240)] + [(i, noise(90) + PASSAGE[:150]) for i in range(240, 260)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 60, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for split in (512, 4):
+        got = [tuple(r) for r in remove_repeats(df, split=split, shard_contexts=64, hot_from=3).drop("removed").orderBy("doc_id").collect()]
+        assert got == by_hand(rows)
+
+
 def test_repeats_with_hot_passages(spark):
     rng = random.Random(5)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) + PASSAGE[: rng.randint(90, 200)] + "".join(rng.choice("ab") for _ in range(60))) for i in range(150)] + [(200, "a" * 1000), (201, "ab" * 400)]
