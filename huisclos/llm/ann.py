@@ -18,7 +18,7 @@ blocks of cells that it walks.
 Edge cases: vectors that are null, zero, of another length than the most common one, or that hold
 null or non-finite components take no part, as queries or candidates. Null ids take no part. Ties go to the
 smaller id. With fewer candidates than k all of them are returned; an empty table gives no rows.
-Repeated ids count as rows of their own. Extra columns are ignored.
+Repeated ids are rows of their own: of the rows that share a query's id only the query's own is no candidate. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def calibrate(x: np.ndarray, books: list[np.ndarray], k: int, aim: float, querie
     return float(np.quantile(needed, aim)) / len(x) if needed else 1.0
 
 
-def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int = 16384, books: int = 64, aim: float = 0.97, block: int = 1024) -> DataFrame:
+def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int = 16384, books: int = 64, max_books: int = 512, aim: float = 0.97, block: int = 1024) -> DataFrame:
     """``query``: SQL condition on vec_id that names the queries. Returns query_id, rank, vec_id, score."""
     spark, schema = embeddings.sparkSession, "query_id long, rank int, vec_id long, score double"
     keep = k + 1
@@ -117,7 +117,8 @@ def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int =
     taken = entries.read().orderBy("entry").limit(sample).select("v").collect()  # at most ``sample`` rows
     x = unit([r["v"] for r in taken])
     half = max(1, width // 2)
-    size = max(1, min(books, len(x) // 8))
+    total = entries.read().count()
+    size = max(1, min(max(books, min(max_books, int(total**0.5) // 2)), len(x) // 8))
     halves = [(x[:, :half], 3), (x[:, half:], 4)]
     codebooks = [kmeans(h, size, seed=s) if h.shape[1] else np.zeros((1, 0)) for h, s in halves]
     share = calibrate(x, codebooks, k, aim)
@@ -154,7 +155,7 @@ def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int =
             cell = pdf["cell"].to_numpy()
             part = (pdf["entry"].to_numpy().view(np.uint64) >> np.uint64(7)) % parts[cell].astype(np.uint64)
             part = part.astype(np.int64)
-            yield pd.DataFrame({"slot": (cell * 31 + part * 7) % groups, "cell": cell << 20 | part, "v": pdf["v"], "ids": pdf["ids"]})
+            yield pd.DataFrame({"slot": (cell * 31 + part * 7) % groups, "cell": cell << 20 | part, "v": pdf["v"], "ids": pdf["ids"], "entry": pdf["entry"]})
 
     # a slot holds about ``block`` entries of whole cell blocks
     groups = int(max(1, -(-counts.sum() // block)))
@@ -162,12 +163,12 @@ def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int =
     # a walk is long for so short a row: no merging of partitions by size here
     queries = asked.select("v", "entry").distinct().repartition(partitions(spark), "entry")
     sent = queries.mapInPandas(walks, "slot long, query long, v array<double>, cells array<long>")
-    placed = indexed.read().mapInPandas(place, "slot long, cell long, v array<double>, ids array<long>")
+    placed = indexed.read().mapInPandas(place, "slot long, cell long, v array<double>, ids array<long>, entry long")
 
     def rerank(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query", "vec_id", "score"]
+        columns = ["query", "vec_id", "score", "entry"]
         if not len(ask) or not len(have):
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "entry": np.zeros(0, np.int64)})
         have = have.sort_values("cell", kind="stable", ignore_index=True)
         cells = have["cell"].to_numpy()
         x = np.stack(have["v"].to_numpy())
@@ -183,14 +184,16 @@ def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int =
             if len(at) > keep:  # ties with the last place stay
                 edge = np.partition(score, len(at) - keep)[len(at) - keep]
                 at, score = at[score >= edge - 1e-12], score[score >= edge - 1e-12]
-            found = [(float(s), int(i)) for p, s in zip(at, score) for i in have["ids"].iat[p]]
-            out += [(query_id, i, s) for s, i in sorted(found, key=lambda f: (-f[0], f[1]))[:keep]]
+            found = [(float(s), int(i), int(have["entry"].iat[p])) for p, s in zip(at, score) for i in have["ids"].iat[p]]
+            out += [(query_id, i, s, e) for s, i, e in sorted(found, key=lambda f: (-f[0], f[1]))[:keep]]
         return pd.DataFrame(out, columns=columns)
 
-    near = sent.groupBy("slot").cogroup(placed.groupBy("slot")).applyInPandas(rerank, "query long, vec_id long, score double")
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
+    near = sent.groupBy("slot").cogroup(placed.groupBy("slot")).applyInPandas(rerank, "query long, vec_id long, score double, entry long")
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "entry")))
     lists = near.groupBy("query").agg(F.slice(best, 1, keep).alias("near"))  # ``keep`` from each of the query's slots
     named = asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"))
-    own = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("query_id")), 1, k)
+    # the query's own row is one row of its entry; other rows with its id are candidates
+    itself = F.array_position(F.transform("near", lambda n: (n["vec_id"] == F.col("query_id")) & (n["entry"] == F.col("query"))), True)
+    own = F.slice(F.filter("near", lambda n, i: i + 1 != itself), 1, k)
     joined = named.join(lists, "query").select("query_id", F.posexplode(own))
     return joined.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.far")).alias("score"))

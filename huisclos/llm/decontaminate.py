@@ -118,7 +118,7 @@ def _seeds_in_documents(table: np.ndarray, least: int):
             inside = hit + least <= at[row + 1]
             hit, row = hit[inside], row[inside]
             if len(hit):
-                ids, text_keys = (rows.column(c).take(pa.array(row)) for c in ("doc_id", "text_key"))
+                ids, text_keys = (rows.column(c).take(pa.array(row)) for c in (0, 1))
                 own = pa.array([words[i : i + least].view(np.int64) for i in hit], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, text_keys, pa.array(hit - at[row]), pa.array(grams[hit].view(np.int64)), own], names=["doc_id", "text_key", "at", "seed", "words"])
 
@@ -152,11 +152,13 @@ def _tile_pairs(least: int, threshold: float):
 PAIRS = "doc_id string, item_id string, n_words long, n_covered long, coverage double, n_tiles long, tiles string"
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
     """One row for each (document, item) pair whose tiles cover at least ``threshold`` of the item.
 
+    ``key`` names the column that identifies documents, of any simple type; the result keeps its name and type.
     ``tiles``: document word : item word : length, comma-joined.
     """
+    kind = docs.schema[key].dataType.simpleString()
     keyed_items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text")
     items = Written(keyed_items.dropDuplicates(["item_key"]).mapInArrow(_words_of, "item_key long, item_id long, words array<long>"))
 
@@ -168,8 +170,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, th
 
     seeds = Written(items.read().select("item_key", "words").mapInPandas(grams, "item_key long, item_at long, seed long"))
     table = seed_table(seeds.read())
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    found = keyed.mapInArrow(_seeds_in_documents(table, least), "doc_id long, text_key long, at long, seed long, words array<long>")
+    keyed = docs.select(F.col(key).cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    found = keyed.mapInArrow(_seeds_in_documents(table, least), "doc_id string, text_key long, at long, seed long, words array<long>")
     # one row for a seed and item, however often the item repeats it
     by_item = seeds.read().groupBy("seed", "item_key").agg(F.collect_set("item_at").alias("item_ats"))
     hits = found.join(by_item, "seed")
@@ -179,4 +181,5 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, th
     # ids go through pandas as text: beside nulls, numbers would turn into floats
     ids = [F.col(c).cast("string").alias(c) for c in ("doc_id", "item_id")]
     tiled = likely.select(*ids, "words", "hits").mapInPandas(_tile_pairs(least, threshold), PAIRS)
-    return tiled.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
+    rest = [c for c in tiled.columns if c not in ("doc_id", "item_id")]
+    return tiled.select(F.col("doc_id").cast(kind).alias(key), F.col("item_id").cast("long").alias("item_id"), *rest)

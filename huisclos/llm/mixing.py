@@ -17,7 +17,7 @@ a warning that names the worst share's error.
 
 Edge cases: null source or lang is a value of its own. Null and empty texts have zero words and one
 token (an end), so each cell with rows has tokens. Equal rows share their fate. An empty table gives
-no rows. Extra columns are kept by ``mix_documents`` and ignored otherwise.
+no rows. Extra columns are kept under their names, whatever these are.
 """
 
 from __future__ import annotations
@@ -155,18 +155,35 @@ def _on_executors(cells: DataFrame, power: float, fraction: float, rounds: int)
     return x.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
 
 
+MADE = ("topic", "n_tokens", "weight", "probability", "keep")
+
+
+def made_names(docs: DataFrame) -> dict[str, str]:
+    """What ``mix_documents`` calls its columns: a name that ``docs`` has already gets underscores until it is free."""
+    taken, names = {c.lower() for c in docs.columns}, {}
+    for m in MADE:
+        names[m] = m
+        while names[m].lower() in taken:
+            names[m] += "_"
+    return names
+
+
 def mix_documents(docs: DataFrame, fraction: float = 0.8, power: float = 0.8, topic: Column | None = None, max_cells: int = 100_000, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` plus topic, n_tokens, weight, probability, keep. ``fraction`` of all tokens is the budget; ``power`` tempers the targets."""
+    """``docs`` plus topic, n_tokens, weight, probability, keep, under ``made_names``. ``fraction`` of all tokens is the budget; ``power`` tempers the targets.
+
+    Columns of ``docs`` keep their names and values.
+    """
     topic = rule_topic(F.col("text")) if topic is None else topic
-    made = ("topic", "n_tokens", "weight", "probability", "keep")
-    full = docs.drop(*made).withColumn("topic", topic).withColumn("n_tokens", token_count(F.col("text")))
+    names = made_names(docs)
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source", "lang")
+    full = named.withColumn("topic", topic).withColumn("n_tokens", token_count(F.col("text")))
     cells = Written(full.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     if cells.read().count() <= max_cells:
         fitted = F.broadcast(_on_driver(cells.read(), power, fraction, rounds))
     else:
         fitted = _on_executors(cells.read(), power, fraction, rounds)
     fitted = fitted.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "weight", "probability")
-    same = [full[m].eqNullSafe(fitted[f"__{m}"]) for m in MARGINS]
-    joined = full.join(fitted, same).drop(*(f"__{m}" for m in MARGINS))
+    joined = full.join(fitted, [full[m].eqNullSafe(fitted[f"__{m}"]) for m in MARGINS])
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text")), 11) / F.lit(float(1 << 53))
-    return joined.withColumn("keep", uniform < F.col("probability"))
+    made = joined.withColumn("keep", uniform < F.col("probability"))
+    return made.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), *(F.col(m).alias(names[m]) for m in MADE))

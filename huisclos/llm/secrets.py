@@ -2,17 +2,26 @@
 
 Base kinds are assignments of passwords and keys, access key ids and long lower-case hex runs.
 The battery looks at what these leave free of each run of token characters, and at its pieces between
-separators (each set of ``/``, ``+``, ``-`` and ``_``), where 20 or more characters mix letters and digits:
+separators (each set of ``/``, ``+``, ``-`` and ``_``), where they are 20 characters or longer:
 a key in a url path or behind a word and a dash is a piece of its run. A piece inside a longer random span isn't reported again.
-It infers the encoding (the smallest alphabet that holds all characters), maps characters to symbol
-numbers and tests the hypothesis "symbols are independent and uniform" three ways: chi-squared over
-equal alphabet cells, Wald-Wolfowitz runs about the median, and lag-one serial correlation. The
-Bonferroni combination of the three is the token's p-value. Benjamini-Hochberg at level ``q`` within
-each stratum of length decides over the whole corpus which tokens are not random; those it does not
-reject are random, and become spans of kind ``random``. Strata by length keep the many short tokens,
-on which the tests are weak, from setting the threshold of long ones.
 
-p-values go to the driver as counts in fixed bins for each stratum, never as rows.
+The null hypothesis is "ordinary text". Its model is fitted on the whole corpus (of runs of 20 token characters or more each different part once a slice of it): how often each kind of
+character (small, capital, digit, separator) follows another, and each letter another whatever their case, smoothed.
+A piece's evidence is the e-value: its probability as independent uniform symbols of an encoding (a mixture over the
+alphabets that hold all its characters) over its probability as ordinary text. Under the null its mean is 1 at
+most, so evidence for a secret only ever comes from the text itself, and a piece on which nothing can be said is not
+a secret. Then the battery must agree: the encoding is inferred (the smallest alphabet that holds all
+characters), characters become symbol numbers, and "symbols are independent and uniform" is tested three ways:
+chi-squared over equal alphabet cells, Wald-Wolfowitz runs about the median, and lag-one serial
+correlation. Where their Bonferroni combination rejects at ``alpha``, the evidence is void.
+
+The e-value Benjamini-Hochberg procedure at level ``q`` within each stratum of length decides over the whole corpus which
+pieces are secrets (kind ``random``): false ones are at most a share ``q`` of them in the mean, however pieces
+depend on each other (those of one run do). Strata by length keep the many short pieces, on which the
+evidence is weak, from setting the threshold of long ones.
+
+Evidence goes to the driver as counts in fixed bins for each stratum, and the corpus's character pairs as one
+table of 67 x 67 counts, never as rows.
 
 Edge cases: null texts count as empty and get zero counts and the hash of the empty string. Repeated
 rows are scanned alike. An empty table gives no rows. Extra columns are ignored. Texts of any length
@@ -27,6 +36,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +59,9 @@ ALPHABETS = (
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("token", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-BINS, BIN_WIDTH = 400, 0.05
+BINS, BIN_WIDTH = 400, 0.1
 STRATA = (20, 24, 32, 40, 64, 128, 256)
 SEPARATORS = b"/+-_"
 
@@ -67,6 +78,59 @@ def _chi_tail(x: float, df: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+#: Symbols of pairs: small letters 0-25, capitals 26-51, digits 52-61, separators 62-65, anything else 66.
+SYMBOLS = 67
+_SYMBOL = np.full(256, SYMBOLS - 1, dtype=np.int64)
+for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_"):
+    _SYMBOL[ord(_c)] = _i
+#: The kind of each symbol (small, capital, digit, separator, other) and its letter or digit whatever the case (26 letters, 10 digits, 4 separators, other).
+_KIND = np.repeat(np.arange(5), (26, 26, 10, 4, 1))
+_FOLD = np.concatenate((np.arange(26), np.arange(26), np.arange(26, 41)))
+
+
+def pair_counts(raw: np.ndarray, starts: np.ndarray = (), ends: np.ndarray = ()) -> np.ndarray:
+    """How often each symbol follows each other one in these bytes.
+
+    The runs from ``starts`` to ``ends`` count once for each different part between separators, so a key that many texts hold doesn't look ordinary.
+    """
+    code, other, parts = _SYMBOL[raw], SYMBOLS - 1, set()
+    for a, b in zip(starts, ends):
+        code[a:b] = other
+        parts.update(raw[a:b].tobytes().replace(b"+", b"/").replace(b"-", b"/").replace(b"_", b"/").split(b"/"))
+    extra = _SYMBOL[np.frombuffer(b" ".join(sorted(parts)), dtype=np.uint8)]
+    code = np.concatenate(([other], code, [other], extra))
+    return np.bincount(code[:-1] * SYMBOLS + code[1:], minlength=SYMBOLS * SYMBOLS)
+
+
+def ordinary_model(pairs: np.ndarray) -> np.ndarray:
+    """log10 P(symbol | symbol before) of ordinary text, over token symbols.
+
+    The kind given the kind before (a fifth of the mass spread evenly, so that identifiers' capitals and digits cost little)
+    times the letter or digit given the one before, of the same kind, whatever the case of both (a tenth spread evenly).
+    """
+    pairs = pairs.reshape(SYMBOLS, SYMBOLS).astype(float)[:, :-1]
+    kinds, folds = np.zeros((5, 4)), np.zeros((41, 41))
+    np.add.at(kinds, (_KIND[:, None], _KIND[None, :-1]), pairs)
+    np.add.at(folds, (_FOLD[:, None], _FOLD[None, :-1]), pairs)
+    kind = 0.8 * (kinds + 0.5) / (kinds.sum(axis=1, keepdims=True) + 2) + 0.05
+    group = np.repeat(np.arange(3), (26, 10, 4))  # letters, digits, separators
+    letter = np.zeros((41, 40))
+    for g, size in enumerate((26, 10, 4)):
+        own = folds[:, :-1][:, group == g]
+        letter[:, group == g] = 0.9 * (own + 0.5) / (own.sum(axis=1, keepdims=True) + 0.5 * size) + 0.1 / size
+    return np.log10(kind[_KIND][:, _KIND[:-1]] * letter[_FOLD][:, _FOLD[:-1]])
+
+
+def evidence(token: str, model: np.ndarray) -> float:
+    """log10 of the e-value against ordinary text."""
+    code = _SYMBOL[np.frombuffer(token.encode(), dtype=np.uint8)]
+    ordinary = float(model[np.concatenate(([SYMBOLS - 1], code[:-1])), code].sum())
+    held = set(token)
+    fits = [-len(token) * math.log10(len(letters)) for _, letters in ALPHABETS if held <= set(letters)]
+    top = max(fits)
+    return top + math.log10(sum(10 ** max(f - top, -300) for f in fits) / len(ALPHABETS)) - ordinary
+
+
 def infer_alphabet(token: str) -> str | None:
     return next((letters for _, letters in ALPHABETS if set(token) <= set(letters)), None)
 
@@ -136,14 +200,14 @@ def _holders(data: bytes, word: bytes, offsets: np.ndarray) -> set[int]:
     return found
 
 
-def scan_batch(data: bytes, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int, float]]]:
-    """Row to (start, kind, end, p) with byte offsets within the row; p is -1 for base spans."""
+def scan_batch(data: bytes, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """Row to (start, kind, end) with byte offsets within the row: base spans, and kind 3 for every piece to test."""
     hexes, tokens = _byte_classes()
     raw = np.frombuffer(data, dtype=np.uint8)
-    spans: dict[int, list[tuple[int, int, int, float]]] = {}
+    spans: dict[int, list[tuple[int, int, int]]] = {}
 
-    def add(row: int, start: int, kind: int, end: int, p: float = -1.0) -> None:
-        spans.setdefault(row, []).append((start, kind, end, p))
+    def add(row: int, start: int, kind: int, end: int) -> None:
+        spans.setdefault(row, []).append((start, kind, end))
 
     folded = data.lower()
     for row in sorted(set().union(*(_holders(folded, w, offsets) for w in ASSIGN_WORDS))):
@@ -160,29 +224,23 @@ def scan_batch(data: bytes, offsets: np.ndarray) -> dict[int, list[tuple[int, in
     starts, ends = runs(tokens[raw], offsets, STRATA[0])
     for row, a, b in zip((np.searchsorted(offsets, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist()):
         row_at = int(offsets[row])
-        base = [(s, e) for s, k, e, _ in spans.get(row, ()) if k < 3]
+        base = [(s, e) for s, k, e in spans.get(row, ()) if k < 3]
         for start, end in free_parts(a - row_at, b - row_at, base):
             for i, j in pieces(data[row_at + start : row_at + end]):
-                token = data[row_at + start + i : row_at + start + j].decode()
-                if any(map(str.isdigit, token)) and any(map(str.isalpha, token)):
-                    add(row, start + i, 3, start + j, randomness(token))
+                add(row, start + i, 3, start + j)
     return spans
 
 
-def _code_points(raw: np.ndarray, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
-    before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    return [(int(before[a]), k, int(before[b]), p) for a, k, b, p in spans]
-
-
-def _joined(spans: list[tuple[int, int, int, float]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(spans))
+def _joined(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,bin:int,stratum:int>>"
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,token:string>>, pairs array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.struct([(n, pa.int32()) for n in ("start", "kind", "end", "bin", "stratum")])
+    """A row for each text; the first one of a slice also carries the slice's character pairs."""
+    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("token", pa.string())])
     empty = hashlib.sha256(b"").hexdigest()
     for rows, data, offsets in text_slices(batches):
         spans = scan_batch(data, offsets)
@@ -190,49 +248,74 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shas, found = np.zeros((3, n), dtype=np.int64), [empty] * n, [[]] * n
         raw = np.frombuffer(data, dtype=np.uint8)
         for row, own in spans.items():
-            own = sorted(_code_points(raw[offsets[row] : offsets[row + 1]], own))
-            base = [s for s in own if s[1] < 3]
+            at = int(offsets[row])
+            before = np.concatenate(([0], np.cumsum((raw[at : offsets[row + 1]] & 0xC0) != 0x80)))
+            placed = sorted((int(before[a]), k, int(before[b]), data[at + a : at + b].decode() if k == 3 else None) for a, k, b in own)
+            base = [s[:3] for s in placed if s[1] < 3]
             for s in base:
                 counts[s[1], row] += 1
             shas[row] = hashlib.sha256(_joined(base).encode()).hexdigest()
-            found[row] = [
-                {"start": a, "kind": k, "end": b, "bin": -1 if p < 0 else min(BINS - 1, int(-math.log10(max(p, 1e-30)) / BIN_WIDTH)), "stratum": 0 if p < 0 else stratum(b - a)}
-                for a, k, b, p in own
-            ]
-        columns = [rows.column(0), *(pa.array(c) for c in counts), pa.array(shas, pa.string()), pa.array(found, pa.list_(span))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+            found[row] = [dict(zip(("start", "kind", "end", "token"), s)) for s in placed]
+        pairs = [pair_counts(raw, *runs(_byte_classes()[1][raw], offsets, STRATA[0])), *[None] * (n - 1)] if n else []
+        columns = [rows.column(0), *(pa.array(c) for c in counts), pa.array(shas, pa.string()), pa.array(found, pa.list_(span)), pa.array(pairs, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "pairs"])
 
 
 def rejection_bins(counts: dict[tuple[int, int], int], q: float) -> dict[int, int]:
-    """For each stratum the first bin (of -log10 p) that Benjamini-Hochberg rejects; BINS if none.
+    """For each stratum the first bin (of log10 e) that the e-value Benjamini-Hochberg procedure rejects; BINS if none.
 
-    A bin's largest p-value stands for all in it, so the level holds.
+    A bin's smallest e-value stands for all in it, so the level holds.
     """
     out = {}
     for s in {s for s, _ in counts}:
         total = sum(n for (k, _), n in counts.items() if k == s)
         rank, cut = 0, BINS
-        for b in range(BINS - 1, -1, -1):
+        for b in range(BINS - 1, 0, -1):
             rank += counts.get((s, b), 0)
-            if rank and 10 ** (-b * BIN_WIDTH) <= q * rank / total:
+            if rank and 10 ** (b * BIN_WIDTH) >= total / (q * rank):
                 cut = b
         out[s] = cut
     return out
 
 
-def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
+def _judged(model: np.ndarray, alpha: float):
+    def run(tokens: pd.Series) -> pd.Series:
+        def one(token: str) -> int:
+            e = evidence(token, model)
+            if e <= BIN_WIDTH or randomness(token) < alpha:
+                return 0
+            return min(BINS - 1, int(e / BIN_WIDTH))
+
+        return tokens.map(lambda own: [0 if t is None else one(t) for t in own])
+
+    return run
+
+
+def scan_secrets(docs: DataFrame, q: float = 0.05, alpha: float = 0.001) -> DataFrame:
     """Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), n_random."""
     scanned = Written(docs.select("doc_id", "text").mapInArrow(_scan, SCANNED))
-    tokens = scanned.read().select(F.explode("found").alias("t")).where("t.kind = 3")
-    binned = tokens.groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n")).collect()  # at most strata x bins rows
-    cuts = rejection_bins({(r["stratum"], r["bin"]): r["n"] for r in binned}, q)
+    sums = scanned.read().where("pairs IS NOT NULL").select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # SYMBOLS^2 rows
+    pairs = np.zeros(SYMBOLS * SYMBOLS)
+    for r in sums:
+        pairs[r["at"]] = r["n"]
+    # only rows with a piece to test go through Python
+    tested = F.exists("found", lambda t: t["kind"] == 3)
+    bins = F.pandas_udf(_judged(ordinary_model(pairs), alpha), "array<int>")(F.transform("found", lambda t: t["token"]))
+    rows = scanned.read().drop("pairs")
+    binned = F.zip_with("found", "bins", lambda t, b: F.struct(t["start"], t["kind"], t["end"], b.alias("bin")))
+    strata = F.array(*map(F.lit, STRATA))
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    judged = Written(rows.where(tested).withColumn("bins", bins).select(*columns, binned.alias("found")))
+    tokens = judged.read().select(F.explode("found").alias("t")).where("t.kind = 3")
+    stratum_of = F.size(F.filter(strata, lambda least: least <= F.col("t.end") - F.col("t.start"))) - 1
+    counts = tokens.groupBy(stratum_of.alias("stratum"), "t.bin").agg(F.count("*").alias("n")).collect()  # at most strata x bins rows
+    cuts = rejection_bins({(r["stratum"], r["bin"]): r["n"] for r in counts}, q)
     first_rejected = F.array(*(F.lit(cuts.get(s, BINS)) for s in range(len(STRATA))))
 
     def kept(t):
-        return (t["kind"] < 3) | (t["bin"] < F.element_at(first_rejected, t["stratum"] + 1))
+        return (t["kind"] < 3) | (t["bin"] >= F.element_at(first_rejected, F.size(F.filter(strata, lambda least: least <= t["end"] - t["start"]))))
 
     names = F.array(*map(F.lit, KINDS))
-    accepted = F.filter("found", kept)
 
     def outermost(t):
         def around(o):
@@ -240,8 +323,7 @@ def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
 
         return (t["kind"] < 3) | ~F.exists("accepted", around)
 
+    plain = rows.where(~tested).select(*columns, F.transform("found", lambda t: F.struct(t["start"], t["kind"], t["end"], F.lit(0).alias("bin"))).alias("found"))
     spans = F.filter("accepted", outermost)
     text = F.transform(spans, lambda t: F.concat_ws(":", F.element_at(names, t["kind"] + 1), t["start"].cast("string"), t["end"].cast("string")))
-    return scanned.read().withColumn("accepted", accepted).select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.concat_ws(",", text).alias("spans"), F.size(F.filter(spans, lambda t: t["kind"] == 3)).cast("long").alias("n_random")
-    )
+    return judged.read().unionAll(plain).withColumn("accepted", F.filter("found", kept)).select(*columns, F.concat_ws(",", text).alias("spans"), F.size(F.filter(spans, lambda t: t["kind"] == 3)).cast("long").alias("n_random"))

@@ -156,13 +156,40 @@ def test_secrets(spark, docs, empty, odd):
     assert scan_secrets(docs).count() == len(TEXTS) and scan_secrets(empty).count() == 0 and scan_secrets(odd).count() == 5
 
 
+VERBS = "get set load store find make read write open close parse merge split check build count".split()
+NOUNS = "user file cache index table value result string number window handler request response config session order".split()
+SAID = "the old report on this matter was read again by people who had not been there when it began and they found nothing in it that would change their view of what should be done".split()
+
+
+def ordinary(rng):
+    """An identifier, path or numbered name of 20 characters or more."""
+    words = [rng.choice(VERBS + NOUNS) for _ in range(rng.randint(4, 6))]
+    kind = rng.randrange(5)
+    text = ["".join(w.title() for w in words), "_".join(words), "/".join(words), "-".join(words), "".join(words)][kind] + str(rng.randrange(1000) if rng.random() < 0.7 else "")
+    return text if len(text) >= 20 else text + str(rng.randrange(10**19, 10**20))
+
+
+@pytest.mark.parametrize("planted, others", [(20, 1980), (200, 1800)])
+def test_secrets_among_ordinary_names(spark, planted, others):
+    rng = random.Random(planted)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    tokens = [("".join(rng.choice(letters) for _ in range(rng.randint(20, 64))), True) for _ in range(planted)] + [(ordinary(rng), False) for _ in range(others)]
+    rng.shuffle(tokens)
+    rows = [(i, " ".join(rng.choice(SAID) for _ in range(30)) + f" {t} " + " ".join(rng.choice(SAID) for _ in range(30))) for i, (t, _) in enumerate(tokens)]
+    found = {r["doc_id"] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("n_random > 0").collect()}
+    real = {i for i, (_, secret) in enumerate(tokens) if secret}
+    assert len(found & real) >= 0.9 * len(real) and len(found & real) >= 0.9 * len(found), (len(found & real), len(found), len(real))
+    print("precision", len(found & real) / len(found), "recall", len(found & real) / len(real))
+
+
 def test_secrets_inside_longer_runs(spark):
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     key = "".join(rng.choice(letters) for _ in range(40))
     url = "".join(rng.choice(letters + "-_") for _ in range(40))
     texts = [f"host.com/my-hook/{key}", f"https://h.fr/services/incoming/webhooks/{key}1", f"a-b/{url}/fin", f"deadbeefdeadbeef/{key}", key, "a-b/c-d/e-f/g-h/version2"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rest = [" ".join(rng.choice(SAID) for _ in range(60)) + f" In {rng.randrange(1900, 2030)} {ordinary(rng)} and No {rng.randrange(999)}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts + rest)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in scan_secrets(df).collect()}
     assert got[4] == "random:0:40" and got[5] == "" and got[3].startswith("hex:0:16,random:")
     for i, whole in enumerate((key, key + "1", url, key, key)):
@@ -171,6 +198,22 @@ def test_secrets_inside_longer_runs(spark):
         assert int(start) <= at and int(end) >= at + len(whole), i
 
 
+def test_base_secrets_by_plain_patterns(spark):
+    import re
+
+    rng = random.Random(9)
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", '"', "'", " ", "  ", ":", "=", "\n", "é", "AKIA", "AKIAAKIA", "ABCDEFGH01234567", "0123456789abcdef", "deadbeef", "abcdefghijkl", "x/y+z.w=-_", "K"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, "mot " * 50_000 + "token: abcdefghijklmnop " + "fin " * 50_000]
+    patterns = [(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)]
+    got = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        kept = [[m for m in re.finditer(p, t or "", re.ASCII) if len(m[g]) >= n] for p, g, n in patterns]
+        spans = sorted((m.start(), k, m.end()) for k, own in enumerate(kept) for m in own)
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+        assert [got[i][c] for c in ("n_assign", "n_access", "n_hex")] == [len(o) for o in kept]
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), t
+
+
 def test_simhash(docs, empty, odd):
     fps = [fingerprint(t) for t in TEXTS]
     root = list(range(len(TEXTS)))
@@ -336,6 +379,46 @@ def test_neighbours(spark):
     assert top_neighbours(df.where("vec_id < 3"), "vec_id = 1").count() == 2
 
 
+def test_neighbours_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.0, 1.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 3)) for r in top_neighbours(df, "vec_id = 0").collect())
+    near = [(1, 5, 1.0), (2, 5, 1.0), (3, 0, 0.994), (4, 1, 0.0)]
+    far = [(1, 0, 0.994), (2, 5, 0.994), (3, 5, 0.994), (4, 1, 0.11)]
+    assert got == sorted((0, *r) for r in near + far)
+
+
+def test_shards_balance_like_plain_scheduling(spark):
+    from huisclos.llm.sharding import schedule
+
+    rng = random.Random(12)
+    texts = [prose(rng.randint(1, 60), rng) for _ in range(800)] + ["copie " * 40] * 120
+    rows = shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t) + 1
+    plain = Counter()
+    ids = {t: i for i, t in enumerate(groups)}
+    for t, s in ((t, s) for t, i in ids.items() for s in [schedule([(i, n) for i, n in enumerate(groups.values())], 8)[i]]):
+        plain[s] += groups[t]
+    assert max(loads.values()) - min(loads.values()) <= max(plain.values()) - min(plain.values()) + max(map(len, texts[:800])) and max(loads.values()) <= 1.1 * sum(loads.values()) / 8 + 120 * 241
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(i, f"mot {i} " * 5, "fr", f"s{i % 2}", "mine", "theirs") for i in range(30)]
+    mixed = mix_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, keep string, Topic string"))
+    assert {(r["keep"], r["Topic"]) for r in mixed.collect()} == {("mine", "theirs")}
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "keep", "Topic", "topic_", "n_tokens", "weight", "probability", "keep_"]
+    sizes, budget = Counter(), 0
+    for r in mixed.collect():
+        sizes[r["source"]] += r["n_tokens"]
+        budget += r["probability"] * r["n_tokens"]
+    assert abs(budget - 0.8 * sum(sizes.values())) < 1e-6 * budget
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -11,7 +11,7 @@ from huisclos.llm.arrowtext import gram_hashes, runs, word_hashes
 from huisclos.llm.brown import _xlogx, exchange_classes
 from huisclos.llm.decontaminate import greedy_tiles
 from huisclos.llm.mixing import inclusion, rake, tempered
-from huisclos.llm.secrets import infer_alphabet, randomness, rejection_bins, scan_batch
+from huisclos.llm.secrets import SYMBOLS, evidence, infer_alphabet, ordinary_model, pair_counts, randomness, rejection_bins, scan_batch
 from huisclos.llm.sharding import schedule
 from huisclos.llm.simhash import decode, error_patterns, fingerprint, golay_keys, links_within, remainders
 from huisclos.llm.suffix_dedup import common_prefixes, merge_shards, repeats_in_shard, suffix_array
@@ -164,10 +164,10 @@ def test_randomness_battery():
     assert sum(x < 0.05 for x in p) < 45
     for plain in ("aaaaaaaaaaaaaaaaaaaaaaaa1", "abababababababababab1212", "version2version2version2version2", "0123456789abcdef0123456789abcdef"):
         assert randomness(plain) < 0.05, plain
-    assert infer_alphabet("a-b_c+") is None and randomness("a-b_c+") == 0.0
-    counts = {(0, 0): 90, (0, 200): 10, (1, 0): 5}
-    cuts = rejection_bins(counts, 0.05)
-    assert 0 < cuts[0] <= 200 and cuts[1] == 400
+    assert infer_alphabet("a-b_c+").endswith("+/-_") and infer_alphabet("abc!") is None and randomness("abc!") == 0.0
+    # ten pieces with e = 10^20 of a hundred: a secret needs 100 / (0.05 x 10) = 200; five without evidence are none
+    cuts = rejection_bins({(0, 0): 90, (0, 200): 10, (1, 0): 5, (2, 10): 1, (2, 0): 9}, 0.05)
+    assert 0 < cuts[0] <= 200 and cuts[1] == cuts[2] == 400
 
 
 def test_scan_adds_random_spans():
@@ -175,9 +175,25 @@ def test_scan_adds_random_spans():
     texts = [f"cle {token} fin", "password: abc", 'API_KEY="abcdefghijkl"', "AKIA" + "B" * 14, "0123456789abcdef", "x" * 40]
     data, at = "".join(texts).encode(), np.cumsum([0, *map(len, texts)])
     found = scan_batch(data, at)
-    assert [s[:3] for s in found[0]] == [(4, 3, 36)] and found[0][0][3] > 0.05
-    assert 1 not in found and [s[:3] for s in found[2]] == [(0, 0, 21)]
-    assert [s[:3] for s in found[3]] == [(0, 1, 18)] and [s[:3] for s in found[4]] == [(0, 2, 16)] and 5 not in found
+    assert found[0] == [(4, 3, 36)] and 1 not in found and found[2] == [(0, 0, 21)]
+    assert found[3] == [(0, 1, 18)] and found[4] == [(0, 2, 16)] and found[5] == [(0, 3, 40)]
+
+
+def test_evidence_is_a_fair_bet_against_ordinary_text():
+    """The null model is a distribution at each step, so an e-value's mean under it is 1 at most."""
+    model = ordinary_model(pair_counts(np.frombuffer(b"Some ordinary words, and getUserFile37 of /usr/lib-2" * 20, dtype=np.uint8)))
+    assert np.allclose((10.0**model).sum(axis=1), 1, atol=1e-9) or ((10.0**model).sum(axis=1) <= 1 + 1e-9).all()
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_"
+    es = []
+    for _ in range(400):
+        at, token = SYMBOLS - 1, ""
+        for _ in range(24):
+            p = 10.0 ** model[at]
+            at = int(rng.choice(SYMBOLS - 1, p=p / p.sum()))
+            token += letters[at]
+        es.append(10.0 ** evidence(token, model))
+    assert np.mean(es) < 3
 
 
 def test_words_and_grams_do_not_depend_on_neighbours():
