@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import matches
@@ -43,6 +43,18 @@ def recall_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
     return sums.withColumn("recall", F.try_divide("n_covered", "n_true")).withColumn("precision", F.try_divide("n_correct", "n_found"))
 
 
+def percent(done: Column, total: Column) -> Column:
+    """``75.0 % (3/4)``, or ``n/a`` over zero."""
+    share = F.format_string("%.1f %% (%d/%d)", done / total * 100.0, done.cast("long"), total.cast("long"))
+    return F.when(total > 0, share).otherwise("n/a")
+
+
+def report_lines(measures: DataFrame) -> DataFrame:
+    """(type, line): a Markdown table row for each type of ``recall_precision``."""
+    recall, precision = percent(F.col("n_covered"), F.col("n_true")), percent(F.col("n_correct"), F.col("n_found"))
+    return measures.select("type", F.concat(F.lit("| "), "type", F.lit(" | "), recall, F.lit(" | "), precision, F.lit(" |")).alias("line"))
+
+
 def leaks(payloads: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """(``keys``, value) for each known value that stands in a protected text of the same key; must be empty."""
     joined = payloads.join(values.where("value <> ''"), keys)
@@ -51,9 +63,11 @@ def leaks(payloads: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Words of more than three letters that tell nothing.
 STOP_WORDS = (
-    "dans plus même meme pour avec sans sous chez tout tous toute toutes cette cettes leur leurs elle elles vous nous "
-    "être etre avoir fait entre vers depuis dont aussi comme mais donc alors ainsi après apres avant encore était etait"
-).split()
+    "dans", "plus", "même", "meme", "pour", "avec", "sans", "sous", "chez", "tout", "tous", "toute",
+    "toutes", "cette", "cettes", "leur", "leurs", "elle", "elles", "vous", "nous", "être", "etre", "avoir",
+    "fait", "entre", "vers", "depuis", "dont", "aussi", "comme", "mais", "donc", "alors", "ainsi", "après",
+    "apres", "avant", "encore", "était", "etait",
+)
 
 
 def _flat(text: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import matches, rebuild
+from ..sources.audit import events
 
 NUMBERED = r"\[[A-Z_]+_\d{3,}\]"
 NONE = "array<struct<start:int,end:int,replacement:string>>"
@@ -41,3 +42,10 @@ def restore_surrogates(replies: DataFrame, surrogates: DataFrame, text: str = "t
     lists = surrogates.groupBy("dossier_id").agg(pairs.alias("__pairs"))
     restored = F.aggregate("__pairs", F.col(text), lambda acc, p: F.replace(acc, p["surrogate"], p["placeholder"]))
     return replies.join(lists, "dossier_id", "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(restored)).drop("__pairs")
+
+
+def reidentify_audited(replies: DataFrame, canonical: DataFrame, keys: list[str], text: str = "text", out: str = "restored") -> tuple[DataFrame, DataFrame]:
+    """(replies with values, audit rows): an event for each dossier with the number of placeholders asked for, and no text."""
+    asked = placeholders_in(replies, keys, text).groupBy("dossier_id").agg(F.count("*").cast("int").alias("n"))
+    trail = asked.select("dossier_id", F.lit("reidentified").alias("status"), F.create_map(F.lit("placeholders"), "n").alias("counts"))
+    return reidentify(replies, canonical, keys, text, out), events(trail)

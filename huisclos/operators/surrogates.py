@@ -8,7 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .coreference import gender
+from .coreference import gender_of
+from .rewrite import placeholders_in, replace_spans
 
 #: First and last names to draw from.
 MALE_NAMES = "Adrien Bruno Cyril Didier Émile Fabrice Gaston Hugo Ivan Jules Kévin Loïc Marius Noé Olivier Pascal Quentin Rémi Simon Théo Ulysse Victor William Xavier Yann".split()
@@ -33,9 +34,9 @@ def assign_surrogates(people: DataFrame, known: DataFrame | None = None) -> Data
 
     A draw depends on the names already given, so a dossier's people are folded in order of number.
     """
-    rows = people.select("dossier_id", "placeholder", "surface", F.lit(None).cast("string").alias("surrogate"))
+    rows = people.select("dossier_id", "placeholder", "surface", F.lit(None).cast("string").alias("surrogate"), gender_of(F.col("surface")).alias("gender"))
     if known is not None:
-        rows = rows.unionByName(known.select("dossier_id", "placeholder", F.lit(None).cast("string").alias("surface"), "surrogate"))
+        rows = rows.unionByName(known.select("dossier_id", "placeholder", F.lit(None).cast("string").alias("surface"), "surrogate", F.lit(None).cast("string").alias("gender")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         dossier = pdf["dossier_id"].iloc[0]
@@ -43,7 +44,7 @@ def assign_surrogates(people: DataFrame, known: DataFrame | None = None) -> Data
         forbidden = set(pdf["surface"].dropna()) | set(given.values())
         for placeholder, own in sorted(pdf.dropna(subset=["surface"]).groupby("placeholder"), key=lambda g: (len(g[0]), g[0])):
             if placeholder not in given:
-                kinds = sorted(filter(None, map(gender, own["surface"])))
+                kinds = sorted(own["gender"].dropna())
                 given[placeholder] = draw(dossier, placeholder, kinds[0] if kinds else None, forbidden)
                 forbidden.add(given[placeholder])
         return pd.DataFrame({"dossier_id": dossier, "placeholder": list(given), "surrogate": list(given.values())})
@@ -51,10 +52,10 @@ def assign_surrogates(people: DataFrame, known: DataFrame | None = None) -> Data
     return rows.groupBy("dossier_id").applyInPandas(fold, "dossier_id string, placeholder string, surrogate string")
 
 
-def apply_surrogates(texts: DataFrame, surrogates: DataFrame, text: str = "protected") -> DataFrame:
-    """All occurrences of each person's placeholder in the dossier's texts become the fake name."""
-    lists = surrogates.groupBy("dossier_id").agg(F.array_sort(F.collect_list(F.struct("placeholder", "surrogate"))).alias("__pairs"))
-    written = F.aggregate("__pairs", F.col(text), lambda acc, p: F.replace(acc, p["placeholder"], p["surrogate"]))
-    return texts.join(lists, "dossier_id", "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(written)).drop("__pairs")
-
+def apply_surrogates(texts: DataFrame, surrogates: DataFrame, text: str = "protected", keys: tuple[str, ...] = ("dossier_id", "seq")) -> DataFrame:
+    """All occurrences of each person's placeholder in the dossier's texts become the fake name.
 
+    Tokens of texts join the names by (dossier, placeholder), so no dossier's names meet in one row. ``keys`` identify a text.
+    """
+    tokens = placeholders_in(texts, list(keys), text).join(surrogates.select("dossier_id", "placeholder", F.col("surrogate").alias("replacement")), ["dossier_id", "placeholder"])
+    return replace_spans(texts, tokens.select(*keys, "start", "end", "replacement"), list(keys), text, text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.integrity import check, restore_tokens
 from ..operators.rewrite import NUMBERED, reidentify
 from ..operators.vault import known_placeholders
+from ..sources.audit import events
 from ..sources.connectors import echo_replies, with_system_prompt
 from .pseudonymize import Protected, pseudonymize
 
@@ -19,7 +20,28 @@ def request_messages(protected: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "role", F.col("protected").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     tokens = F.flatten(F.collect_list(F.regexp_extract_all("protected", F.lit(NUMBERED), F.lit(0))))
     merged = protected.groupBy("dossier_id").agg(ordered.alias("messages"), F.array_sort(F.array_distinct(tokens)).alias("sent"))
-    return merged.withColumn("messages", with_system_prompt(F.col("messages"))).withColumn("size", F.aggregate("messages", F.lit(0), lambda a, m: a + F.length(m["content"])))
+    sized = merged.withColumn("messages", with_system_prompt(F.col("messages"))).withColumn("size", F.aggregate("messages", F.lit(0), lambda a, m: a + F.length(m["content"])))
+    return sized.join(merged_counts(protected, ["dossier_id"]), "dossier_id", "left")
+
+
+def merged_counts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(``keys``, counts): the texts' counts by type, summed."""
+    sums = texts.select(*keys, F.explode("counts").alias("type", "n")).groupBy(*keys, "type").agg(F.sum("n").cast("int").alias("n"))
+    return sums.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"))
+
+
+def without_streaming(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests whose ``stream`` is false, audit rows of those that asked for a stream)."""
+    asked = requests.where("stream").select("dossier_id", F.lit("stream_refused").alias("status"))
+    return requests.withColumn("stream", F.lit(False)), events(asked)
+
+
+def chat_response(answers: DataFrame, model: str = "") -> DataFrame:
+    """(dossier_id, response): a chat completion's shape with the answer and the report on placeholders; no text where the back end failed."""
+    message = F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"))
+    choice = F.struct(F.lit(0).alias("index"), message.alias("message"), F.when(F.col("error_kind").isNull(), "stop").otherwise("error").alias("finish_reason"))
+    whole = F.struct(F.lit("chat.completion").alias("object"), F.lit(model).alias("model"), F.array(choice).alias("choices"), F.col("report"))
+    return answers.select("dossier_id", whole.alias("response"))
 
 
 def converse(messages: DataFrame, policies: DataFrame | None = None, back_end: Callable[[DataFrame], DataFrame] = echo_replies, reidentified: bool = True) -> tuple[Protected, DataFrame]:

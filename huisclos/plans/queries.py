@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import label
 from ..functions.validators import iban_valid, luhn_valid, nir_key, nir_valid
 from ..operators import judge as judging
+from ..operators import policy, vault
 from ..operators.coreference import resolve_people
 from ..operators.detect import detect, gazetteer_engine, merge_adjacent, span_rows
-from ..operators.evaluate import canary_match, leaks, recall_precision, truth_spans
+from ..operators.evaluate import canary_match, leaks, recall_precision, report_lines, truth_spans
 from ..operators.integrity import check, normalize, restore_tokens
-from ..operators.rewrite import reidentify
+from ..operators.rewrite import reidentify, reidentify_audited, restore_surrogates
 from ..operators.surrogates import apply_surrogates, assign_surrogates
 from ..operators.vault import guard_modes, number_surfaces, purge
 from ..sources.audit import events
 from ..sources.files import extract
-from .conversation import converse
+from .conversation import converse, merged_counts, request_messages
 from .materialize import written
-from .pseudonymize import long_spans, pseudonymize
+from .pseudonymize import long_spans, pseudonymize, serious_view
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -247,17 +249,28 @@ def integrity_report(spark, d):
 
 
 def leak_check(spark, d):
+    """Every fiftieth protected text has its e-mail written into it again."""
     done = pseudonymize(_messages(spark, d))
-    values = done.canonical.select("dossier_id", "value")
-    found = leaks(done.texts.select("dossier_id", "protected"), values, ["dossier_id"])
-    return found.agg(F.count("*").alias("n_leaks"))
+    leaky = F.concat("protected", F.when(F.col("seq") % 50 == 0, F.concat(F.lit(" c"), (F.col("seq") % 7).cast("string"), F.lit("@mail.fr"))).otherwise(""))
+    found = leaks(done.texts.select("dossier_id", "seq", leaky.alias("protected")), done.canonical.select("dossier_id", "value"), ["dossier_id"])
+    return found.groupBy("value").agg(F.count("*").alias("n_leaks"))
 
 
-def eval_recall_precision(spark, d):
+def _measured(spark, d):
+    """E-mails as truth, some with a shorter value; a quarter isn't found, and some findings are wrong."""
     docs = _messages(spark, d).select(F.col("seq").alias("doc_id"), "text")
     truth = docs.select("doc_id", F.lit("EMAIL").alias("type"), F.concat(F.lit("c"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 5 == 0, "@mail").otherwise("@mail.fr")).alias("value"))
-    found = _spans(docs, "doc_id").where("type = 'EMAIL'").where("doc_id % 4 <> 0")
-    return recall_precision(truth_spans(docs, truth), found)
+    found = _spans(docs, "doc_id").where("type = 'EMAIL'").where("doc_id % 4 <> 0").select("doc_id", "type", "start", "end")
+    wrong = docs.where("doc_id % 10 = 1").select("doc_id", F.lit("EMAIL").alias("type"), F.lit(0).alias("start"), F.lit(5).alias("end"))
+    return recall_precision(truth_spans(docs, truth), found.unionByName(wrong))
+
+
+def eval_recall_precision(spark, d):
+    return _measured(spark, d)
+
+
+def markdown_report(spark, d):
+    return report_lines(_measured(spark, d))
 
 
 def _judge_rows(spark, d) -> DataFrame:
@@ -281,16 +294,27 @@ def judge_last_message(spark, d):
     return judging.judge_input(_table(spark, d, "conversations")).select("conv_id", "turn", F.length("text").alias("n_chars"))
 
 
+def _turns(spark, d) -> DataFrame:
+    text = F.concat(F.col("text"), F.lit(" Ecrire a c"), (F.col("turn") % 2).cast("string"), F.lit("@mail.fr"))
+    return _table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("dossier_id"), F.col("turn").alias("seq"), "role", text.alias("text"))
+
+
 def conversation_gateway(spark, d):
-    messages = _table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("dossier_id"), F.col("turn").alias("seq"), "role", F.concat(F.col("text"), F.lit(" Ecrire a c"), (F.col("turn") % 2).cast("string"), F.lit("@mail.fr")).alias("text"))
-    _, answers = converse(messages)
-    return answers.select("dossier_id", F.concat_ws(",", "sent").alias("sent"), F.col("report.ok").alias("ok"), F.md5("answer").alias("answer_md5"))
+    """Every third reply names a placeholder that its dossier doesn't know."""
+
+    def back_end(requests):
+        made_up = F.when(F.col("dossier_id").cast("long") % 3 == 0, " [PLAQUE_009]").otherwise("")
+        return requests.withColumn("reply", F.concat("protected", made_up)).withColumn("error_kind", F.lit(None).cast("string"))
+
+    _, answers = converse(_turns(spark, d), back_end=back_end)
+    ok = F.col("report.ok")
+    return answers.select("dossier_id", F.concat_ws(",", "sent").alias("sent"), ok.alias("ok"), F.concat_ws(",", "report.unknown").alias("unknown"), F.when(ok, F.md5("answer")).alias("answer_md5"))
 
 
 def audit_events(spark, d):
-    rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("approximate_size"))
-    named = rows.select(F.concat(F.lit("r"), "conv_id").alias("request_id"), F.col("conv_id").cast("string").alias("dossier_id"), F.lit("echo").alias("backend"), F.lit("ok").alias("status"), "approximate_size")
-    return events(named).select("request_id", "dossier_id", "backend", "status", "approximate_size")
+    requests = request_messages(pseudonymize(_turns(spark, d)).texts)
+    named = requests.select(F.concat(F.lit("r"), "dossier_id").alias("request_id"), "dossier_id", F.lit("echo").alias("backend"), F.lit("ok").alias("status"), F.col("size").alias("approximate_size"), "counts")
+    return events(named).select("request_id", "dossier_id", "backend", "status", "approximate_size", F.col("counts")["EMAIL"].alias("n_email"))
 
 
 NAMES = ("Jean Dupont", "M. Dupont", "Marie Dupont", "Mme Dupont", "J. Martin", "Paul Martin")
@@ -322,11 +346,13 @@ def name_engine(spark, d):
 
 
 def canaries(spark, d):
-    pages = _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), F.split("text", " ").alias("w"))
-    own = pages.select("doc_id", F.lit(0).alias("n"), F.lit("first").alias("canary"), F.array(F.concat_ws(" ", F.slice("w", 1, 4))).alias("extracts"))
-    other = pages.select("doc_id", F.lit(1).alias("n"), F.lit("second").alias("canary"), F.array(F.concat_ws(" ", F.slice("w", 1, 3))).alias("extracts"))
-    segments = pages.select("doc_id", F.lit(0).alias("n"), F.concat_ws(" ", F.slice("w", 1, 6)).alias("segment"))
-    return canary_match(own.unionAll(other), segments)
+    """Whole texts in runs of twelve words. One canary quotes the first run in every second text; one has the second run's words in reverse."""
+    pages = _table(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("doc_id"), F.split("text", " ").alias("w"))
+    quoted = F.when(F.col("item_id") % 2 == 0, F.array_join(F.slice("w", 3, 6), " ")).otherwise("zzzz qqqq xxxx")
+    first = pages.select("doc_id", F.lit(0).alias("n"), F.lit("quoted").alias("canary"), F.array(quoted).alias("extracts"))
+    second = pages.select("doc_id", F.lit(1).alias("n"), F.lit("reworded").alias("canary"), F.array(F.array_join(F.reverse(F.slice("w", 13, 12)), " ")).alias("extracts"))
+    runs = pages.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 12).cast("int")), lambda k: F.array_join(F.slice("w", k * 12 + 1, 12), " "))).alias("n", "segment"))
+    return canary_match(first.unionAll(second), runs)
 
 
 def extracted_files(spark, d):
@@ -335,6 +361,121 @@ def extracted_files(spark, d):
     return extract(files).select("path", "text", "error_kind")
 
 
+def siren_context(spark, d):
+    return _derived(spark, d, "customer", "c_custkey", F.concat(F.lit("SIREN "), _digits("c_custkey", 9))).where("type LIKE 'FR_SIREN%'")
+
+
+def iban_context(spark, d):
+    body = F.concat(F.lit("RIB FR"), F.lpad((F.col("c_custkey") % 97 + 2).cast("string"), 2, "0"), F.lit("30003"), _digits("c_custkey", 18))
+    return _derived(spark, d, "customer", "c_custkey", body).where("type LIKE 'IBAN%'")
+
+
+def born_dates(spark, d):
+    text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Patient ne(e) le : ").otherwise("Patiente née le "), F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return _derived(spark, d, "orders", "o_orderkey", F.replace(text, F.lit("ne(e)"), F.lit("né(e)")))
+
+
+def glued_dates(spark, d):
+    """Dates have no borders: letters and digits may touch them."""
+    text = F.concat(F.lit("le"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("1"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("bis"))
+    return _derived(spark, d, "orders", "o_orderkey", text)
+
+
+def policy_override(spark, d):
+    """A dossier's actions over the instance's, type by type, through their stored form."""
+    instance = F.create_map(F.lit("EMAIL"), F.lit("masquer"), F.lit("IBAN"), F.lit("revue"))
+    own = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("EMAIL"), F.lit("conserver"), F.lit("PLAQUE"), F.lit("masquer")))
+    stored = written(_table(spark, d, "customer").select("c_custkey", policy.to_json(policy.override(instance, own), F.lit(False)).alias("stored")))
+    rows = stored.select("c_custkey", policy.from_json(F.col("stored")).alias("read")).select("c_custkey", F.col("read.actions").alias("p"), F.explode(F.array(*map(F.lit, ("EMAIL", "IBAN", "PLAQUE", "DATE_PROCEDURALE")))).alias("type"))
+    return rows.select("c_custkey", "type", policy.action_for(F.col("type"), F.col("p")).alias("action"))
+
+
+def policy_replaced(spark, d):
+    """Supplied policies replace the stored ones of their dossiers only."""
+    new = _table(spark, d, "customer").where("c_custkey % 6 = 0").select(F.col("c_custkey").cast("string").alias("dossier_id"), F.lit("IBAN").alias("type"), F.lit("masquer").alias("action"))
+    return policy.replace_stored(_policies(spark, d), new)
+
+
+def serious_projection(spark, d):
+    return serious_view(long_spans(_messages(spark, d))).where("type = 'EMAIL'").select("dossier_id", "seq", "start", "end", "score")
+
+
+def _email_vault(spark, d) -> DataFrame:
+    spans = long_spans(_messages(spark, d)).where("type = 'EMAIL'").select("dossier_id", "seq", "start", "type", "surface")
+    return written(number_surfaces(written(spans)))
+
+
+def vault_lookup(spark, d):
+    return vault.surfaces_of(_email_vault(spark, d), "EMAIL")
+
+
+def vault_aliases(spark, d):
+    """Another surface for the first placeholder of every dossier, and a new canonical value for it."""
+    surfaces = _email_vault(spark, d)
+    first = surfaces.where("number = 1")
+    alias = first.select("dossier_id", "type", F.concat(F.lit("alias-"), "surface").alias("surface"), "placeholder", "number")
+    canonical = vault.upsert(vault.canonical_of(surfaces), alias.select("dossier_id", "placeholder", "type", F.col("surface").alias("value")), ["dossier_id", "placeholder"])
+    named = vault.upsert(surfaces, alias, ["dossier_id", "type", "surface"]).select("dossier_id", "surface", "placeholder")
+    return vault.value_for(named, canonical)
+
+
+def vault_sealed(spark, d):
+    """Through encryption at rest and back; no sealed value shows its surface."""
+    key = F.lit("0123456789abcdef")
+    rows = _table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("c"), "c_custkey", F.lit("@mail.fr"))).alias("surface"))
+    closed = vault.sealed(rows, ["surface"], key).withColumn("shows", F.col("surface").contains("@"))
+    return vault.opened(closed, ["surface", "alias"], key).select("c_custkey", "surface", "alias", "shows")
+
+
+def counts_of_dossiers(spark, d):
+    """Counts by type of each text, merged over a dossier's texts."""
+    merged = merged_counts(pseudonymize(_messages(spark, d)).texts, ["dossier_id"])
+    return merged.select("dossier_id", F.explode("counts").alias("type", "n"))
+
+
+def audited_reidentification(spark, d):
+    done = pseudonymize(_messages(spark, d))
+    back, trail = reidentify_audited(done.texts.select("dossier_id", "seq", F.col("protected").alias("text")), done.canonical, ["dossier_id", "seq"])
+    return back.select("dossier_id", "seq", "restored").join(trail.select("dossier_id", F.col("counts")["placeholders"].alias("n_in_dossier")), "dossier_id")
+
+
+def _paired(spark, d) -> DataFrame:
+    """Two names in each dossier: one person in the first third of dossiers, two people in the others."""
+    orders, even = _table(spark, d, "orders"), F.col("o_orderkey") % 2 == 0
+    third = F.col("o_custkey") % 3
+    name = F.when(third == 0, F.when(even, "Jean Dupont").otherwise("M. Dupont")).when(third == 1, F.when(even, "Mme Dupont").otherwise("M. Dupont")).otherwise(F.when(even, "Jean Paul Dupont").otherwise("Jean Marc Dupont"))
+    return orders.select(F.col("o_custkey").cast("string").alias("dossier_id"), F.col("o_orderkey").alias("seq"), F.lit(0).alias("start"), name.alias("surface"))
+
+
+def coreference_pairs(spark, d):
+    return resolve_people(_paired(spark, d)).select("dossier_id", "surface", "number", "canonical", "ambiguous")
+
+
+def coreference_ambiguous(spark, d):
+    """Jean, then Marie, then only M. Dupont: who that is can't be known."""
+    nth = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    name = F.when(F.col("nth") == 1, "Jean Dupont").when(F.col("nth") == 2, "Marie Dupont").otherwise("M. Dupont")
+    rows = _table(spark, d, "orders").withColumn("nth", nth).select(F.col("o_custkey").cast("string").alias("dossier_id"), F.col("o_orderkey").alias("seq"), F.lit(0).alias("start"), name.alias("surface"))
+    return resolve_people(rows).select("dossier_id", "surface", "number", "canonical", "ambiguous")
+
+
+def surrogate_properties(spark, d):
+    """Every person has a fake name, no two share one, and none is a real name of the dossier."""
+    people = written(resolve_people(_paired(spark, d)).select("dossier_id", "placeholder", "surface"))
+    fake = written(assign_surrogates(people))
+    real = fake.join(people.select("dossier_id", F.col("surface").alias("surrogate"), F.lit(1).alias("real")), ["dossier_id", "surrogate"], "left")
+    return real.groupBy("dossier_id").agg(F.countDistinct("placeholder").alias("n_people"), F.countDistinct("surrogate").alias("n_names"), F.count("real").alias("n_real"))
+
+
+def surrogate_roundtrip(spark, d):
+    people = written(resolve_people(_paired(spark, d)))
+    fake = written(assign_surrogates(people.select("dossier_id", "placeholder", "surface")))
+    texts = _paired(spark, d).join(people, ["dossier_id", "surface"]).select("dossier_id", "seq", F.concat(F.lit("Vu par "), "placeholder", F.lit(" et "), "placeholder").alias("protected"))
+    hidden = apply_surrogates(texts, fake).select("dossier_id", "seq", F.col("protected").alias("text"))
+    shown = F.col("text").contains("PERSONNE")
+    return restore_surrogates(hidden.withColumn("before", shown), fake).select("dossier_id", "seq", "before", "text")
+
+
 def labels_of_types(spark, d):
     return _spans(_documents(spark, d), "doc_id").select(label(F.col("type")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -347,6 +488,8 @@ QUERIES = {
         overlap_priority, merged_spans, policy_actions, numbering, numbering_incremental, protected_texts, reidentify_roundtrip,
         documents_pseudonymized, mode_separation, purge_vault, normalize_tokens, restore_altered, integrity_report, leak_check,
         eval_recall_precision, judge_strict_parse, judge_locate, judge_last_message, conversation_gateway, audit_events, coreference,
-        surrogates, surrogate_texts, name_engine, canaries, extracted_files, labels_of_types,
+        surrogates, surrogate_texts, name_engine, canaries, extracted_files, labels_of_types, siren_context, iban_context, born_dates,
+        glued_dates, policy_override, policy_replaced, serious_projection, vault_lookup, vault_aliases, vault_sealed, counts_of_dossiers,
+        audited_reidentification, coreference_pairs, coreference_ambiguous, surrogate_properties, surrogate_roundtrip, markdown_report,
     )
 }

@@ -74,7 +74,7 @@ def test_surrogates(spark):
     assert len({names["A", "[PERSONNE_001]"], names["A", "[PERSONNE_002]"]}) == 2
     again = {(r["dossier_id"], r["placeholder"]): r["surrogate"] for r in assign_surrogates(people, first).collect()}
     assert again == names
-    texts = spark.createDataFrame([("A", "[PERSONNE_001] et [PERSONNE_001]"), ("Z", "[PERSONNE_001]")], "dossier_id string, protected string")
+    texts = spark.createDataFrame([("A", 1, "[PERSONNE_001] et [PERSONNE_001]"), ("Z", 1, "[PERSONNE_001]")], "dossier_id string, seq long, protected string")
     assert {r["protected"] for r in apply_surrogates(texts, first).collect()} == {" et ".join([names["A", "[PERSONNE_001]"]] * 2), "[PERSONNE_001]"}
     taken = draw("A", "p", "f", set())
     assert draw("A", "p", "f", {taken}) != taken

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from huisclos.operators import policy
-from huisclos.operators.coreference import People
+from huisclos.operators.coreference import resolve_people
 from huisclos.operators.detect import gazetteer_engine
 from huisclos.operators.integrity import check, restore_tokens
 from huisclos.operators.rewrite import reidentify
@@ -64,11 +64,12 @@ def test_coreference_in_a_job(spark):
         (["J. Dupont", "Jean Dupont"], [1, 1], set(), {1: "Jean Dupont"}),
     ],
 )
-def test_coreference(mentions, numbers, ambiguous, canonical):
-    people = People()
-    assert [people.see(m) for m in mentions] == numbers
-    assert people.ambiguous == ambiguous
-    assert canonical is None or people.canonical == canonical
+def test_coreference(spark, mentions, numbers, ambiguous, canonical):
+    rows = [("A", n, 0, m) for n, m in enumerate(mentions)]
+    got = {r["surface"]: r for r in resolve_people(spark.createDataFrame(rows, "dossier_id string, seq long, start int, surface string")).collect()}
+    assert [got[m]["number"] for m in mentions] == numbers
+    assert {r["number"] for r in got.values() if r["ambiguous"]} == ambiguous
+    assert canonical is None or {r["number"]: r["canonical"] for r in got.values()} == canonical
 
 
 KNOWN = ["[PERSONNE_001]", "[EMAIL_001]", "[REFERENCE_001]"]
