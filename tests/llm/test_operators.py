@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from huisclos.llm.ann import top_neighbours
-from huisclos.llm.brown import brown_scores
+from huisclos.llm.brown import brown_scores, exchange_classes, shape
 from huisclos.llm.decontaminate import contaminated_pairs
 from huisclos.llm.mixing import mix_documents
 from huisclos.llm.secrets import scan_secrets
@@ -317,7 +317,7 @@ def test_raking_by_joins_equals_raking_on_the_driver(spark):
 
 
 def test_brown(spark, docs, empty, odd):
-    got = {r["doc_id"]: r for r in brown_scores(docs, known=100, clustered=20, classes=4).collect()}
+    got = {r["doc_id"]: r for r in brown_scores(docs, known=100, core=20, classes=4).collect()}
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(TEXTS))]
     tokens = [(t or "").lower().split() + [None] for t in TEXTS]
     c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
@@ -332,6 +332,95 @@ def test_brown(spark, docs, empty, odd):
     assert {(r["n_known"], r["train_tokens"]) for r in alone.collect()} == {(0, 0)}
 
 
+def plain_brown(texts, held, known, core, classes, prior, least, sweeps):
+    """The class score from dictionaries: words are moved one at a time and the class pairs counted anew for each."""
+    tokens = [(t or "").lower().encode().split() for t in texts]
+    train = [t for t, h in zip(tokens, held) if not h]
+    count = Counter(w for t in train for w in t)
+    ranked = sorted(count, key=lambda w: (-count[w], w))
+    if len(ranked) > known:  # all words from some count on, so that no count is split
+        ranked = [w for w in ranked if count[w] > count[ranked[known]]]
+    core = min(core, len(ranked))
+    core_words, others = ranked[:core], ranked[core:]
+    opened = {w: classes + shape(w) for t in tokens for w in t}
+    end = classes + 8
+
+    def pairs(context, current):
+        return Counter((a, b) for t in train for a, b in zip([end, *(context[w] for w in t)], [*(current[w] for w in t), end]))
+
+    n = core + 9
+    number = {w: core_words.index(w) if w in core_words else core + shape(w) for w in opened}
+    bigrams = np.zeros((n, n))
+    for t in train:
+        for a, b in zip([n - 1, *(number[w] for w in t)], [*(number[w] for w in t), n - 1]):
+            bigrams[a, b] += 1
+    label = opened | dict(zip(core_words, exchange_classes(bigrams, core, classes)[:core]))
+
+    def joined(words, context, table):
+        moved = {}
+        for w in words:
+            before, after, own = Counter(), Counter(), context[w] if context[w] < classes and w in ranked else None
+            for t in train:
+                for i, x in enumerate(t):
+                    if x == w:
+                        before[context[t[i - 1]] if i else end] += 1
+                        after[context[t[i + 1]] if i + 1 < len(t) else end] += 1
+
+            def gain(k):
+                def rise(cell, n):
+                    cell = max(cell, 0)
+                    return (cell + n) * np.log(max(cell + n, 1)) - cell * np.log(max(cell, 1))
+
+                mine = k == own
+                cells = sum(rise(table[d, k] - mine * n, n) for d, n in before.items()) + sum(rise(table[k, d] - mine * n, n) for d, n in after.items())
+                into = sum(x for (_, b), x in table.items() if b == k)
+                out_of = sum(x for (a, _), x in table.items() if a == k)
+                total = count[w]
+                return cells - rise(into - mine * total, total) - rise(out_of - mine * total, total) + (1e-6 if mine else 0)
+
+            if count[w] >= least:
+                moved[w] = max(range(classes), key=lambda k: (round(gain(k), 9), -k))
+        return moved
+
+    for _ in range(sweeps):
+        label = label | joined(others, label, pairs(label, label))
+    rest = [w for w in count if w not in ranked]
+    seen = Counter()
+    for t in train:
+        for a, w in zip([end, *(label[x] for x in t)], t + [None]):
+            if w not in rest:
+                seen[a, end if w is None else label[w]] += 1
+    final = label | joined(rest, label, seen)
+    table = pairs(label, final)
+    size = classes + 9
+    into = [sum(x for (_, b), x in table.items() if b == k) for k in range(size)]
+    out_of = [sum(x for (a, _), x in table.items() if a == k) for k in range(size)]
+
+    def log_chance(a, w):
+        k = end if w is None else final[w]
+        unigram = (into[k] + 0.5) / (sum(into) + 0.5 * size)
+        move = (table[a, k] + prior * unigram) / (out_of[a] + prior)
+        if w is None:
+            return np.log10(move)
+        if k < classes:
+            return np.log10(move * count[w] / into[k])
+        return np.log10(move * (count[w] + 0.5) / (into[k] + 0.5 * (1 + sum(final[x] == k for x in count))))
+
+    return [sum(log_chance(a, w) for a, w in zip([end, *(label[x] for x in t)], [*t, None])) for t in tokens]
+
+
+@pytest.mark.parametrize("known, sweeps", [(40, 2), (15, 1), (1000, 2)])
+def test_brown_by_plain_counts(spark, known, sweeps):
+    rng = random.Random(5)
+    words = [f"{c}{i}{e}" for c in "abc" for i in range(25) for e in ("", "é", ".")[: 1 + i % 3]]
+    texts = [" ".join(rng.choice(words[: rng.choice((8, 30, len(words)))]) for _ in range(rng.randint(0, 30))) for _ in range(50)] + [None, "neuf mots inconnus"]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    how = {"known": known, "core": 12, "classes": 4, "prior": 2.0, "least": 2, "sweeps": sweeps}
+    got = {r["doc_id"]: r["score"] for r in brown_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **how).collect()}
+    want = plain_brown(texts, held, **how)
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
+
+
 def test_contamination(spark, docs, empty, odd):
     words = PASSAGE.split()
     moved = " ".join(words[20:] + ["autre", "chose"] + words[:20])
