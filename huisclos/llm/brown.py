@@ -37,6 +37,7 @@ from .common import Written, held_out
 OPEN = 8
 LONGEST = 64
 ADD = 0.5
+END, OTHER = -2, -3
 
 
 def shape(word: bytes) -> int:
@@ -73,7 +74,6 @@ class Vocabulary:
     """The most frequent words: number, count and symbol of each. Symbols: words or classes, from ``open`` on the open classes, the end."""
 
     def __init__(self, words: list[bytes], counts: list[int], core: int):
-        self.index = {w: i for i, w in enumerate(words)}
         self.counts = np.array(counts, dtype=np.float64)
         self.core = min(core, len(words))
         self.shapes = np.array([shape(w) for w in words], dtype=np.int64)
@@ -83,25 +83,52 @@ class Vocabulary:
         self.symbol, self.open, self.end = symbol, open_from, open_from + OPEN
         return self
 
-    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-        """(word number, -1 for others and -2 for ends; symbol; first token of each text; other words of each text)."""
-        numbers: list[int] = []
-        starts, others = [], []
-        symbols_of_others: list[int] = []
-        get = self.index.get
-        for words in texts:
-            starts.append(len(numbers))
-            own = [get(w, -1) for w in words]
-            rest = [w for w, i in zip(words, own) if i < 0] if -1 in own else []
-            symbols_of_others += map(shape, rest)
-            others.append(rest)
-            numbers += own
-            numbers.append(-2)
-        ids = np.array(numbers, dtype=np.int64)
-        symbols = np.full(len(ids), self.end, dtype=np.int64)
-        symbols[ids >= 0] = self.symbol[ids[ids >= 0]]
-        symbols[ids == -1] = self.open + np.array(symbols_of_others, dtype=np.int64)
-        return ids, symbols, np.array(starts, dtype=np.int64), others
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        """The symbol of each token; see ``_number`` for the ids."""
+        known = self.symbol[np.maximum(ids, 0)] if len(self.symbol) else 0
+        return np.where(ids >= 0, known, np.where(ids == END, self.end, self.open + OTHER - ids))
+
+
+def _number(vocabulary):
+    """Texts as word numbers of four bytes, so that later passes needn't read words: ``END`` for ends, ``OTHER`` less the shape for other words, which follow as a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = vocabulary.value.get
+        for rows, texts in _texts(batches):
+            ids: list[int] = []
+            starts, others, kept = [0], [], [0]
+            for words in texts:
+                own = [get(w, OTHER) for w in words]
+                if OTHER in own:
+                    rest = [w for w, i in zip(words, own) if i == OTHER]
+                    others += rest
+                    own = [OTHER - shape(w) if i == OTHER else i for w, i in zip(words, own)]
+                ids += own
+                ids.append(END)
+                starts.append(len(ids))
+                kept.append(len(others))
+            data = [None, pa.py_buffer(np.array(starts, dtype=np.int32) * 4), pa.py_buffer(np.array(ids, dtype=np.int32))]
+            numbers = pa.Array.from_buffers(pa.binary(), len(texts), data)
+            words = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(others, pa.binary()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), numbers, words], names=["doc_id", "held_out", "ids", "others"])
+
+    return run
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their tokens' ids, the first token of each row) in runs of about ``most`` bytes."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("ids")).cast(pa.large_binary())
+        if not len(column):
+            continue
+        at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        row = 0
+        while row < len(column):
+            end = min(len(column), max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1))
+            ids = np.frombuffer(data.slice(int(at[row]), int(at[end] - at[row])), dtype=np.int32).astype(np.int64)
+            yield batch.slice(row, end - row), ids, (at[row:end] - at[row]) // 4
+            row = end
 
 
 def _previous(symbols: np.ndarray, end: int) -> np.ndarray:
@@ -119,8 +146,8 @@ def _count_bigrams(vocabulary):
             code, where = np.unique(np.concatenate(codes), return_inverse=True)
             return code, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
 
-        for _, texts in _texts(batches):
-            _, symbols, _, _ = v.read(texts)
+        for _, ids, _ in _numbered(batches):
+            symbols = v.symbols(ids)
             code, n = np.unique(_previous(symbols, v.end) * size + symbols, return_counts=True)
             codes.append(code)
             counts.append(n)
@@ -217,8 +244,8 @@ def _known_contexts(vocabulary):
             code, where = np.unique(np.concatenate(codes), return_inverse=True)
             return code, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
 
-        for _, texts in _texts(batches):
-            ids, symbols, _, _ = v.read(texts)
+        for _, ids, _ in _numbered(batches):
+            symbols = v.symbols(ids)
             before, after = _previous(symbols, v.end), _following(symbols, v.end)
             pairs += np.bincount(before * size + symbols, minlength=size * size)
             at = np.nonzero(ids >= v.core)[0]
@@ -252,12 +279,12 @@ def _other_contexts(vocabulary):
             words, codes = zip(*held) if held else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(codes, pa.int64()), pa.array(list(held.values()), pa.int64())], names=["word", "code", "n"])
 
-        for _, texts in _texts(batches):
-            ids, symbols, _, others = v.read(texts)
+        for rows, ids, _ in _numbered(batches):
+            symbols = v.symbols(ids)
             before, after = _previous(symbols, v.end), _following(symbols, v.end)
-            mine = ids != -1
+            mine = ids > OTHER
             pairs += np.bincount(before[mine] * size + symbols[mine], minlength=size * size)
-            words = [w for rest in others for w in rest]
+            words = rows.column(rows.schema.get_field_index("others")).flatten().to_pylist()
             held.update(zip(words, before[~mine].tolist()))
             held.update(zip(words, (after[~mine] + size).tolist()))
             if len(held) > 200_000:
@@ -340,15 +367,15 @@ def _class_pairs(found, size: int) -> np.ndarray:
 def _score(vocabulary, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = vocabulary.value, model.value
-        for rows, texts in _texts(batches):
-            ids, symbols, starts, others = v.read(texts)
+        for rows, ids, starts in _numbered(batches):
+            symbols = v.symbols(ids)
             before = _previous(symbols, v.end)
-            logs = np.where(ids >= 0, m["log_count"][np.maximum(ids, 0)], np.where(ids == -2, m["log_end"], 0.0)) if len(ids) else np.zeros(0)
-            known = (ids >= 0) | ((ids == -2) & m["end_known"])
-            class_logs = np.where(ids == -1, 0.0, m["chance"][before, symbols] + np.where(ids >= 0, m["emission"][np.maximum(ids, 0)], 0.0))
-            sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (np.ones(len(ids), np.int64), known.astype(np.int64), logs, class_logs)]
-            at, contexts, counted = 0, before[ids == -1].tolist(), []
-            for rest in others:
+            logs = np.where(ids >= 0, m["log_count"][np.maximum(ids, 0)], np.where(ids == END, m["log_end"], 0.0))
+            known = (ids >= 0) | ((ids == END) & m["end_known"])
+            class_logs = np.where(ids <= OTHER, 0.0, m["chance"][before, symbols] + np.where(ids >= 0, m["emission"][np.maximum(ids, 0)], 0.0))
+            sums = [np.add.reduceat(x, starts) for x in (np.ones(len(ids), np.int64), known.astype(np.int64), logs, class_logs)]
+            at, contexts, counted = 0, before[ids <= OTHER].tolist(), []
+            for rest in rows.column(rows.schema.get_field_index("others")).to_pylist():
                 counted.append(Counter(zip(rest, contexts[at : at + len(rest)])))
                 at += len(rest)
             ends = np.concatenate(([0], np.cumsum([len(c) for c in counted]))).astype(np.int32)
@@ -374,8 +401,7 @@ def brown_scores(
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", held_out(left_out).alias("held_out"), "text")
-    training = docs.where(~F.col("held_out")).select("text")
-    counts = Written(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
+    counts = Written(docs.where(~F.col("held_out")).select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     words = counts.read().where(F.octet_length("word") > 0)
     ends = counts.read().where(F.octet_length("word") == 0).agg(F.sum("c")).first()[0] or 0
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -383,8 +409,11 @@ def brown_scores(
     top = sorted(_most_frequent(words.where(F.octet_length("word") <= LONGEST), known), key=lambda r: (-r["c"], bytes(r["word"])))
     counts.drop()
     v = Vocabulary([bytes(r["word"]) for r in top], [r["c"] for r in top], core)
+    index = spark.sparkContext.broadcast({bytes(r["word"]): i for i, r in enumerate(top)})
+    numbered = Written(docs.mapInArrow(_number(index), "doc_id long, held_out boolean, ids binary, others array<binary>"))
+    training = numbered.read().where(~F.col("held_out"))
     size = v.end + 1
-    found = training.mapInArrow(_count_bigrams(spark.sparkContext.broadcast(v)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most size^2 rows
+    found = training.select("ids").mapInArrow(_count_bigrams(spark.sparkContext.broadcast(v)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most size^2 rows
     label = exchange_classes(_class_pairs(found, size), v.core, classes)
     used = min(classes, v.core)
     size = used + OPEN + 1
@@ -392,14 +421,14 @@ def brown_scores(
     symbol = np.concatenate((label[: v.core], used + v.shapes[v.core :])).astype(np.int64)
     for _ in range(sweeps if len(symbol) > v.core else 0):
         v = v.relabel(symbol, used)
-        contexts = Written(training.mapInArrow(_known_contexts(spark.sparkContext.broadcast(v)), "word long, code long, n long"))
+        contexts = Written(training.select("ids").mapInArrow(_known_contexts(spark.sparkContext.broadcast(v)), "word long, code long, n long"))
         pairs = _class_pairs(contexts.read().where("word < 0").groupBy("code").agg(F.sum("n").alias("n")).toPandas(), size)
         chosen = _grouped(contexts.read().where("word >= 0")).mapInArrow(_assign(pairs, used, least, symbol), f"word long, {ASSIGNED}").select("word", "class").toPandas()  # at most ``known`` rows
         symbol = symbol.copy()
         symbol[chosen["word"].to_numpy(dtype=np.int64)] = chosen["class"].to_numpy(dtype=np.int64)
         contexts.drop()
     vocabulary = spark.sparkContext.broadcast(v.relabel(symbol, used))
-    contexts = Written(training.mapInArrow(_other_contexts(vocabulary), "word binary, code long, n long"))
+    contexts = Written(training.select("ids", "others").mapInArrow(_other_contexts(vocabulary), "word binary, code long, n long"))
     pairs = _class_pairs(contexts.read().where("word IS NULL").groupBy("code").agg(F.sum("n").alias("n")).toPandas(), size)
     others = Written(_grouped(contexts.read().where("word IS NOT NULL")).mapInArrow(_assign(pairs, used, least, None), f"word binary, {ASSIGNED}"))
     contexts.drop()
@@ -424,7 +453,8 @@ def brown_scores(
             "emission": emission,
         }
     )
-    scored = Written(docs.mapInArrow(_score(vocabulary, model), SCORED).withColumn("row", F.monotonically_increasing_id()))
+    scored = Written(numbered.read().mapInArrow(_score(vocabulary, model), SCORED).withColumn("row", F.monotonically_increasing_id()))
+    numbered.drop()
     rare = scored.read().select("row", F.explode("tail").alias("t")).select("row", "t.*")
     joined = rare.join(others.read().select("word", "c", "class"), "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"), (F.col("before") * size + F.coalesce("class", "open")).alias("cell"))
     cells = spark.createDataFrame([(i, float(x), bool(is_open[i % size])) for i, x in enumerate(chance.ravel())], "cell long, chance double, is_open boolean")
