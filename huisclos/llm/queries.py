@@ -1,13 +1,15 @@
-"""The ten operators over the supplied tables, with production parameters."""
+"""The operators over the supplied tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import top_neighbours
 from .brown import brown_scores
 from .common import read_table
 from .decontaminate import contaminated_pairs
+from .fill_middle import fill_in_middle, restored
 from .mixing import mix_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -15,6 +17,7 @@ from .simhash import simhash_duplicates
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .url_filters import judge_urls
+from .yinyang import yinyang_clusters
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -60,6 +63,16 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -72,10 +85,48 @@ def queries() -> dict:
         "op8_brown": op8_brown,
         "op9_decontamination": op9_decontamination,
         "op10_ann": op10_ann,
+        "op11_yinyang": op11_yinyang,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Assignment and floored means, round by round, over one row a component."""
+    steps = [f"""
+        kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        x AS MATERIALIZED (SELECT r, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) AS t(i)),
+        c0 AS MATERIALIZED (SELECT j, i, x AS c FROM x JOIN (
+          SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j FROM kept QUALIFY j < {k}) USING (r))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        d{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, j := j)) AS best FROM (
+          SELECT r, j, sum((x - c) * (x - c)) AS d FROM x JOIN c{n} USING (i) GROUP BY r, j) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+        c{n + 1} AS MATERIALIZED (SELECT j, i, CASE WHEN n > 0 THEN (s - (s % n + n) % n) // n ELSE c END AS c FROM c{n} LEFT JOIN (
+          SELECT best.j AS j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM x JOIN d{n} USING (r) GROUP BY ALL) USING (j, i))""")
+    return f"""WITH {",".join(steps)}
+        SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia,
+          CAST(sum(best.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM kept JOIN d{rounds} USING (r) JOIN (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j) AS h ON h.j = best.j"""
+
+
 ORACLES = {
+    "op11_yinyang": clusters_sql(),
+    "op13_fill_middle": r"""
+        WITH units AS (
+          SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+        drawn AS (
+          SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in range(0, 4)] AS d FROM units),
+        cut AS (
+          SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+        parts AS (
+          SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts""",
     "op1_url_filter": """
         WITH cut AS (
           SELECT page_id,
