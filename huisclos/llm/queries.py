@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import top_neighbours
+from .binary_codes import near_vectors
 from .brown import brown_scores
 from .common import read_table
 from .decontaminate import contaminated_pairs
@@ -67,6 +68,10 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang_clusters(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -86,6 +91,7 @@ def queries() -> dict:
         "op9_decontamination": op9_decontamination,
         "op10_ann": op10_ann,
         "op11_yinyang": op11_yinyang,
+        "op12_embedding_dedup": op12_embedding_dedup,
         "op13_fill_middle": op13_fill_middle,
     }
 
@@ -114,6 +120,17 @@ def clusters_sql(k: int = 40, rounds: int = 5) -> str:
 
 ORACLES = {
     "op11_yinyang": clusters_sql(),
+    "op12_embedding_dedup": """
+        WITH RECURSIVE sound AS (
+          SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach(a, b) AS (
+          SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counted USING (vec_id)""",
     "op13_fill_middle": r"""
         WITH units AS (
           SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from huisclos.llm.binary_codes import encode, error_bound, estimates, near_vectors, rotation, unit
 from huisclos.llm.fill_middle import Automaton, cut_texts, fill_in_middle, restored
 from huisclos.llm.yinyang import digits, whole_number, yinyang_clusters
 
@@ -118,3 +119,59 @@ def test_automaton_on_random_bytes():
         Automaton(("<P>", "P>"))
     other = Automaton(("<fim-prefix>", "<fim-suffix>", "<fim-middle>"))
     assert cut_texts(b"x<fim-suffix>y<fim-suffi>", np.array([0, 13, 25]), np.zeros(2, np.int64), np.zeros(2, np.int64), other)[1].tolist() == [True, False]
+
+
+def plain_links(rows, threshold=0.93):
+    unit_of = {}
+    for n, (_, v, label) in enumerate(rows):
+        if label is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            x = np.array(v, dtype=float)
+            x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+            unit_of[n] = x / np.sqrt(x @ x)
+    near = {n: [m for m in unit_of if n != m and rows[n][2] == rows[m][2] and len(unit_of[n]) == len(unit_of[m]) and unit_of[n] @ unit_of[m] >= threshold] for n in unit_of}
+    out = []
+    for n in range(len(rows)):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in near.get(todo.pop(), []):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        ids = [rows[m][0] for m in seen if rows[m][0] is not None]
+        least = min(ids) if ids else None
+        out.append((rows[n][0], len(near.get(n, [])), least, least is not None and rows[n][0] == least))
+    return out
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(40):  # groups around the threshold
+        centre = rng.normal(size=64)
+        rows += [(len(rows) + i, (centre + rng.normal(size=64) * s).tolist(), c % 3) for i, s in enumerate((0.0, 0.05, 0.1, 0.2, 0.25, 0.27, 0.3))]
+    crowd = rng.normal(size=64)
+    rows += [(1000 + i, (crowd + rng.normal(size=64) * 0.2).tolist(), 1) for i in range(150)]
+    rows += [(2000 + i, crowd.tolist(), 1) for i in range(30)]  # equal ones
+    rows += [(2100, crowd.tolist(), 2), (2101, crowd.tolist(), None), (2102, None, 1), (2103, [0.0] * 64, 1), (2104, [None] + [1.0] * 63, 1), (2105, [float("nan")] * 64, 1), (2106, [], 1), (None, crowd.tolist(), 1), (None, None, None), (5, crowd.tolist(), 0), (5, (-crowd).tolist(), 0)]
+    rows += [(2200, [1e-200, 0.0], 1), (2201, [1e-200, 1e-201], 1), (2202, [1e200, 1e199], 1), (2203, [0.0, 1.0], 1), (2204, [-0.0, 1e-300], 1), (2205, [3.0], 1), (2206, [-4.0], 1), (2207, [5.0], 1)]
+    return rows
+
+
+@pytest.mark.parametrize("block, whole", [(4096, 65536), (32, 65536), (64, 100)])
+def test_near_vectors_by_all_pairs(spark, vectors, block, whole):
+    df = spark.createDataFrame([(i, v, label, "x", "y") for i, v, label in vectors], "vec_id long, embedding array<double>, label int, entry string, n_links string").repartition(3)
+    got = near_vectors(df, block=block, whole=whole)
+    same([(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()], plain_links(vectors))
+    assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(3)
+    x = unit(rng.normal(size=(800, 64)))
+    y = unit(x + rng.normal(size=(800, 64)) * rng.uniform(0.02, 0.3, size=(800, 1)))
+    codes, factor = encode(x)
+    error = estimates(codes, factor, y @ rotation(64, 0)).astype(float) - x @ y.T
+    assert abs(error.mean()) < 1e-3
+    bound = error_bound(factor, 64, 1.0)[:, None]
+    assert (np.abs(error) < 4.5 * bound).all() and 0.8 < np.sqrt(np.mean((error / bound) ** 2)) < 1.1
