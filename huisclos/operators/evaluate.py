@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import matches
-
-
+from .search import values_in_texts
 
 def truth_spans(docs: DataFrame, truth: DataFrame) -> DataFrame:
     """Every occurrence of each true value: (doc_id, type, start, end). ``truth``: (doc_id, type, value)."""
@@ -56,9 +55,8 @@ def report_lines(measures: DataFrame) -> DataFrame:
 
 
 def leaks(payloads: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """(``keys``, value) for each known value that stands in a protected text of the same key; must be empty."""
-    joined = payloads.join(values.where("value <> ''"), keys)
-    return joined.where(F.contains(F.col("protected"), F.col("value"))).select(*keys, "value")
+    """(``keys``, value) for each text and each known value of its key that stands in it; must be empty."""
+    return values_in_texts(payloads.select(*keys, "protected"), values.select(*keys, "value"), keys, "protected").select(*keys, "value")
 
 
 #: Words of more than three letters that tell nothing.
@@ -112,5 +110,3 @@ def canary_rate(matched: DataFrame) -> DataFrame:
     rate = F.coalesce(F.try_divide(F.count(F.when(F.col("signaled"), 1)), F.count("*")), F.lit(0.0))
     missed = F.array_sort(F.collect_list(F.when(~F.col("signaled"), F.col("canary"))))
     return matched.agg(F.count("*").alias("n"), rate.alias("rate"), missed.alias("missed"))
-
-
