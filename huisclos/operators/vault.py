@@ -7,7 +7,7 @@ and label, after those already given, and are never given again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +20,15 @@ RUN = 4096
 
 
 def number_surfaces(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``mentions``: (dossier_id, seq, start, type, surface). Returns the vault's surfaces, old and new.
+    """The vault's surfaces, old and new, after ``mentions``; see ``new_surfaces``."""
+    new = new_surfaces(mentions, known)
+    return new if known is None else known.select(*new.columns).unionByName(new)
+
 
+def new_surfaces(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``mentions``: (dossier_id, seq, start, type, surface). Returns the rows that the vault has to add.
+
+    ``known`` needs to hold the dossiers of ``mentions`` only, but those whole.
     Only distinct surfaces are numbered. Runs of ``RUN`` seq values are ranked on their own and laid
     end to end by their counts, so that a dossier with most of the rows is not one task.
     """
@@ -37,12 +44,11 @@ def number_surfaces(mentions: DataFrame, known: DataFrame | None = None) -> Data
         offsets = offsets.join(top, ["dossier_id", "label"], "left").withColumn("before", F.col("before") + F.coalesce("top", F.lit(0))).drop("top")
     order = W.partitionBy("dossier_id", "label", "run").orderBy("first", "surface")
     numbered = runs.withColumn("row", F.row_number().over(order)).join(offsets, ["dossier_id", "label", "run"]).withColumn("number", F.col("before") + F.col("row"))
-    new = numbered.select("dossier_id", "type", "surface", placeholder(F.col("type"), F.col("number")).alias("placeholder"), "number")
-    return new if known is None else known.select(*new.columns).unionByName(new)
+    return numbered.select("dossier_id", "type", "surface", placeholder(F.col("type"), F.col("number")).alias("placeholder"), "number")
 
 
 def canonical_of(surfaces: DataFrame) -> DataFrame:
-    """The first surface of each placeholder is its canonical value, unless coreference has chosen another."""
+    """A placeholder's surface (the smallest, if aliases share it) is its canonical value, unless coreference has chosen another."""
     return surfaces.groupBy("dossier_id", "placeholder").agg(F.min("type").alias("type"), F.min("surface").alias("value"))
 
 
@@ -78,12 +84,26 @@ def guard_modes(modes: DataFrame, requests: DataFrame) -> DataFrame:
     return asked.select(*requests.columns, refused.alias("refused"))
 
 
-def sealed(table: DataFrame, columns: list[str], key: Column) -> DataFrame:
-    """Sensitive columns under AES-GCM, base64; nulls stay null. The key comes from the session, never from a literal in a stored plan."""
-    return table.withColumns({c: F.base64(F.aes_encrypt(F.col(c), key, F.lit("GCM"))) for c in columns})
+def key_table(spark: SparkSession, key: str | None = None, path: str | None = None) -> DataFrame:
+    """A key as a table of one row, from a secret file or from memory. A plan that joins it names the column ``key`` and not its value."""
+    if (key is None) == (path is None):
+        raise ValueError("the key comes from memory or from a file")
+    rows = spark.read.text(path, wholetext=True).select(F.rtrim(F.col("value"), F.lit("\r\n")).alias("key")) if path else spark.createDataFrame([(key,)], "key string")
+    return rows
+
+
+def _with_key(table: DataFrame, key: DataFrame) -> DataFrame:
+    return table.crossJoin(F.broadcast(key.select(F.col("key").alias("__key")).limit(1)))  # one row
+
+
+def sealed(table: DataFrame, columns: list[str], key: DataFrame) -> DataFrame:
+    """Sensitive columns under AES-GCM, base64; nulls stay null. ``key``: ``key_table``, so that no plan holds the key."""
+    keyed = _with_key(table, key)
+    return keyed.withColumns({c: F.base64(F.aes_encrypt(F.col(c), F.col("__key"), F.lit("GCM"))) for c in columns}).drop("__key")
 
 
-def opened(table: DataFrame, columns: list[str], key: Column) -> DataFrame:
+def opened(table: DataFrame, columns: list[str], key: DataFrame) -> DataFrame:
     """The inverse of ``sealed``; columns that an older file lacks come back null."""
     missing = {c: F.lit(None).cast("string") for c in columns if c not in table.columns}
-    return table.withColumns(missing).withColumns({c: F.aes_decrypt(F.unbase64(F.col(c)), key, F.lit("GCM")).cast("string") for c in columns})
+    keyed = _with_key(table.withColumns(missing), key)
+    return keyed.withColumns({c: F.aes_decrypt(F.unbase64(F.col(c)), F.col("__key"), F.lit("GCM")).cast("string") for c in columns}).drop("__key")

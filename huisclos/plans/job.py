@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import Engine
 from ..operators.policy import parse
-from ..operators.vault import SURFACES, opened, sealed
+from ..operators.vault import key_table
 from ..sources.connectors import Options
+from ..sources.vault_store import VaultStore
 from .materialize import written
 from .pseudonymize import Protected, pseudonymize
 
-#: Sealed at rest; the other columns tell nothing about a value.
-SENSITIVE = ["surface"]
-
 
 def options_from(settings: Mapping[str, str]) -> Options:
     """Options from texts such as environment variables: ``HUISCLOS_`` and the option's name in capitals; empty ones are absent."""
@@ -30,8 +28,8 @@ def options_from(settings: Mapping[str, str]) -> Options:
 
 def run_job(docs: DataFrame, options: Options, policies: DataFrame | None = None, engines: Mapping[str, Engine] | None = None) -> Protected:
     """``pseudonymize`` under ``options``: the instance's policies for dossiers without an own action for the type, the named engine
-    above its threshold (a name that isn't there is an error, not a run without it), and a vault that is read from and written to
-    ``vault_path``, sealed by ``vault_key``.
+    above its threshold (a name that isn't there is an error, not a run without it), and the vault at ``vault_path``, sealed by
+    ``vault_key`` or the key in ``vault_key_file``. Of two jobs that began at one version of the vault the second fails.
     """
     if options.engine and options.engine not in (engines or {}):
         raise ValueError(f"no engine {options.engine!r}")
@@ -41,12 +39,18 @@ def run_job(docs: DataFrame, options: Options, policies: DataFrame | None = None
         instance = spark.createDataFrame(list(options.policies.items()), "type string, action string")  # one row a type
         everywhere = docs.select("dossier_id").distinct().crossJoin(F.broadcast(instance))
         policies = everywhere if policies is None else everywhere.join(policies, ["dossier_id", "type"], "left_anti").unionByName(policies.select("dossier_id", "type", "action"))
-    known, key = None, F.lit(options.vault_key)
-    if options.vault_path:
-        spark.createDataFrame([], SURFACES).write.mode("append").parquet(options.vault_path)  # so that a first run finds a table
-        known = written(opened(spark.read.schema(SURFACES).parquet(options.vault_path), SENSITIVE, key))
+    store, version, known = vault_of(docs.sparkSession, options), 0, None
+    if store:
+        version = store.version()
+        known = written(store.read(docs))
     done = pseudonymize(docs, policies, known, chosen, engine_threshold=options.engine_threshold)
-    if known is not None:
-        new = done.surfaces.join(known.select("dossier_id", "placeholder"), ["dossier_id", "placeholder"], "left_anti")
-        sealed(new.select(*known.columns), SENSITIVE, key).write.mode("append").parquet(options.vault_path)
+    if store:
+        store.append(done.fresh, version)
     return done
+
+
+def vault_of(spark: SparkSession, options: Options) -> VaultStore | None:
+    if not options.vault_path:
+        return None
+    key = key_table(spark, path=options.vault_key_file) if options.vault_key_file else key_table(spark, options.vault_key)
+    return VaultStore(spark, options.vault_path, key)

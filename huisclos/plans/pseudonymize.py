@@ -13,7 +13,7 @@ from ..operators.coreference import resolve_people
 from ..operators.detect import Engine, detect, span_rows
 from ..operators.policy import KEEP, MASK, REVIEW, action_for, as_maps
 from ..operators.rewrite import replace_spans
-from ..operators.vault import canonical_of, number_surfaces
+from ..operators.vault import canonical_of, new_surfaces
 from .materialize import written
 
 KEYS = ["dossier_id", "seq"]
@@ -28,6 +28,8 @@ class Protected:
     surfaces: DataFrame
     canonical: DataFrame
     people: DataFrame | None = None
+    #: The surfaces that this call has numbered: what a vault has to add.
+    fresh: DataFrame | None = None
 
 
 def long_spans(docs: DataFrame, policies: DataFrame | None = None, engines: Iterable[Engine] = (), engine_threshold: float = 0.0) -> DataFrame:
@@ -43,7 +45,8 @@ def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: Data
     """``docs``: (dossier_id, seq, text, ...), seq the order of arrival in a dossier, unique in it.
 
     Masked and kept spans take no number and leave no vault row. ``known`` and ``people`` are the surfaces
-    and people of an earlier batch; with coreference, people are numbered by the latter alone.
+    and people of earlier batches, of these dossiers at least; they are read and never written again. With
+    coreference, people are numbered by the latter alone.
     """
     spans = written(long_spans(docs, policies, engines, engine_threshold))
     numbered = spans.where(~F.col("action").isin(KEEP, MASK))
@@ -51,7 +54,8 @@ def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: Data
     others = numbered.where(~named) if coreference else numbered
     if known is not None and coreference:
         known = known.where(~named)
-    surfaces = written(number_surfaces(others.select(*KEYS, "start", "type", "surface"), known))
+    fresh = written(new_surfaces(others.select(*KEYS, "start", "type", "surface"), known))
+    surfaces = fresh if known is None else known.select(*fresh.columns).unionByName(fresh)
     canonical = canonical_of(surfaces)
     if coreference:
         people = resolved = written(resolve_people(numbered.where(named).select(*KEYS, "start", "surface"), people))
@@ -65,7 +69,7 @@ def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: Data
     per_type = marked.groupBy(*KEYS, "type").agg(F.count("*").cast("int").alias("n"), F.collect_set(F.when(F.col("action") == REVIEW, F.col("placeholder"))).alias("r"))
     reports = per_type.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"), F.array_sort(F.flatten(F.collect_list("r"))).alias("in_review"))
     texts = replace_spans(docs, replacements, KEYS).join(reports, KEYS, "left")
-    return Protected(texts, marked, surfaces, canonical, people)
+    return Protected(texts, marked, surfaces, canonical, people, fresh)
 
 
 def serious_view(spans: DataFrame) -> DataFrame:

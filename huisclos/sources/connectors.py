@@ -57,13 +57,14 @@ class Options:
     judge_score_min: float = 0.5
     vault_path: str = ""
     vault_key: str = field(default="", repr=False)
+    vault_key_file: str = ""
 
     def __post_init__(self) -> None:
         for name in ("engine_threshold", "judge_score_min"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must be in [0, 1]")
-        if bool(self.vault_path) != bool(self.vault_key):
-            raise ValueError("vault_path and vault_key come together")
+        if self.vault_key and self.vault_key_file or bool(self.vault_path) != bool(self.vault_key or self.vault_key_file):
+            raise ValueError("vault_path comes with either vault_key or vault_key_file")
         if bool(self.judge_url) != bool(self.judge_model):
             raise ValueError("judge_url and judge_model come together")
         if self.judge_url and not private_host(self.judge_url):

@@ -14,7 +14,7 @@ def test_options_take_effect_and_the_vault_goes_on(spark, tmp_path):
     engines = {"names": lambda t: F.concat(sure(t), unsure(t))}
     first = run_job(spark.createDataFrame([("A", 1, "Jean a@b.fr AB-123-CD Paris")], DOCS), made, engines=engines)
     assert first.texts.first()["protected"] == "[PERSONNE_001] [EMAIL] [PLAQUE_001] Paris"
-    assert spark.read.parquet(str(tmp_path / "vault")).where("surface LIKE '%-123-%'").count() == 0
+    assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "vault" / "data")).where("surface LIKE '%-123-%'").count() == 0
     own = spark.createDataFrame([("A", "EMAIL", "conserver")], "dossier_id string, type string, action string")
     again = run_job(spark.createDataFrame([("A", 2, "c@d.fr XY-123-CD AB-123-CD")], DOCS), made, own, engines)
     assert again.texts.first()["protected"] == "c@d.fr [PLAQUE_002] [PLAQUE_001]"

@@ -8,7 +8,7 @@ from huisclos.operators.coreference import resolve_people
 from huisclos.operators.detect import gazetteer_engine
 from huisclos.operators.integrity import check, restore_tokens
 from huisclos.operators.rewrite import reidentify
-from huisclos.operators.vault import guard_modes, number_surfaces, opened, purge, sealed
+from huisclos.operators.vault import guard_modes, key_table, number_surfaces, opened, purge, sealed
 from huisclos.plans.pseudonymize import pseudonymize, serious_view
 
 DOCS = "dossier_id string, seq long, text string"
@@ -108,7 +108,7 @@ def test_policy_parsing(spark):
 
 
 def test_vault_tables(spark):
-    key = F.lit("0123456789abcdef")
+    key = key_table(spark, "0123456789abcdef")
     table = spark.createDataFrame([("A", "x@y.fr"), ("B", None)], "dossier_id string, surface string")
     closed = sealed(table, ["surface"], key)
     assert closed.where("surface like '%@%'").count() == 0
