@@ -1,4 +1,4 @@
-"""Checks and repairs of placeholders in replies, row by row on arrays."""
+"""Checks and repairs of placeholders in replies, row by row on arrays; ``repair`` does the same by joins, for dossiers of any size."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def folded(kind: Column) -> Column:
     return F.translate(F.upper(kind), ACCENTED, PLAIN)
 
 
-def _number(value: Column, pattern: str) -> Column:
+def number_in(value: Column, pattern: str) -> Column:
     return F.regexp_extract(value, pattern, 2).try_cast("decimal(30,0)")
 
 
@@ -31,16 +31,21 @@ def canonical(kind: Column, number: Column) -> Column:
     return F.concat(F.lit("["), kind, F.lit("_"), F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits), F.lit("]"))
 
 
+def plain_token(m: Column) -> Column:
+    """A match of ``LOOSE`` in canonical form; as it stands if its number has more than 30 digits, which no placeholder has."""
+    return F.coalesce(canonical(F.regexp_extract(m["value"], LOOSE, 1), number_in(m["value"], LOOSE)), m["value"])
+
+
 def normalize(text: Column) -> Column:
     """``[TYPE 1]`` and ``[TYPE_1]`` become ``[TYPE_001]``."""
     found = F.transform(
         matches(text, LOOSE),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), canonical(F.regexp_extract(m["value"], LOOSE, 1), _number(m["value"], LOOSE)).alias("replacement")),
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), plain_token(m).alias("replacement")),
     )
     return rebuild(text, found)
 
 
-def _within_one(a: Column, b: Column) -> Column:
+def within_one(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) >= 0
 
 
@@ -48,10 +53,10 @@ def _restore(text: Column, known: Column, pattern: str) -> Column:
     """Tokens whose exact type and number are known, or else the only known type one edit away with that number."""
 
     def fix(m: Column) -> Column:
-        kind, number = folded(F.regexp_extract(m["value"], pattern, 1)), _number(m["value"], pattern)
+        kind, number = folded(F.regexp_extract(m["value"], pattern, 1)), number_in(m["value"], pattern)
 
         def chosen(t: Column) -> Column:
-            near = F.filter(known, lambda k: (_number(k, CANONICAL) == t["number"]) & _within_one(F.regexp_extract(k, CANONICAL, 1), t["kind"]))
+            near = F.filter(known, lambda k: (number_in(k, CANONICAL) == t["number"]) & within_one(F.regexp_extract(k, CANONICAL, 1), t["kind"]))
             single = let(near, lambda n: F.when(F.size(n) == 1, F.try_element_at(n, F.lit(1))))
             return let(canonical(t["kind"], t["number"]), lambda exact: F.when(F.array_contains(known, exact), exact).otherwise(F.coalesce(single, m["value"])))
 
@@ -83,9 +88,9 @@ def suspects(text: Column, known: Column, legacy_nearest_type: bool = False) ->
     def named(pattern: str, types: Column) -> Column:
         def name(m: Column) -> Column:
             def typed(kind: Column) -> Column:
-                near = F.array_min(F.filter(types, lambda p: _within_one(p, kind)))
+                near = F.array_min(F.filter(types, lambda p: within_one(p, kind)))
                 chosen = near if legacy_nearest_type else F.when(F.array_contains(types, kind), kind).otherwise(near)
-                return canonical(chosen, _number(m["value"], pattern))
+                return canonical(chosen, number_in(m["value"], pattern))
 
             return let(folded(F.regexp_extract(m["value"], pattern, 1)), typed)
 
@@ -101,7 +106,7 @@ def check(text: Column, sent: Column, known: Column, legacy_nearest_type: bool =
     given = F.struct(text.alias("text"), F.coalesce(sent, none).alias("sent"), F.coalesce(known, none).alias("known"))
 
     def report(g: Column) -> Column:
-        present = F.array_distinct(F.transform(matches(g["text"], LOOSE), lambda m: canonical(F.regexp_extract(m["value"], LOOSE, 1), _number(m["value"], LOOSE))))
+        present = F.array_distinct(F.transform(matches(g["text"], LOOSE), plain_token))
 
         def compared(p: Column) -> Column:
             unknown = F.array_sort(F.array_union(F.array_except(p, g["known"]), suspects(g["text"], g["known"], legacy_nearest_type)))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.integrity import check, restore_tokens
+from ..operators.repair import check_replies, restore_replies
 from ..operators.rewrite import NUMBERED, reidentify
-from ..operators.vault import known_placeholders
 from ..sources.audit import events
 from ..sources.connectors import echo_replies, with_system_prompt
+from .materialize import written
 from .pseudonymize import Protected, pseudonymize
 
 
@@ -52,9 +52,10 @@ def converse(messages: DataFrame, policies: DataFrame | None = None, back_end: C
     done = pseudonymize(messages, policies)
     last = done.texts.groupBy("dossier_id").agg(F.max_by("protected", "seq").alias("protected"), F.max("seq").alias("seq"))
     requests = request_messages(done.texts)
-    answers = back_end(last.join(requests.select("dossier_id", "sent", "size"), "dossier_id")).join(known_placeholders(done.canonical), "dossier_id", "left")
-    repaired = answers.withColumn("text", restore_tokens(F.col("reply"), F.col("known")))
-    report = repaired.withColumn("report", check(F.col("text"), F.col("sent"), F.col("known"))).drop("known")
+    answers = written(back_end(last.join(requests.select("dossier_id", "sent", "size"), "dossier_id")).withColumn("text", F.col("reply")))
+    known, keys = done.canonical.select("dossier_id", "placeholder"), ["dossier_id", "seq"]
+    repaired = written(restore_replies(answers, known, keys))
+    report = check_replies(repaired, repaired.select(*keys, F.explode("sent").alias("placeholder")), known, keys)
     sound = F.col("report.ok") & F.lit(reidentified)
-    restored = reidentify(report, done.canonical, ["dossier_id", "seq"])
+    restored = reidentify(report, done.canonical, keys)
     return done, restored.withColumn("answer", F.when(sound, F.col("restored")).otherwise(F.col("text"))).drop("restored")

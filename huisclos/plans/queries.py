@@ -13,7 +13,8 @@ from ..operators import policy, vault
 from ..operators.coreference import resolve_people
 from ..operators.detect import detect, gazetteer_engine, merge_adjacent, span_rows
 from ..operators.evaluate import canary_match, leaks, recall_precision, report_lines, truth_spans
-from ..operators.integrity import check, normalize, restore_tokens
+from ..operators.integrity import normalize
+from ..operators.repair import check_replies, restore_replies
 from ..operators.rewrite import reidentify, reidentify_audited, restore_surrogates
 from ..operators.surrogates import apply_surrogates, assign_surrogates
 from ..operators.vault import guard_modes, number_surfaces, purge
@@ -230,8 +231,15 @@ def purge_vault(spark, d):
 def _replies(spark, d) -> DataFrame:
     n = F.col("o_orderkey")
     text = F.concat(F.lit("Vu "), F.when(n % 4 == 0, "[EMAIL 1]").when(n % 4 == 1, "email_001").when(n % 4 == 2, "[EMIAL_001]").otherwise("EMAL-1"), F.lit(" et "), F.when(n % 3 == 0, "[PLAQUE_009]").otherwise("[PLAQUE_001]"))
-    known = F.array(F.lit("[EMAIL_001]"), F.lit("[PLAQUE_001]"))
-    return _table(spark, d, "orders").select("o_orderkey").repartition(_parts(spark), "o_orderkey").select("o_orderkey", text.alias("text"), known.alias("known"))
+    orders = _table(spark, d, "orders").select("o_custkey", "o_orderkey").repartition(_parts(spark), "o_custkey")
+    return orders.select(F.col("o_custkey").cast("string").alias("dossier_id"), "o_orderkey", text.alias("text"))
+
+
+REPLY = ["dossier_id", "o_orderkey"]
+
+
+def _known(replies: DataFrame) -> DataFrame:
+    return replies.select("dossier_id").distinct().select("dossier_id", F.explode(F.array(F.lit("[EMAIL_001]"), F.lit("[PLAQUE_001]"))).alias("placeholder"))
 
 
 def normalize_tokens(spark, d):
@@ -239,13 +247,17 @@ def normalize_tokens(spark, d):
 
 
 def restore_altered(spark, d):
-    return _replies(spark, d).select("o_orderkey", restore_tokens(F.col("text"), F.col("known")).alias("text"))
+    replies = _replies(spark, d)
+    return restore_replies(replies, _known(replies), REPLY).select("o_orderkey", "text")
 
 
 def integrity_report(spark, d):
-    report = check(restore_tokens(F.col("text"), F.col("known")), F.col("known"), F.col("known"))
-    rows = _replies(spark, d).select("o_orderkey", report.alias("r"))
-    return rows.select("o_orderkey", F.col("r.ok").alias("ok"), F.concat_ws(",", "r.unknown").alias("unknown"), F.concat_ws(",", "r.missing").alias("missing"))
+    """Each reply was sent both placeholders of its dossier."""
+    replies = _replies(spark, d)
+    known = written(_known(replies))
+    fixed = written(restore_replies(replies, known, REPLY))
+    rows = check_replies(fixed, fixed.select(*REPLY).join(known, "dossier_id"), known, REPLY)
+    return rows.select("o_orderkey", F.col("report.ok").alias("ok"), F.concat_ws(",", "report.unknown").alias("unknown"), F.concat_ws(",", "report.missing").alias("missing"))
 
 
 def leak_check(spark, d):
@@ -421,7 +433,7 @@ def vault_aliases(spark, d):
 
 def vault_sealed(spark, d):
     """Through encryption at rest and back; no sealed value shows its surface."""
-    key = F.lit("0123456789abcdef")
+    key = vault.key_table(spark, "0123456789abcdef")
     rows = _table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("c"), "c_custkey", F.lit("@mail.fr"))).alias("surface"))
     closed = vault.sealed(rows, ["surface"], key).withColumn("shows", F.col("surface").contains("@"))
     return vault.opened(closed, ["surface", "alias"], key).select("c_custkey", "surface", "alias", "shows")
