@@ -193,7 +193,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, sure: float = 4
     crowded = addressed.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
     crowded = Written(crowded)  # at most one row for ``block`` addresses
     extra = crowded.read().agg(F.sum(F.col("parts") * F.col("parts"))).first()[0] or 0
-    slots = max(1, -(-4 * addressed.count() // block) + 4 * extra)
+    slots = max(1, -(-16 * addressed.count() // block) + 16 * extra)
     parted = addressed.join(crowded.read(), bucket, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")
     met = parted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
