@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import matches, rebuild
+from ..plans.materialize import written
 from ..sources.audit import events
+from .search import values_in_texts
 
 NUMBERED = r"\[[A-Z_]+_\d{3,}\]"
 NONE = "array<struct<start:int,end:int,replacement:string>>"
@@ -37,11 +39,16 @@ def reidentify(replies: DataFrame, canonical: DataFrame, keys: list[str], text:
 
 
 def restore_surrogates(replies: DataFrame, surrogates: DataFrame, text: str = "text") -> DataFrame:
-    """Fake names back to placeholders, the longest first, exact matches only."""
-    pairs = F.array_sort(F.collect_list(F.struct((-F.length("surrogate")).alias("o"), "surrogate", "placeholder")))
-    lists = surrogates.groupBy("dossier_id").agg(pairs.alias("__pairs"))
+    """Fake names back to placeholders, the longest first, exact matches only.
+
+    A text meets only those names of its dossier that stand in it, so no dossier's names are in one row.
+    """
+    held = written(replies.withColumn("__row", F.monotonically_increasing_id()))
+    met = values_in_texts(held.select("dossier_id", "__row", text), surrogates.select("dossier_id", F.col("surrogate").alias("value")), ["dossier_id"], text)
+    named = met.select("dossier_id", "__row", F.col("value").alias("surrogate")).join(surrogates.select("dossier_id", "surrogate", "placeholder"), ["dossier_id", "surrogate"])
+    lists = named.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct((-F.length("surrogate")).alias("o"), "surrogate", "placeholder"))).alias("__pairs"))
     restored = F.aggregate("__pairs", F.col(text), lambda acc, p: F.replace(acc, p["surrogate"], p["placeholder"]))
-    return replies.join(lists, "dossier_id", "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(restored)).drop("__pairs")
+    return held.join(lists, "__row", "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(restored)).select(*replies.columns)
 
 
 def reidentify_audited(replies: DataFrame, canonical: DataFrame, keys: list[str], text: str = "text", out: str = "restored") -> tuple[DataFrame, DataFrame]:

@@ -1,55 +1,83 @@
-"""Fake names for people's placeholders, unique in a dossier and free of its real names."""
+"""Fake names for people's placeholders, unique in a dossier and free of its real names.
 
-from __future__ import annotations
+A name is a function of the dossier, the placeholder's number and a key: a keyed permutation of the
+space of first and last names carries numbers to names, so no two numbers of a dossier share one and
+nothing has to be drawn in order. Names of one last name come first, then those of two, and so on, so
+the space never ends. A name that is somebody's real name in the dossier is stepped over: it gets one of
+a few last names more that no other name has.
+"""
 
+from __future__ import annotations
 
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import written
 from .coreference import gender_of
 from .rewrite import placeholders_in, replace_spans
 
-#: First and last names to draw from.
+#: First names, as many for men as for women, and last names to draw from.
 MALE_NAMES = "Adrien Bruno Cyril Didier Émile Fabrice Gaston Hugo Ivan Jules Kévin Loïc Marius Noé Olivier Pascal Quentin Rémi Simon Théo Ulysse Victor William Xavier Yann".split()
 FEMALE_NAMES = "Agathe Brigitte Céline Delphine Élodie Fanny Gisèle Hélène Inès Jade Karine Lucie Margot Nina Odile Paule Reine Sarah Tania Ursule Valérie Wendy Xénia Yasmine Zoé".split()
 LAST_NAMES = "Aubry Bertin Carlier Delmas Estève Fabre Gaillard Hamel Imbert Jacquet Klein Laborde Marchal Navarro Olivier Pasquier Quesnel Rolland Sabatier Texier Urbain Vasseur Weber Ximenes Yvon Zeller".split()
-TRIES = 100
+#: The last of the last names mark steps.
+STEPS = 6
+FIRST, LAST = len(MALE_NAMES), len(LAST_NAMES) - STEPS
+#: Last names in a name at most: enough for 10^15 people, and doubles still hold all numbers.
+DEPTH = 11
+ROUNDS = 4
+
+
+def _picked(names: list[str], at: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
 
 
-def draw(dossier: str, placeholder: str, kind: str | None, forbidden: set[str]) -> str:
-    """The first of a fixed sequence of names that the dossier does not know."""
-    first = MALE_NAMES if kind == "m" else FEMALE_NAMES if kind == "f" else MALE_NAMES + FEMALE_NAMES
-    for n in range(TRIES):
-        h = xxhash.xxh64_intdigest(f"{dossier}|{placeholder}|{n}")
-        name = f"{first[h % len(first)]} {LAST_NAMES[(h >> 32) % len(LAST_NAMES)]}"
-        if name not in forbidden:
-            return name
-    raise ValueError(f"no unused surrogate in {TRIES} draws; the dossier knows too many names")
+def fake_name(dossier: Column, number: Column, gender: Column, step: Column, key: str = "") -> Column:
+    """The name of the person with this number (from 1): after ``step`` steps, by ``gender`` ``m``, ``f`` or null."""
+    begin, depth, rest = 0, F.lit(None), F.lit(None)
+    for k in range(1, DEPTH + 1):
+        size = FIRST * LAST**k
+        here = (number > begin) & (number <= begin + size)
+        depth = F.when(here, k).otherwise(depth)
+        rest = F.when(here, number - 1 - begin).otherwise(rest)
+        begin += size
+    rest, depth = rest.cast("long"), depth.cast("int")
+    width = F.element_at(F.array(*(F.lit(LAST**k) for k in range(1, DEPTH + 1))), depth)
+    # each half moves by a hash of the other: a permutation of FIRST x LAST^depth
+    first, last = F.pmod(rest, F.lit(FIRST)), F.floor(rest / FIRST).cast("long")
+    for n in range(ROUNDS):
+        first = F.pmod(first + F.pmod(F.xxhash64(F.lit(key), dossier, F.lit(n), last), F.lit(FIRST)), F.lit(FIRST))
+        last = F.pmod(last + F.pmod(F.xxhash64(F.lit(key), dossier, F.lit(n), first), width), width)
+    female = F.when(gender.isNull(), F.pmod(F.xxhash64(F.lit(key), dossier, number), F.lit(2)) == 0).otherwise(gender == "f")
+    digits = lambda x, base, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.floor(x / F.pow(F.lit(float(base)), i)), F.lit(base)))
+    ours = F.transform(digits(last, LAST, depth), lambda d: _picked(LAST_NAMES[:LAST], d))
+    # a step is written with digits from 1 on, so that every step has its own
+    steps = F.when(step == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), step), lambda _: F.lit(LAST_NAMES[LAST])))
+    few = F.when(step <= STEPS, F.when(step == 0, F.array().cast("array<string>")).otherwise(F.array(_picked(LAST_NAMES[LAST:], F.greatest(step, F.lit(1)) - 1)))).otherwise(steps)
+    return F.concat(F.when(female, _picked(FEMALE_NAMES, first)).otherwise(_picked(MALE_NAMES, first)), F.lit(" "), F.array_join(F.concat(ours, few), "-"))
 
 
-def assign_surrogates(people: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``people``: (dossier_id, placeholder, surface). Returns (dossier_id, placeholder, surrogate); ``known`` ones stay.
+def assign_surrogates(people: DataFrame, known: DataFrame | None = None, key: str = "") -> DataFrame:
+    """``people``: (dossier_id, placeholder, surface), numbered placeholders. Returns (dossier_id, placeholder, surrogate); ``known`` ones stay.
 
-    A draw depends on the names already given, so a dossier's people are folded in order of number.
+    Without ``key`` names can be derived by whoever knows this code; that tells a number, not a person.
     """
-    rows = people.select("dossier_id", "placeholder", "surface", F.lit(None).cast("string").alias("surrogate"), gender_of(F.col("surface")).alias("gender"))
+    number = F.regexp_extract("placeholder", r"(\d+)\]$", 1).try_cast("long")
+    real = people.select("dossier_id", F.col("surface").alias("surrogate"))
+    whole = people.groupBy("dossier_id", "placeholder").agg(F.min(gender_of(F.col("surface"))).alias("gender")).withColumn("number", number).where("number > 0")
     if known is not None:
-        rows = rows.unionByName(known.select("dossier_id", "placeholder", F.lit(None).cast("string").alias("surface"), "surrogate", F.lit(None).cast("string").alias("gender")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        dossier = pdf["dossier_id"].iloc[0]
-        given = {p: s for p, s in zip(pdf["placeholder"], pdf["surrogate"]) if isinstance(s, str)}
-        forbidden = set(pdf["surface"].dropna()) | set(given.values())
-        for placeholder, own in sorted(pdf.dropna(subset=["surface"]).groupby("placeholder"), key=lambda g: (len(g[0]), g[0])):
-            if placeholder not in given:
-                kinds = sorted(own["gender"].dropna())
-                given[placeholder] = draw(dossier, placeholder, kinds[0] if kinds else None, forbidden)
-                forbidden.add(given[placeholder])
-        return pd.DataFrame({"dossier_id": dossier, "placeholder": list(given), "surrogate": list(given.values())})
-
-    return rows.groupBy("dossier_id").applyInPandas(fold, "dossier_id string, placeholder string, surrogate string")
+        whole = whole.join(known.select("dossier_id", "placeholder"), ["dossier_id", "placeholder"], "left_anti")
+        real = real.unionByName(known.select("dossier_id", "surrogate"))
+    taken, todo, done, step = written(real.distinct()), written(whole), None, 0
+    while True:
+        named = todo.withColumn("surrogate", fake_name(F.col("dossier_id"), F.col("number"), F.col("gender"), F.lit(step), key))
+        free = named.join(taken, ["dossier_id", "surrogate"], "left_anti").select("dossier_id", "placeholder", "surrogate")
+        done = free if done is None else done.unionByName(free)
+        # nearly always nobody
+        todo = written(named.join(taken, ["dossier_id", "surrogate"], "left_semi").select(*todo.columns))
+        if todo.isEmpty():
+            return done if known is None else done.unionByName(known.select("dossier_id", "placeholder", "surrogate"))
+        step += 1
 
 
 def apply_surrogates(texts: DataFrame, surrogates: DataFrame, text: str = "protected", keys: tuple[str, ...] = ("dossier_id", "seq")) -> DataFrame:

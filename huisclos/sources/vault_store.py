@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.coreference import RESOLVED
 from ..operators.vault import SURFACES, opened, sealed
 
 
@@ -160,3 +161,8 @@ class VaultStore:
         for folder in gone:
             self._drop(folder)
         return len(gone)
+
+
+def people_store(spark: SparkSession, vault: str, key: DataFrame | None = None) -> VaultStore:
+    """The people beside the surfaces of the vault at ``vault``; a surface's latest canonical name counts."""
+    return VaultStore(spark, f"{vault}/people", key, RESOLVED, ("surface", "canonical"), ("dossier_id", "surface"))
