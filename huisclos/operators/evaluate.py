@@ -6,9 +6,11 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.regex import matches
+from ..plans.materialize import written
 from .search import values_in_texts
 
 def truth_spans(docs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -19,16 +21,49 @@ def truth_spans(docs: DataFrame, truth: DataFrame) -> DataFrame:
     return found.select("doc_id", "type", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 
+#: Characters of a document that one window sweeps; what earlier ones hold is carried on by their sums.
+STRETCH = 1 << 16
+
+
+def _swept(marks: DataFrame, keys: list[str], order: list[str], carry: Column, within: Column) -> DataFrame:
+    """``marks`` (``keys``, at, ...) plus carried and swept: the aggregate over all earlier stretches and the one up to the row in its own."""
+    cut = marks.withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    each = cut.groupBy(*keys, "stretch").agg(within.alias("one"))
+    earlier = W.partitionBy(*keys).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    before = each.select(*keys, "stretch", carry.over(earlier).alias("carried"))
+    here = W.partitionBy(*keys, "stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cut.withColumn("swept", within.over(here)).join(before, [*keys, "stretch"])
+
+
 def covered_truth(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """True spans that one detected span of their type contains."""
-    t, f = truth.alias("t"), found.alias("f")
-    return t.join(f, (F.col("t.doc_id") == F.col("f.doc_id")) & (F.col("t.type") == F.col("f.type")) & (F.col("f.start") <= F.col("t.start")) & (F.col("f.end") >= F.col("t.end")), "left_semi")
+    """True spans that one detected span of their type contains. Spans are not empty.
+
+    By start, found ones first, a true span is covered where the largest end of the found ones so far reaches its own.
+    """
+    keys, rows = ["doc_id", "type"], written(truth.withColumn("__n", F.monotonically_increasing_id()))
+    none = F.lit(None).cast("long")
+    theirs = found.select(*keys, F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("end").cast("long").alias("reach"), none.alias("__n"), none.alias("need"))
+    ours = rows.select(*keys, F.col("start").alias("at"), F.lit(1).alias("kind"), none.alias("reach"), "__n", F.col("end").cast("long").alias("need"))
+    swept = _swept(theirs.unionByName(ours), keys, ["at", "kind"], F.max("one"), F.max("reach"))
+    held = swept.where((F.col("kind") == 1) & (F.greatest("carried", "swept") >= F.col("need")))
+    return rows.join(held.select("__n"), "__n", "left_semi").select(*truth.columns)
 
 
 def correct_detections(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Detected spans that overlap a true span of their type."""
-    t, f = truth.alias("t"), found.alias("f")
-    return f.join(t, (F.col("t.doc_id") == F.col("f.doc_id")) & (F.col("t.type") == F.col("f.type")) & (F.col("f.start") < F.col("t.end")) & (F.col("f.end") > F.col("t.start")), "left_semi")
+    """Detected spans that overlap a true span of their type. Spans are not empty.
+
+    A found span overlaps as many true ones as begin before its end less those that end by its start.
+    """
+    keys, rows = ["doc_id", "type"], written(found.withColumn("__n", F.monotonically_increasing_id()))
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    mark = lambda df, at, axis, kind, count, n: df.select(*keys, F.col(at).alias("at"), F.lit(axis).alias("axis"), F.lit(kind).alias("kind"), count.alias("count"), n.alias("__n"))
+    # begins count before a found end at another place only, ends before a found start at the same one too
+    marks = mark(truth, "start", "begin", 1, one, none).unionAll(mark(rows, "end", "begin", 0, one * 0, F.col("__n")))
+    marks = marks.unionAll(mark(truth, "end", "end", 0, one, none)).unionAll(mark(rows, "start", "end", 1, one * 0, F.col("__n")))
+    swept = _swept(marks, [*keys, "axis"], ["at", "kind"], F.sum("one"), F.sum("count")).where("__n IS NOT NULL")
+    sign = F.when(F.col("axis") == "begin", 1).otherwise(-1)
+    held = swept.groupBy("__n").agg(F.sum(sign * (F.coalesce("carried", F.lit(0)) + F.col("swept"))).alias("n")).where("n > 0")
+    return rows.join(held, "__n", "left_semi").select(*found.columns)
 
 
 def recall_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
