@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import json
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import let
+from ..functions.strict_json import whole_json
+from ..sources.connectors import Calls, Client, complete_once
 from .rewrite import NUMBERED
 
 #: Fixed value: the keys of a candidate, all of them and no other.
 FIELDS = ("segment", "type_candidat", "justification", "score")
 CANDIDATES = "array<struct<segment:string,type_candidat:string,justification:string,score:double>>"
 INVALID = "SortieJugeInvalide"
+#: What the judge is asked for.
+PROMPT = (
+    "Tu relis un texte dont les données personnelles ont été remplacées par des jetons comme [PERSONNE_001]. "
+    "Cherche ce qui permettrait encore de reconnaître une personne : une fonction rare, un lieu précis, un événement unique, un lien de parenté, un recoupement. "
+    "Ne signale jamais un jeton. Réponds seulement par une liste JSON, vide s'il n'y a rien. Chaque élément a exactement quatre clés : "
+    '"segment" (copié mot pour mot du texte), "type_candidat", "justification" et "score" (de 0 à 1).'
+)
 
 
 def cleaned(raw: Column) -> Column:
@@ -24,25 +32,27 @@ def cleaned(raw: Column) -> Column:
     return F.when(inner != "", inner).otherwise(thought)
 
 
-def _sound(item: object) -> bool:
-    if not isinstance(item, dict) or set(item) != set(FIELDS):
-        return False
-    texts = all(isinstance(item[f], str) and re.search(r"\S", item[f]) for f in FIELDS[:3])
-    score = item["score"]
-    return texts and not isinstance(score, bool) and isinstance(score, int | float) and 0 <= score <= 1
+def items_of(raw: Column) -> Column:
+    """The candidates of a reply's JSON list; null where anything in it is not as it must be.
 
+    Each is an object of exactly the four keys, each once, with three texts that are not blank and a number from 0 to 1.
+    """
+    kind = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    keys = F.array(*map(F.lit, sorted(FIELDS)))
+
+    def sound(x: Column) -> Column:
+        whole = F.startswith(F.schema_of_variant(x), F.lit("OBJECT")) & (F.array_sort(F.json_object_keys(F.to_json(x))) == keys)
+        texts = [(kind(x, f"$.{f}") == "STRING") & F.try_variant_get(x, f"$.{f}", "string").rlike(r"(?U)\S") for f in FIELDS[:3]]
+        number = kind(x, "$.score").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & F.try_variant_get(x, "$.score", "double").between(0, 1)
+        for test in (*texts, number):
+            whole = whole & test
+        return F.coalesce(whole, F.lit(False))
 
-def _parse_all(raw: pd.Series) -> pd.Series:
-    def one(text: str | None) -> list[dict] | None:
-        try:
-            items = json.loads(text)
-        except (ValueError, TypeError):
-            return None
-        if not isinstance(items, list) or not all(map(_sound, items)):
-            return None
-        return [i | {"score": float(i["score"])} for i in items]
+    def candidate(x: Column) -> Column:
+        return F.struct(*(F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in FIELDS[:3]), F.try_variant_get(x, "$.score", "double").alias("score"))
 
-    return raw.map(one)
+    listed = F.try_variant_get(whole_json(raw), "$", "array<variant>")
+    return let(listed, lambda items: F.when(items.isNotNull() & F.forall(items, sound), F.transform(items, candidate))).cast(CANDIDATES)
 
 
 def read_judge(outputs: DataFrame, raw: str = "raw", score_min: float = 0.5) -> DataFrame:
@@ -50,7 +60,7 @@ def read_judge(outputs: DataFrame, raw: str = "raw", score_min: float = 0.5) ->
 
     Candidates below ``score_min`` and those that only name a placeholder are dropped.
     """
-    read = outputs.withColumn("candidates", F.pandas_udf(_parse_all, CANDIDATES)(cleaned(F.col(raw))))
+    read = outputs.withColumn("candidates", items_of(cleaned(F.col(raw))))
     read = read.withColumn("error_kind", F.when(F.col("candidates").isNull(), INVALID))
     bare = rf"^\s*{NUMBERED}\s*$"
     kept = F.filter("candidates", lambda c: (c["score"] >= score_min) & ~c["segment"].rlike(bare))
@@ -73,3 +83,21 @@ def locate(read: DataFrame, text: str, details: bool = False) -> DataFrame:
 def judge_input(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """Only a conversation's last message goes to the judge."""
     return messages.groupBy(key).agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
+
+
+def judge_pass(texts: DataFrame, client_factory: Callable[[], Client], keys: list[str], answers_at: str, text: str = "protected", model: str = "", calls: Calls = Calls(60.0), score_min: float = 0.5) -> DataFrame:
+    """``texts`` plus candidates, located, n_unlocated and error_kind. ``answers_at``: the folder of raw answers, so a text is asked about once.
+
+    A pass that fails anywhere leaves the text without candidates and with the kind of the failure; nothing else stops. A later run asks
+    only about texts that have no answer yet from this model and prompt. Equal texts are asked about once.
+    """
+    asked = texts.withColumn("__judged", F.sha2(F.concat_ws("\n", F.lit(model), F.lit(PROMPT), F.col(text)), 256))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    wanted = asked.where(F.col(text).isNotNull()).groupBy("__judged").agg(F.first(text).alias("t"))
+    requests = wanted.select("__judged", F.array(message("system", F.lit(PROMPT)), message("user", F.col("t"))).alias("messages"))
+    replies = complete_once(requests, client_factory, "__judged", answers_at, calls)
+    read = read_judge(replies.withColumnRenamed("error_kind", "__failed"), "reply", score_min)
+    told = read.select("__judged", "candidates", F.coalesce("__failed", "error_kind").alias("error_kind"))
+    none = F.array().cast(CANDIDATES)
+    joined = asked.join(told, "__judged", "left").withColumn("candidates", F.coalesce("candidates", none)).drop("__judged")
+    return locate(joined, text).select(*texts.columns, "candidates", "located", "n_unlocated", "error_kind")

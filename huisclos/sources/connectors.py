@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import ipaddress
+import json
+import time
+import urllib.error
+import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import written
+
 Client = Callable[[list[dict]], str]
 #: Fixed value: what a model is told when placeholders stand in the payload.
 KEEP_TOKENS = "Les jetons entre crochets comme [PERSONNE_001] remplacent des données confidentielles. Reprends-les à l'identique, sans les modifier ni les traduire."
@@ -20,24 +29,123 @@ def echo_replies(requests: DataFrame, text: str = "protected") -> DataFrame:
     return requests.withColumn("reply", F.col(text)).withColumn("error_kind", F.lit(None).cast("string"))
 
 
-def complete(requests: DataFrame, client_factory: Callable[[], Client], key: str = "conv_id") -> DataFrame:
-    """``requests``: (``key``, messages array<struct<role,content>>). One client a partition; failures become error kinds without payload."""
+class Unavailable(Exception):
+    """The back end is there and can't answer now."""
+
+
+class Refused(Exception):
+    """The back end won't answer this."""
+
+
+class InvalidReply(Exception):
+    """What came back is no completion."""
+
+
+#: Failures that may pass.
+PASSING = (TimeoutError, ConnectionError, Unavailable)
+
+
+@dataclass(frozen=True)
+class Calls:
+    """``seconds`` until an answer must be there, ``tries`` in all, ``pause`` before the second one (then doubled), ``at_once`` in a task."""
+
+    seconds: float = 120.0
+    tries: int = 3
+    pause: float = 1.0
+    at_once: int = 4
+
+
+def http_client(url: str, model: str, token: str = "", seconds: float = 120.0, temperature: float | None = 0) -> Client:
+    """A client for a chat-completions service; what it raises says nothing of the payload."""
+
+    def client(messages: list[dict]) -> str:
+        payload = {"model": model, "messages": messages} | ({} if temperature is None else {"temperature": temperature})
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        request = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", json.dumps(payload).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=seconds) as answer:
+                body = answer.read()
+        except urllib.error.HTTPError as e:
+            raise (Unavailable if e.code >= 500 or e.code in (408, 425, 429) else Refused)(str(e.code)) from None
+        except urllib.error.URLError as e:
+            raise (TimeoutError() if isinstance(e.reason, TimeoutError) else ConnectionError()) from None
+        try:
+            content = json.loads(body)["choices"][0]["message"]["content"]
+        except (ValueError, LookupError, TypeError):
+            raise InvalidReply() from None
+        if not isinstance(content, str):
+            raise InvalidReply()
+        return content
+
+    return client
+
+
+def ask(client: Client, messages: list[dict], calls: Calls) -> tuple[str | None, str | None]:
+    """(reply, kind of failure): one is null. Failures that may pass are tried again after a pause."""
+    kind = None
+    for n in range(calls.tries):
+        if n:
+            time.sleep(calls.pause * 2 ** (n - 1))
+        try:
+            return client(messages), None
+        except Exception as e:  # the kind only: a message may quote the payload
+            kind = type(e).__name__
+            if not isinstance(e, PASSING):
+                break
+    return None, kind
+
+
+def asked_in_order(client: Client, requests: list[list[dict]], calls: Calls) -> Iterator[tuple[str | None, str | None]]:
+    """Answers in the order of ``requests``, at most ``at_once`` under way. A call that doesn't come back in time is given up."""
+    pool = ThreadPoolExecutor(calls.at_once)
+    most = calls.seconds * calls.tries + calls.pause * 2**calls.tries
+    under_way: deque = deque()
+    try:
+        for messages in requests:
+            if len(under_way) == calls.at_once:
+                yield _answer(under_way.popleft(), most)
+            under_way.append(pool.submit(ask, client, messages, calls))
+        while under_way:
+            yield _answer(under_way.popleft(), most)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def _answer(call: Future, most: float) -> tuple[str | None, str | None]:
+    try:
+        return call.result(most)
+    except FutureTimeout:
+        return None, "TimeoutError"
+
+
+def complete(requests: DataFrame, client_factory: Callable[[], Client], key: str = "conv_id", calls: Calls = Calls()) -> DataFrame:
+    """``requests``: (``key``, messages array<struct<role,content>>). Returns (``key``, reply, error_kind). One client a task; failures become error kinds without payload."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         for pdf in batches:
-            out = []
-            for k, messages in zip(pdf[key], pdf["messages"]):
-                try:
-                    out.append((k, client([dict(m) for m in messages]), None))
-                except Exception as e:  # the kind only: a message may quote the payload
-                    out.append((k, None, type(e).__name__))
-            yield pd.DataFrame(out, columns=[key, "reply", "error_kind"])
+            answers = asked_in_order(client, [[{"role": m["role"], "content": m["content"]} for m in messages] for messages in pdf["messages"]], calls)
+            rows = [(k, *a) for k, a in zip(pdf[key], answers)]
+            yield pd.DataFrame(rows, columns=[key, "reply", "error_kind"])
 
     kind = dict(requests.dtypes)[key]
     return requests.select(key, "messages").mapInPandas(run, f"{key} {kind}, reply string, error_kind string")
 
 
+def complete_once(requests: DataFrame, client_factory: Callable[[], Client], key: str, answers_at: str, calls: Calls = Calls()) -> DataFrame:
+    """``complete`` for requests that have no answer in the folder ``answers_at`` yet; new answers are added to it, failures are not.
+
+    A run after a lost one, or over more requests, asks only for what is missing. One run at a time writes to a folder.
+    """
+    spark, kind = requests.sparkSession, dict(requests.dtypes)[key]
+    shape = f"{key} {kind}, reply string"
+    spark.createDataFrame([], shape).write.mode("append").parquet(answers_at)  # so that a first run finds a table
+    had = written(spark.read.schema(shape).parquet(answers_at).dropDuplicates([key]).join(requests.select(key), key, "left_semi"))
+    new = written(complete(requests.join(had.select(key), key, "left_anti"), client_factory, key, calls))
+    new.where("error_kind IS NULL").select(key, "reply").write.mode("append").parquet(answers_at)
+    return had.withColumn("error_kind", F.lit(None).cast("string")).unionByName(new)
+
+
 def with_system_prompt(messages, prompt: str = KEEP_TOKENS):
     """Put the prompt first, only where a placeholder stands in a message."""
     needed = F.exists(messages, lambda m: m["content"].rlike(r"\[[A-Z_]+_\d{3,}\]"))
@@ -55,6 +163,9 @@ class Options:
     judge_url: str = ""
     judge_model: str = ""
     judge_score_min: float = 0.5
+    judge_answers: str = ""
+    coreference: bool = False
+    surrogates: bool = False
     vault_path: str = ""
     vault_key: str = field(default="", repr=False)
     vault_key_file: str = ""
@@ -65,8 +176,8 @@ class Options:
                 raise ValueError(f"{name} must be in [0, 1]")
         if self.vault_key and self.vault_key_file or bool(self.vault_path) != bool(self.vault_key or self.vault_key_file):
             raise ValueError("vault_path comes with either vault_key or vault_key_file")
-        if bool(self.judge_url) != bool(self.judge_model):
-            raise ValueError("judge_url and judge_model come together")
+        if not bool(self.judge_url) == bool(self.judge_model) == bool(self.judge_answers):
+            raise ValueError("judge_url, judge_model and judge_answers (a folder) come together")
         if self.judge_url and not private_host(self.judge_url):
             raise ValueError("the judge must run on a private host")
 

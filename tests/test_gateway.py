@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from huisclos.operators import judge
 from huisclos.operators.evaluate import assign_canaries, canary_match, canary_rate, leaks, recall_precision, truth_spans
-from huisclos.operators.surrogates import apply_surrogates, assign_surrogates, draw
+from huisclos.operators.surrogates import apply_surrogates, assign_surrogates
 from huisclos.plans.conversation import converse
 from huisclos.sources import audit, connectors
 from huisclos.sources.corpus import read_canaries, read_texts, read_truth, write_baseline
-from huisclos.sources.files import extract, rewrite_docx
+from huisclos.sources.files import extract
 from huisclos.streaming.incremental import pseudonymize_stream
 
 ITEM = {"segment": "le maire", "type_candidat": "fonction", "justification": "unique", "score": 0.8}
@@ -76,8 +76,6 @@ def test_surrogates(spark):
     assert again == names
     texts = spark.createDataFrame([("A", 1, "[PERSONNE_001] et [PERSONNE_001]"), ("Z", 1, "[PERSONNE_001]")], "dossier_id string, seq long, protected string")
     assert {r["protected"] for r in apply_surrogates(texts, first).collect()} == {" et ".join([names["A", "[PERSONNE_001]"]] * 2), "[PERSONNE_001]"}
-    taken = draw("A", "p", "f", set())
-    assert draw("A", "p", "f", {taken}) != taken
 
 
 def test_conversation_gate(spark):
@@ -105,17 +103,19 @@ def test_prompt_only_where_needed_and_failures_without_payload(spark):
 
         return client
 
-    assert {tuple(r) for r in connectors.complete(sent, factory).collect()} == {("A", None, "TimeoutError"), ("B", "oui", None)}
+    assert {tuple(r) for r in connectors.complete(sent, factory, calls=connectors.Calls(pause=0.01)).collect()} == {("A", None, "TimeoutError"), ("B", "oui", None)}
 
 
 def test_options():
-    with pytest.raises(ValueError):
-        connectors.Options(judge_url="http://example.com/v1", judge_model="m")
+    with pytest.raises(ValueError, match="private"):
+        connectors.Options(judge_url="http://example.com/v1", judge_model="m", judge_answers="/a")
     with pytest.raises(ValueError):
         connectors.Options(vault_path="/v")
     with pytest.raises(ValueError):
         connectors.Options(engine_threshold=2)
-    assert connectors.Options(judge_url="http://192.168.1.4:11434/v1", judge_model="m").judge_model == "m"
+    with pytest.raises(ValueError):
+        connectors.Options(judge_url="http://192.168.1.4:11434/v1", judge_model="m")
+    assert connectors.Options(judge_url="http://192.168.1.4:11434/v1", judge_model="m", judge_answers="/a").judge_model == "m"
     assert connectors.private_host("http://localhost:1/") and connectors.private_host("http://[::1]:80/") and not connectors.private_host("http://8.8.8.8/")
 
 
@@ -135,9 +135,6 @@ def test_files(spark):
     assert got["/a/x.TXT"] == ("été", None) and got["/a/y.csv"] == ("é;1", None)
     assert got["/a/z.docx"] == ("un\ndeux\nc\td", None) and got["/a/bad.docx"] == (None, "FichierIllisible")
     assert got["/a/q.exe"] == got["/a/none"] == (None, "FormatNonSupporte") and got["/a/p.pdf"][0] is None
-    changed, counts = rewrite_docx(docx(["écrire a@b.fr", "rien"], ["a@b.fr"]), lambda t: (t.replace("a@b.fr", "[EMAIL_001]"), {"EMAIL": t.count("@")}))
-    again = extract(spark.createDataFrame([("/o.docx", changed)], "path string, content binary")).first()["text"]
-    assert again == "écrire [EMAIL_001]\nrien\n[EMAIL_001]" and counts == {"EMAIL": 2}
 
 
 def test_corpus(spark, tmp_path):
