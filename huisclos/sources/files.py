@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections import Counter
-from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,7 +14,6 @@ from pyspark.sql import functions as F
 PLAIN, RICH = (".txt", ".md", ".csv"), (".docx", ".pdf")
 UNSUPPORTED, UNREADABLE, NO_TEXT = "FormatNonSupporte", "FichierIllisible", "PdfSansTexte"
 NAMESPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-PROPERTIES = ("creator", "lastModifiedBy", "title", "subject", "description", "keywords", "category")
 
 
 def _paragraph(p: ElementTree.Element) -> str:
@@ -42,7 +39,9 @@ def pdf_text(content: bytes) -> str:
 
 
 def _rich_texts(content: pd.Series, suffix: pd.Series) -> pd.DataFrame:
-    def one(data: bytes, kind: str) -> tuple[str | None, str | None]:
+    def one(data: bytes | None, kind: str) -> tuple[str | None, str | None]:
+        if data is None:
+            return None, UNREADABLE if kind in RICH else None
         try:
             text = docx_text(data) if kind == ".docx" else pdf_text(data)
         except ImportError:
@@ -59,48 +58,13 @@ def extract(files: DataFrame) -> DataFrame:
     suffix = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
     plain = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     known = files.withColumn("suffix", suffix)
-    rich = known.where(F.col("suffix").isin(*RICH)).withColumn("__r", F.pandas_udf(_rich_texts, "struct<text:string,error_kind:string>")("content", "suffix"))
-    simple = known.where(~F.col("suffix").isin(*RICH))
-    is_plain = F.col("suffix").isin(*PLAIN)
-    simple = simple.withColumn("text", F.when(is_plain, plain)).withColumn("error_kind", F.when(~is_plain, UNSUPPORTED))
-    return simple.unionByName(rich.withColumn("text", F.col("__r.text")).withColumn("error_kind", F.col("__r.error_kind")).drop("__r"))
+    # contents of other kinds stay out of Python
+    rich = F.when(F.col("suffix").isin(*RICH), F.col("content"))
+    read = known.withColumn("__r", F.pandas_udf(_rich_texts, "struct<text:string,error_kind:string>")(rich, F.col("suffix")))
+    kind = lambda a, b, c: F.when(F.col("suffix").isin(*PLAIN), a).when(F.col("suffix").isin(*RICH), b).otherwise(c)
+    nothing = F.lit(None).cast("string")
+    return read.withColumn("text", kind(plain, F.col("__r.text"), nothing)).withColumn("error_kind", kind(nothing, F.col("__r.error_kind"), F.lit(UNSUPPORTED))).drop("__r")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return extract(spark.read.format("binaryFile").load(path).select("path", "content"))
-
-
-def rewrite_docx(content: bytes, protect: Callable[[str], tuple[str, dict[str, int]]]) -> tuple[bytes, dict[str, int]]:
-    """The document with each paragraph, cell and text property protected. An unchanged paragraph keeps its formatting."""
-    counts: Counter = Counter()
-
-    def through(text: str) -> str:
-        out, found = protect(text)
-        counts.update(found)
-        return out
-
-    source, target = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for item in source.infolist():
-            data = source.read(item)
-            if item.filename == "word/document.xml":
-                root = ElementTree.fromstring(data)
-                for p in root.iter(f"{NAMESPACE}p"):
-                    text = _paragraph(p)
-                    if text.strip() and (changed := through(text)) != text:
-                        runs = p.findall(f".//{NAMESPACE}r")
-                        for r in runs:
-                            for e in list(r):
-                                if e.tag != f"{NAMESPACE}rPr":
-                                    r.remove(e)
-                        kept = ElementTree.SubElement(runs[0], f"{NAMESPACE}t")
-                        kept.text = changed
-                data = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
-            elif item.filename == "docProps/core.xml":
-                root = ElementTree.fromstring(data)
-                for e in root.iter():
-                    if e.tag.rpartition("}")[2] in PROPERTIES and e.text:
-                        e.text = through(e.text)
-                data = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
-            z.writestr(item.filename, data)
-    return target.getvalue(), dict(counts)
