@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.repair import check_replies, restore_replies
 from ..operators.rewrite import NUMBERED, reidentify
 from ..sources.audit import events
 from ..sources.connectors import echo_replies, with_system_prompt
+from ..sources.requests import read_requests
 from .materialize import written
 from .pseudonymize import Protected, pseudonymize
 
@@ -36,12 +37,13 @@ def without_streaming(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return requests.withColumn("stream", F.lit(False)), events(asked)
 
 
-def chat_response(answers: DataFrame, model: str = "") -> DataFrame:
-    """(dossier_id, response): a chat completion's shape with the answer and the report on placeholders; no text where the back end failed."""
+def chat_response(answers: DataFrame, model: str | Column = "", models: DataFrame | None = None) -> DataFrame:
+    """(dossier_id, response, error_kind): a chat completion's shape with the answer and the report on placeholders; no text where the back end failed. ``models`` may name each dossier's."""
     message = F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"))
     choice = F.struct(F.lit(0).alias("index"), message.alias("message"), F.when(F.col("error_kind").isNull(), "stop").otherwise("error").alias("finish_reason"))
-    whole = F.struct(F.lit("chat.completion").alias("object"), F.lit(model).alias("model"), F.array(choice).alias("choices"), F.col("report"))
-    return answers.select("dossier_id", whole.alias("response"))
+    named = answers if models is None else answers.join(models, "dossier_id")
+    whole = F.struct(F.lit("chat.completion").alias("object"), (F.lit(model) if isinstance(model, str) else model).alias("model"), F.array(choice).alias("choices"), F.col("report"))
+    return named.select("dossier_id", whole.alias("response"), "error_kind")
 
 
 def converse(messages: DataFrame, policies: DataFrame | None = None, back_end: Callable[[DataFrame], DataFrame] = echo_replies, reidentified: bool = True) -> tuple[Protected, DataFrame]:
@@ -59,3 +61,51 @@ def converse(messages: DataFrame, policies: DataFrame | None = None, back_end: C
     sound = F.col("report.ok") & F.lit(reidentified)
     restored = reidentify(report, done.canonical, keys)
     return done, restored.withColumn("answer", F.when(sound, F.col("restored")).otherwise(F.col("text"))).drop("restored")
+
+
+def converse_requests(documents: DataFrame, policies: DataFrame | None = None, back_end: Callable[[DataFrame], DataFrame] = echo_replies, reidentified: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``documents``: (dossier_id, raw), a dossier's one request. Returns (dossier_id, response, error_kind) for each and audit rows.
+
+    A document that is no request, or has no message, is answered by its kind of error only; a stream that was asked for is answered whole.
+    """
+    read = written(read_requests(documents.select("dossier_id", "raw")))
+    empty = F.size("request.messages") == 0
+    told = written(read.withColumn("error_kind", F.when(empty, "RequeteInvalide").otherwise(F.col("error_kind"))))
+    sound = told.where("error_kind IS NULL")
+    _, trail = without_streaming(sound.select("dossier_id", F.col("request.stream").alias("stream")))
+    messages = sound.select("dossier_id", F.posexplode("request.messages").alias("seq", "m")).select("dossier_id", F.col("seq").cast("long").alias("seq"), "m.role", F.col("m.content").alias("text"))
+    _, answers = converse(messages, policies, back_end, reidentified)
+    models = sound.select("dossier_id", F.col("request.model").alias("model"))
+    shaped = chat_response(answers, F.col("model"), models).select("dossier_id", "response", "error_kind")
+    refused = told.where("error_kind IS NOT NULL").select("dossier_id", F.lit(None).cast(shaped.schema["response"].dataType).alias("response"), "error_kind")
+    failed = events(refused.select("dossier_id", F.lit("refused").alias("status"), "error_kind"))
+    return shaped.unionByName(refused), trail.unionByName(failed)
+
+
+def answer_view(done: Protected, mode: str = "serieux") -> DataFrame:
+    """(dossier_id, seq, view): what a page shows of each text.
+
+    view has mode, text, counts, detections, ambiguous, in_review. Values, placeholders and fake names are among the detections in the mode ``demo`` only.
+    """
+    if mode not in ("serieux", "demo"):
+        raise ValueError(f"no mode {mode!r}")
+    shown = ["type", "start", "end", "score"]
+    spans = done.spans.where("placeholder IS NOT NULL")
+    if mode == "demo":
+        shown += ["surface", "placeholder"]
+        if done.surrogates is not None:
+            spans, shown = spans.join(done.surrogates, ["dossier_id", "placeholder"], "left"), [*shown, "surrogate"]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("start", F.struct(*shown).alias("d")))), lambda x: x["d"])
+    rows = spans.groupBy("dossier_id", "seq").agg(listed.alias("__d"))
+    joined = done.texts.select("dossier_id", "seq", "protected", "counts", "in_review").join(rows, ["dossier_id", "seq"], "left")
+    ambiguous = F.array().cast("array<string>")
+    if done.people is not None:
+        unclear = done.spans.where("type = 'PERSONNE'").join(done.people.where("ambiguous").select("dossier_id", "placeholder").distinct(), ["dossier_id", "placeholder"], "left_semi")
+        joined = joined.join(unclear.groupBy("dossier_id", "seq").agg(F.array_sort(F.collect_set("placeholder")).alias("__a")), ["dossier_id", "seq"], "left")
+        ambiguous = F.coalesce("__a", ambiguous)
+    none = F.array().cast(rows.schema["__d"].dataType)
+    view = F.struct(
+        F.lit(mode).alias("mode"), F.col("protected").alias("text"), F.coalesce("counts", F.create_map().cast("map<string,int>")).alias("counts"), F.coalesce("__d", none).alias("detections"),
+        ambiguous.alias("ambiguous"), F.coalesce("in_review", F.array().cast("array<string>")).alias("in_review"),
+    )
+    return joined.select("dossier_id", "seq", view.alias("view"))

@@ -32,3 +32,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(table: DataFrame | None) -> None:
+    """Delete the files of a ``written`` table; only once all that reads it has been written itself."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()} if table is not None else ():
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -148,11 +148,24 @@ ORACLES = {
     "coreference_ambiguous": """SELECT CAST(o_custkey AS VARCHAR) AS dossier_id, ['Jean Dupont', 'Marie Dupont', 'M. Dupont'][n] AS surface, n AS number,
         ['Jean Dupont', 'Marie Dupont', 'M. Dupont'][n] AS canonical, n = 3 AS ambiguous
         FROM (SELECT o_custkey, unnest(range(1, least(count(*), 3) + 1)) AS n FROM orders GROUP BY o_custkey)""",
+    "judged_texts": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN '' ELSE '0:5' END AS located,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'Refused' WHEN o_orderkey % 7 = 0 THEN 'SortieJugeInvalide' END AS error_kind FROM orders""",
+    "streamed_people": f"""SELECT CAST(o_custkey AS VARCHAR) AS dossier_id, o_orderkey AS seq, 'Vu par ' || token AS protected
+        FROM orders JOIN (SELECT dossier_id, surface, '[PERSONNE_00' || CASE WHEN third = 0 THEN 1 ELSE row_number() OVER (PARTITION BY dossier_id ORDER BY first) END || ']' AS token FROM ({PAIRED}))
+        ON dossier_id = CAST(o_custkey AS VARCHAR) AND surface = {PAIR}""",
+    "coreference_casing": """WITH n AS (SELECT o_custkey, o_custkey % 3 AS k, count(*) AS n FROM orders GROUP BY o_custkey)
+        SELECT CAST(o_custkey AS VARCHAR) AS dossier_id, names[i] AS surface, CAST(1 AS BIGINT) AS number, CASE WHEN n = 1 OR k = 0 THEN names[1] ELSE names[2] END AS canonical
+        FROM (SELECT *, [['M. dupont', 'Dupont'], ['m. dupont', 'Dupont'], ['jean dupont', 'Jean Dupont']][k + 1] AS names, unnest(range(1, least(n, 2) + 1)) AS i FROM n)""",
     "surrogate_properties": f"""SELECT dossier_id, CASE WHEN any_value(third) = 0 THEN 1 ELSE count(*) END AS n_people, CASE WHEN any_value(third) = 0 THEN 1 ELSE count(*) END AS n_names,
         CAST(0 AS BIGINT) AS n_real FROM ({PAIRED}) GROUP BY dossier_id""",
     "surrogate_roundtrip": f"""SELECT CAST(o_custkey AS VARCHAR) AS dossier_id, o_orderkey AS seq, false AS before, 'Vu par ' || token || ' et ' || token AS text
         FROM orders JOIN (SELECT dossier_id, surface, '[PERSONNE_00' || CASE WHEN third = 0 THEN 1 ELSE row_number() OVER (PARTITION BY dossier_id ORDER BY first) END || ']' AS token FROM ({PAIRED}))
         ON dossier_id = CAST(o_custkey AS VARCHAR) AND surface = {PAIR}""",
+    "docx_rewritten": f"""SELECT dossier_id, string_agg(protected, chr(10) ORDER BY seq) AS text, CAST(count(*) AS INTEGER) AS n_email FROM (
+        SELECT CAST(o_custkey AS VARCHAR) AS dossier_id, o_orderkey AS seq, 'Suivi ' || {token("REFERENCE", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)")} || ' du ' || {DAY} || ', ecrire a ' || {token("EMAIL", "number")} AS protected
+        FROM orders JOIN ({NUMBERED}) ON dossier_id = CAST(o_custkey AS VARCHAR) AND surface = {MAIL}) GROUP BY dossier_id""",
+    "chat_requests": """SELECT CAST(conv_id AS VARCHAR) AS dossier_id, CASE WHEN conv_id % 7 < 4 THEN 'RequeteInvalide' END AS error_kind, CASE WHEN conv_id % 7 > 3 THEN 'm' END AS model,
+        CASE WHEN conv_id % 7 > 3 THEN md5(arg_max(text || ' Ecrire a c' || turn % 2 || '@mail.fr', turn)) END AS answer_md5, conv_id % 7 > 3 AND conv_id % 2 = 0 AS streamed FROM conversations GROUP BY conv_id""",
     "documents_pseudonymized": f"""WITH found AS (
           SELECT doc_id, source, start, value, 'EMAIL' AS label FROM ({hits(EMAIL)}) UNION ALL SELECT doc_id, source, start, value, 'CARTE' FROM ({CARDS})),
         numbered AS (SELECT source, label, value, row_number() OVER (PARTITION BY source, label ORDER BY first, value) AS n

@@ -30,23 +30,29 @@ class Protected:
     people: DataFrame | None = None
     #: The surfaces that this call has numbered: what a vault has to add.
     fresh: DataFrame | None = None
+    #: (dossier_id, placeholder, surrogate) where texts hold fake names.
+    surrogates: DataFrame | None = None
+    #: (dossier_id, seq, protected, candidates, located, n_unlocated, error_kind) where a judge has read the texts.
+    judged: DataFrame | None = None
 
 
 def long_spans(docs: DataFrame, policies: DataFrame | None = None, engines: Iterable[Engine] = (), engine_threshold: float = 0.0) -> DataFrame:
     """(dossier_id, seq, type, start, end, score, surface, action): a row for each detected span."""
-    found = detect(docs.select(*KEYS, "text"), engines=engines, engine_threshold=engine_threshold)
+    given = "spans" in docs.columns  # detected before
+    found = docs.select(*KEYS, "spans") if given else detect(docs.select(*KEYS, "text"), engines=engines, engine_threshold=engine_threshold)
     rows = span_rows(found, KEYS).select(*KEYS, "s.type", "s.start", "s.end", "s.score", F.col("s.value").alias("surface"))
     if policies is None:
         return rows.withColumn("action", action_for(F.col("type"), F.create_map().cast("map<string,string>")))
     return rows.join(as_maps(policies), "dossier_id", "left").withColumn("action", action_for(F.col("type"), F.col("policy"))).drop("policy")
 
 
-def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: DataFrame | None = None, engines: Iterable[Engine] = (), coreference: bool = False, people: DataFrame | None = None, engine_threshold: float = 0.0) -> Protected:
+def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: DataFrame | None = None, engines: Iterable[Engine] = (), coreference: bool = False, people: DataFrame | None = None, engine_threshold: float = 0.0, resolved: DataFrame | None = None) -> Protected:
     """``docs``: (dossier_id, seq, text, ...), seq the order of arrival in a dossier, unique in it.
 
     Masked and kept spans take no number and leave no vault row. ``known`` and ``people`` are the surfaces
     and people of earlier batches, of these dossiers at least; they are read and never written again. With
-    coreference, people are numbered by the latter alone.
+    coreference, people are numbered by the latter alone, or are ``resolved`` already. A column ``spans`` of
+    ``docs`` takes the place of detection.
     """
     spans = written(long_spans(docs, policies, engines, engine_threshold))
     numbered = spans.where(~F.col("action").isin(KEEP, MASK))
@@ -58,7 +64,9 @@ def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: Data
     surfaces = fresh if known is None else known.select(*fresh.columns).unionByName(fresh)
     canonical = canonical_of(surfaces)
     if coreference:
-        people = resolved = written(resolve_people(numbered.where(named).select(*KEYS, "start", "surface"), people))
+        if resolved is None:
+            resolved = written(resolve_people(numbered.where(named).select(*KEYS, "start", "surface"), people))
+        people = resolved
         surfaces = surfaces.unionByName(resolved.select("dossier_id", F.lit("PERSONNE").alias("type"), "surface", "placeholder", "number"))
         chosen = resolved.select("dossier_id", "placeholder", F.lit("PERSONNE").alias("type"), F.col("canonical").alias("value")).distinct()
         canonical = canonical.unionByName(chosen)

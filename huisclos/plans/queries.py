@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,14 +18,19 @@ from ..operators.coreference import resolve_people
 from ..operators.detect import detect, gazetteer_engine, merge_adjacent, span_rows
 from ..operators.evaluate import canary_match, leaks, recall_precision, report_lines, truth_spans
 from ..operators.integrity import normalize
+from ..operators.names import FIRST_NAMES, HEADS, TAILS, chain_engine
 from ..operators.repair import check_replies, restore_replies
 from ..operators.rewrite import reidentify, reidentify_audited, restore_surrogates
 from ..operators.surrogates import apply_surrogates, assign_surrogates
 from ..operators.vault import guard_modes, number_surfaces, purge
 from ..sources.audit import events
+from ..sources.connectors import Refused
+from ..sources.docx import docx_of
 from ..sources.files import extract
-from .conversation import converse, merged_counts, request_messages
-from .materialize import written
+from ..streaming.incremental import pseudonymize_stream
+from .conversation import converse, converse_requests, merged_counts, request_messages
+from .files import pseudonymize_docx
+from .materialize import shared_folder, written
 from .pseudonymize import long_spans, pseudonymize, serious_view
 
 
@@ -357,6 +366,42 @@ def name_engine(spark, d):
     return spans.select("dossier_id", "seq", "type", "start", "end", "surface")
 
 
+def trained_names(spark, d):
+    """Names of no list, found by the trained chain, numbered as people."""
+    head, tail = (F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.floor(F.col("o_orderkey") / k), F.lit(len(names))) + 1).cast("int")) for names, k in ((HEADS, 1), (TAILS, 7)))
+    text = F.concat(F.lit("Entretien avec "), F.element_at(F.array(*map(F.lit, FIRST_NAMES)), (F.col("o_orderkey") % len(FIRST_NAMES) + 1).cast("int")), F.lit(" "), head, tail, F.lit(" au sujet du contrat."))
+    docs = _table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("dossier_id"), F.col("o_orderkey").alias("seq"), text.alias("text")).repartition(_parts(spark), "o_custkey")
+    return pseudonymize(docs, engines=[chain_engine()], coreference=True, engine_threshold=0.5).texts.select("dossier_id", "seq", "protected")
+
+
+def judged_texts(spark, d):
+    """A judge that names each text's first word, fails at every fifth order's text and makes no JSON of every seventh's."""
+
+    def client(messages):
+        text = messages[-1]["content"]
+        number = int(re.search(r"REF (\d+)", text)[1])
+        if number % 5 == 0:
+            raise Refused()
+        return "rien" if number % 7 == 0 else json.dumps([{"segment": text.split()[0], "type_candidat": "mot", "justification": "x", "score": 0.9}])
+
+    orders = _table(spark, d, "orders").repartition(_parts(spark), "o_orderkey")
+    texts = orders.select("o_orderkey", F.concat(F.lit("Note"), F.col("o_custkey") % 10, F.lit(" pour REF "), "o_orderkey").alias("protected"))
+    judged = judging.judge_pass(texts, lambda: client, ["o_orderkey"], f"{shared_folder(spark)}/{uuid.uuid4().hex}", model="m")
+    return judged.select("o_orderkey", F.concat_ws(",", F.transform("located", lambda p: F.concat_ws(":", p["start"], p["end"]))).alias("located"), "error_kind")
+
+
+def streamed_people(spark, d):
+    """Orders as a stream of texts with names; texts as the batches leave them."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    written_orders = _paired(spark, d).select("dossier_id", "seq", F.concat(F.lit("Vu par "), "surface").alias("text"))
+    written_orders.repartition(_parts(spark), "dossier_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("dossier_id string, seq long, text string").parquet(f"{folder}/in")
+    engine = gazetteer_engine({"PERSONNE": ["Jean Dupont", "M. Dupont", "Mme Dupont", "Jean Paul Dupont", "Jean Marc Dupont"]})
+    sink = lambda texts, n: texts.select("dossier_id", "seq", "protected").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    pseudonymize_stream(stream, f"{folder}/vault", sink, f"{folder}/checkpoint", engines=[engine], coreference=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("dossier_id", "seq", "protected")
+
+
 def canaries(spark, d):
     """Whole texts in runs of twelve words. One canary quotes the first run in every second text; one has the second run's words in reverse."""
     pages = _table(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("doc_id"), F.split("text", " ").alias("w"))
@@ -471,6 +516,15 @@ def coreference_ambiguous(spark, d):
     return resolve_people(rows).select("dossier_id", "surface", "number", "canonical", "ambiguous")
 
 
+def coreference_casing(spark, d):
+    """A name is bettered by capitals only beyond those of the kept form, whose title counts until another form takes its place."""
+    nth, k = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")), F.col("o_custkey") % 3
+    first = F.when(k == 0, "M. dupont").when(k == 1, "m. dupont").otherwise("jean dupont")
+    name = F.when(F.col("nth") == 1, first).when(k < 2, "Dupont").otherwise("Jean Dupont")
+    rows = _table(spark, d, "orders").withColumn("nth", nth).select(F.col("o_custkey").cast("string").alias("dossier_id"), F.col("o_orderkey").alias("seq"), F.lit(0).alias("start"), name.alias("surface"))
+    return resolve_people(rows).select("dossier_id", "surface", "number", "canonical")
+
+
 def surrogate_properties(spark, d):
     """Every person has a fake name, no two share one, and none is a real name of the dossier."""
     people = written(resolve_people(_paired(spark, d)).select("dossier_id", "placeholder", "surface"))
@@ -488,6 +542,31 @@ def surrogate_roundtrip(spark, d):
     return restore_surrogates(hidden.withColumn("before", shown), fake).select("dossier_id", "seq", "before", "text")
 
 
+def docx_rewritten(spark, d):
+    """A dossier's orders as the paragraphs of one document, the last one in a table; read again after pseudonymization."""
+    lines = _messages(spark, d).groupBy("dossier_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("lines"))
+    made = F.pandas_udf(lambda texts: texts.map(lambda t: docx_of(list(t[:-1]), [t[-1]], "Suivi")), "binary")
+    files = written(lines.select("dossier_id", F.lit(1).cast("long").alias("seq"), F.concat(F.lit("/in/"), "dossier_id", F.lit(".docx")).alias("path"), made("lines").alias("content")))
+    done, _ = pseudonymize_docx(files)
+    return extract(done.select("dossier_id", "path", "content", F.col("counts")["EMAIL"].alias("n_email"))).select("dossier_id", "text", "n_email")
+
+
+def chat_requests(spark, d):
+    """Conversations as request documents, one kind of fault for every seventh part of them."""
+    turn = F.struct("role", F.concat("text", F.lit(" Ecrire a c"), (F.col("turn") % 2).cast("string"), F.lit("@mail.fr")).alias("content"))
+    talks = _table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("m")))), lambda x: x["m"]).alias("messages"))
+    whole = F.to_json(F.struct(F.lit("m").alias("model"), "messages", (F.col("conv_id") % 2 == 0).alias("stream"), F.lit(0.5).alias("temperature"), F.lit("x").alias("other")))
+    k = F.col("conv_id") % 7
+    raw = (
+        F.when(k == 0, F.replace(whole, F.lit('"model":"m"'), F.lit('"model":3'))).when(k == 1, F.replace(whole, F.lit('"temperature":0.5'), F.lit('"temperature":"0.5"')))
+        .when(k == 2, F.substring(whole, F.lit(1), F.length(whole) - 1)).when(k == 3, F.replace(whole, F.lit('"messages":['), F.lit('"messages":[{"role":"user"},'))).otherwise(whole)
+    )
+    answers, trail = converse_requests(talks.select(F.col("conv_id").cast("string").alias("dossier_id"), raw.alias("raw")))
+    streams = trail.where("status = 'stream_refused'").select("dossier_id", F.lit(True).alias("streamed"))
+    told = answers.join(streams, "dossier_id", "left")
+    return told.select("dossier_id", "error_kind", F.col("response.model").alias("model"), F.md5(F.col("response.choices")[0]["message"]["content"]).alias("answer_md5"), F.coalesce("streamed", F.lit(False)).alias("streamed"))
+
+
 def labels_of_types(spark, d):
     return _spans(_documents(spark, d), "doc_id").select(label(F.col("type")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -503,5 +582,6 @@ QUERIES = {
         surrogates, surrogate_texts, name_engine, canaries, extracted_files, labels_of_types, siren_context, iban_context, born_dates,
         glued_dates, policy_override, policy_replaced, serious_projection, vault_lookup, vault_aliases, vault_sealed, counts_of_dossiers,
         audited_reidentification, coreference_pairs, coreference_ambiguous, surrogate_properties, surrogate_roundtrip, markdown_report,
+        docx_rewritten, chat_requests, coreference_casing, trained_names, judged_texts, streamed_people,
     )
 }

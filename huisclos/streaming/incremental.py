@@ -1,37 +1,55 @@
-"""Documents as a stream: each micro-batch goes on numbering where the vault table stands."""
+"""Documents as a stream: each micro-batch goes on numbering where the vault stands."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.vault import SURFACES
+from ..operators.detect import Engine
+from ..plans.materialize import drop, written
 from ..plans.pseudonymize import pseudonymize
-
-
-def vault_at(spark, path: str, batch: int) -> DataFrame:
-    """Surfaces numbered before this batch: a batch that is run again sees what it saw at first."""
-    stored = spark.read.schema(f"{SURFACES}, batch long").option("recursiveFileLookup", "false").parquet(path)
-    return stored.where(f"batch < {batch}").drop("batch")
-
-
-def pseudonymize_stream(docs: DataFrame, vault: str, sink: Callable[[DataFrame, int], None], checkpoint: str, policies: DataFrame | None = None) -> StreamingQuery:
-    """``docs``: a stream of (dossier_id, seq, text). One writer for the vault; late documents take later numbers.
-
-    The vault is a table with a folder for each batch, so that a repeated batch overwrites only its own rows.
+from ..sources.vault_store import VaultStore, people_store
+from .people import people_of, people_stream
+
+
+def pseudonymize_stream(
+    docs: DataFrame,
+    vault: str,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    policies: DataFrame | None = None,
+    engines: Iterable[Engine] = (),
+    coreference: bool = False,
+    engine_threshold: float = 0.0,
+    key: DataFrame | None = None,
+) -> StreamingQuery:
+    """``docs``: a stream of (dossier_id, seq, text). Late documents take later numbers.
+
+    A batch reads the vault's buckets of its own dossiers and adds its new rows as one commit. A batch
+    that is run again finds its rows there and adds none. With ``coreference`` people are numbered by
+    ``people_stream``, whose state is in ``checkpoint``, and left in the vault's ``people_store``.
     ``sink`` gets the protected texts and the batch's number.
     """
+    engines = list(engines)
 
     def one(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], f"{SURFACES}, batch long")
-        empty.write.mode("append").partitionBy("batch").parquet(vault)
-        known = vault_at(spark, vault, n)
-        done = pseudonymize(batch, policies, known)
-        new = done.surfaces.join(known.select("dossier_id", "placeholder"), ["dossier_id", "placeholder"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{vault}/batch={n}")
-        sink(done.texts, n)
-
-    return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        store = VaultStore(batch.sparkSession, vault, key)
+        version = store.version()
+        held = written(batch)
+        known = written(store.read(held))
+        resolved = written(people_of(held)) if coreference else None
+        done = pseudonymize(held, policies, known, engines, coreference, engine_threshold=engine_threshold, resolved=resolved)
+        store.append(done.fresh, version)
+        if resolved is not None:
+            people = people_store(batch.sparkSession, vault, key)
+            before = people.version()
+            changed = resolved.join(people.read(held), ["dossier_id", "surface", "number", "placeholder", "canonical", "ambiguous"], "left_anti")
+            people.append(written(changed), before)
+        sink(done.texts.drop("spans", "people"), n)
+        for table in (held, known, resolved):
+            drop(table)
+
+    stream = people_stream(docs, engines, policies, engine_threshold) if coreference else docs
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
