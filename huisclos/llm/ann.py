@@ -51,8 +51,14 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 8192] @ centres.T - half, axis=1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which change no cosine, so that squares of components neither vanish nor overflow."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -exponent[:, None])
+
+
 def unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = scaled(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -170,10 +176,11 @@ def top_neighbours(embeddings: DataFrame, query: str, k: int = 5, sample: int =
             return pd.DataFrame({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "entry": np.zeros(0, np.int64)})
         have = have.sort_values("cell", kind="stable", ignore_index=True)
         cells = have["cell"].to_numpy()
-        x = np.stack(have["v"].to_numpy())
+        x = scaled(np.stack(have["v"].to_numpy()))
+        asked_of = scaled(np.stack(ask["v"].to_numpy()))
         lengths = np.sqrt((x * x).sum(axis=1))
         out = []
-        for query_id, v, wanted in zip(ask["query"], ask["v"], ask["cells"]):
+        for query_id, v, wanted in zip(ask["query"], asked_of, ask["cells"]):
             w = np.sort(np.asarray(wanted))
             low, high = np.searchsorted(cells, w), np.searchsorted(cells, w, side="right")
             at = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])

@@ -30,10 +30,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ann import scaled, unit
 from .common import Written
 from .components import connected_components
 
@@ -51,17 +51,6 @@ def rotation(dims: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scaled(x: np.ndarray) -> np.ndarray:
-    """Rows times powers of two, so that squares of components neither vanish nor overflow."""
-    _, exponent = np.frexp(np.abs(x).max(axis=1))
-    return np.ldexp(x, -exponent[:, None])
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    x = scaled(x)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
 def encode(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs and correction factors of unit vectors."""
     turned = u @ rotation(u.shape[1], 0)
