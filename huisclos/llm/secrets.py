@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import Growing
 from .arrowtext import runs, text_slices
 from .common import Written
 
@@ -174,13 +176,28 @@ def pieces(run: bytes) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def free_parts(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What the spans ``taken`` leave of a run, where long enough."""
-    out = []
-    for s, e in [*sorted(t for t in taken if t[0] < end and start < t[1]), (end, end)]:
-        if s - start >= STRATA[0]:
-            out.append((start, s))
-        start = max(start, e)
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what ``spans`` cover, in order and apart from each other."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def free_parts(start: int, end: int, taken: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """What the ``merged`` spans leave of a run, where long enough. Only those that touch the run are looked at."""
+    starts, ends = taken
+    out, at = [], bisect_right(ends, start)
+    while start < end:
+        free = starts[at] if at < len(starts) and starts[at] < end else end
+        if free - start >= STRATA[0]:
+            out.append((start, free))
+        start = ends[at] if free < end else end
+        at += 1
     return out
 
 
@@ -222,10 +239,10 @@ def scan_batch(data: bytes, offsets: np.ndarray) -> dict[int, list[tuple[int, in
     for row, a, b in zip(np.searchsorted(offsets, starts, side="right") - 1, starts, ends):
         add(int(row), int(a - offsets[row]), 2, int(b - offsets[row]))
     starts, ends = runs(tokens[raw], offsets, STRATA[0])
+    base = {row: merged([(s, e) for s, _, e in own]) for row, own in spans.items()}
     for row, a, b in zip((np.searchsorted(offsets, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist()):
         row_at = int(offsets[row])
-        base = [(s, e) for s, k, e in spans.get(row, ()) if k < 3]
-        for start, end in free_parts(a - row_at, b - row_at, base):
+        for start, end in free_parts(a - row_at, b - row_at, base.get(row, ([], []))):
             for i, j in pieces(data[row_at + start : row_at + end]):
                 add(row, start + i, 3, start + j)
     return spans
@@ -317,13 +334,20 @@ def scan_secrets(docs: DataFrame, q: float = 0.05, alpha: float = 0.001) -> Data
 
     names = F.array(*map(F.lit, KINDS))
 
-    def outermost(t):
-        def around(o):
-            return (o["kind"] == 3) & (o["start"] <= t["start"]) & (o["end"] >= t["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+    def outermost(accepted):
+        """Base spans, and of the others those inside no longer one: by start, the longest first, what reaches beyond all before it."""
+        held = "array<struct<start:int,kind:int,end:int,bin:int>>"
+        others = F.array_sort(F.transform(F.filter(accepted, lambda t: t["kind"] == 3), lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("back"), t.alias("span"))))
 
-        return (t["kind"] < 3) | ~F.exists("accepted", around)
+        def step(acc, t):
+            beyond = t["span"]["end"] > acc["reach"]
+            grown = F.struct(t["span"]["end"].alias("reach"), *Growing.plus(acc, F.array(t["span"]).cast(held)))
+            return F.when(beyond, grown).otherwise(F.struct(acc["reach"].alias("reach"), *Growing.same(acc)))
+
+        kept_ones = F.aggregate(others, F.struct(F.lit(-1).alias("reach"), *Growing.empty(held)), step, Growing.whole)
+        return F.array_sort(F.concat(F.filter(accepted, lambda t: t["kind"] < 3), kept_ones))
 
     plain = rows.where(~tested).select(*columns, F.transform("found", lambda t: F.struct(t["start"], t["kind"], t["end"], F.lit(0).alias("bin"))).alias("found"))
-    spans = F.filter("accepted", outermost)
+    spans = F.when(F.exists("accepted", lambda t: t["kind"] == 3), outermost(F.col("accepted"))).otherwise(F.col("accepted"))
     text = F.transform(spans, lambda t: F.concat_ws(":", F.element_at(names, t["kind"] + 1), t["start"].cast("string"), t["end"].cast("string")))
     return judged.read().unionAll(plain).withColumn("accepted", F.filter("found", kept)).select(*columns, F.concat_ws(",", text).alias("spans"), F.size(F.filter(spans, lambda t: t["kind"] == 3)).cast("long").alias("n_random"))

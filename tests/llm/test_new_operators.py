@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from huisclos.llm.binary_codes import encode, error_bound, estimates, near_vectors, rotation, unit
+from huisclos.llm.ann import top_neighbours, unit
+from huisclos.llm.binary_codes import encode, error_bound, estimates, near_vectors, rotation
 from huisclos.llm.fill_middle import Automaton, cut_texts, fill_in_middle, restored
 from huisclos.llm.yinyang import digits, whole_number, yinyang_clusters
 
+WORDS = ["".join(p) for p in zip(*([iter("maisonjardinvoiturelumierepassagecheminmontagnefenetrehistoirecouleurriviere")] * 5))]
 VECTORS = "vec_id long, embedding array<double>, label int, cluster string, v string"
 
 
@@ -175,3 +177,75 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(error.mean()) < 1e-3
     bound = error_bound(factor, 64, 1.0)[:, None]
     assert (np.abs(error) < 4.5 * bound).all() and 0.8 < np.sqrt(np.mean((error / bound) ** 2)) < 1.1
+
+
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e-200, 1e-200]), (2, [1e200, 0.0]), (3, [-1e300, 1e300]), (4, [5e-324, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): round(r["score"], 6) for r in top_neighbours(df, "true").collect()}
+    half = 0.707107
+    assert len(got) == 20 and got[0, 2] == 1.0 and got[0, 1] == half and got[4, 1] == 1.0 and got[3, 0] == -half and got[3, 1] == 0.0
+
+
+def test_a_long_text_of_tokens_is_scanned_once(spark):
+    """Some megabytes of hashes and of random tokens in one text each."""
+    import time
+
+    from huisclos.llm.secrets import free_parts, merged, scan_batch, scan_secrets
+
+    rng = random.Random(3)
+    hashes = " ".join("%032x" % rng.getrandbits(128) for _ in range(100_000)).encode()
+    start = time.time()
+    spans = scan_batch(hashes, np.array([0, len(hashes)]))
+    assert len(spans[0]) == 100_000 and time.time() - start < 20
+    for _ in range(300):
+        taken = [(a, a + rng.randint(1, 40)) for a in (rng.randrange(400) for _ in range(rng.randint(0, 12)))]
+        a = rng.randrange(300)
+        b = a + rng.randint(20, 200)
+        free = [all(not s <= i < e for s, e in taken) for i in range(500)]
+        want, at = [], a
+        while at < b:
+            end = at
+            while end < b and free[end]:
+                end += 1
+            if end - at >= 20:
+                want.append((at, end))
+            at = max(end, at + 1)
+        assert free_parts(a, b, merged(taken)) == want
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = " ".join("".join(rng.choice(letters) for _ in range(40)) for _ in range(2000))
+    words = " ".join("_".join(rng.choice(WORDS) for _ in range(5)) for _ in range(20_000))
+    prose = " ".join(rng.choice(WORDS) for _ in range(40_000))
+    got = scan_secrets(spark.createDataFrame([(1, tokens), (2, words), (3, prose)], "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r["n_random"] for r in got}
+    assert found[1] > 1900 and found[2] < 0.05 * found[1] and all(len(r["spans"].split(",")) == r["n_random"] for r in got if r["n_random"])
+
+
+def test_contamination_by_all_pairs(spark):
+    """Every document against every item by plain tiling of whole texts: passages whole, cut short, in another order, and mixed."""
+    from huisclos.llm.decontaminate import contaminated_pairs, greedy_tiles
+
+    rng = random.Random(31)
+    words = [f"mot{i}" for i in range(120)]
+    items = [[rng.choice(words) for _ in range(rng.randint(5, 50))] for _ in range(14)] + [["seul"] * 12]
+    docs = []
+    for _ in range(90):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            item = rng.choice(items)
+            cuts = sorted({0, len(item), *(rng.randrange(len(item)) for _ in range(rng.randint(0, 3)))})
+            parts = [item[a:b] for a, b in zip(cuts, cuts[1:])]
+            rng.shuffle(parts)
+            text += [w for p in parts[: rng.randint(1, len(parts))] for w in p + [rng.choice(words)] * rng.randint(0, 2)]
+        docs.append(text)
+    number = {w: n + 1 for n, w in enumerate([*words, "seul"])}
+    want = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            covered = sum(t[2] for t in greedy_tiles([number[w] for w in item], [number[w] for w in text], 5))
+            if covered >= 0.8 * len(item):
+                want[d, i] = covered
+    left = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    right = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_covered"] for r in contaminated_pairs(left, right).collect()}
+    assert set(got) == set(want) and 30 < len(want) < 400 and sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
