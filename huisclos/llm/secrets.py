@@ -10,10 +10,11 @@ character (small, capital, digit, separator) follows another, and each letter an
 A piece's evidence is the e-value: its probability as independent uniform symbols of an encoding (a mixture over the
 alphabets that hold all its characters) over its probability as ordinary text. Under the null its mean is 1 at
 most, so evidence for a secret only ever comes from the text itself, and a piece on which nothing can be said is not
-a secret. Then the battery must agree: the encoding is inferred (the smallest alphabet that holds all
+a secret. The battery is the other factor: the encoding is inferred (the smallest alphabet that holds all
 characters), characters become symbol numbers, and "symbols are independent and uniform" is tested three ways:
 chi-squared over equal alphabet cells, Wald-Wolfowitz runs about the median, and lag-one serial
-correlation. Where their Bonferroni combination rejects at ``alpha``, the evidence is void.
+correlation. Each p-value falls into one of four classes; how probable the three classes are for uniform symbols of this encoding and
+length (from drawn tokens) over how often the corpus's pieces of this encoding and length show them multiplies the e-value.
 
 The e-value Benjamini-Hochberg procedure at level ``q`` within each stratum of length decides over the whole corpus which
 pieces are secrets (kind ``random``): false ones are at most a share ``q`` of them in the mean, however pieces
@@ -35,6 +36,7 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -137,11 +139,11 @@ def infer_alphabet(token: str) -> str | None:
     return next((letters for _, letters in ALPHABETS if set(token) <= set(letters)), None)
 
 
-def randomness(token: str) -> float:
-    """The combined p-value under independent uniform symbols; 0 where no encoding fits."""
+def battery(token: str) -> tuple[float, float, float]:
+    """p-values of the three tests of "independent uniform symbols" of the inferred encoding: chi-squared, runs, serial correlation; zeros where no encoding fits."""
     letters = infer_alphabet(token)
     if letters is None:
-        return 0.0
+        return 0.0, 0.0, 0.0
     size, n = len(letters), len(token)
     x = np.array([letters.index(c) for c in token], dtype=float)
     cells = min(8, max(2, n // 5))
@@ -158,7 +160,63 @@ def randomness(token: str) -> float:
         p_runs = 0.0
     d = x - x.mean()
     p_serial = _normal_tail(float((d[1:] * d[:-1]).sum() / (d * d).sum()) * math.sqrt(n)) if d.any() else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    return p_chi, p_runs, p_serial
+
+
+def randomness(token: str) -> float:
+    """The battery's combined p-value (Bonferroni)."""
+    return min(1.0, 3 * min(battery(token)))
+
+
+#: Edges between the classes of a p-value; three classes make a cell.
+EDGES = (0.001, 0.05, 0.3)
+CLASSES = len(EDGES) + 1
+CELLS = CLASSES**3
+
+
+def cell_of(token: str) -> int:
+    """Encoding and the classes of the three p-values, as one number; -1 where no encoding fits."""
+    letters = infer_alphabet(token)
+    if letters is None:
+        return -1
+    encoding = next(i for i, (_, held) in enumerate(ALPHABETS) if held == letters)
+    cell = 0
+    for p in battery(token):
+        cell = cell * CLASSES + int(np.searchsorted(EDGES, p, side="right"))
+    return encoding * CELLS + cell
+
+
+@lru_cache(maxsize=1)
+def uniform_cells(draws: int = 400, seed: int = 5) -> np.ndarray:
+    """P(cell | uniform symbols) by stratum and encoding, from drawn tokens; the tests count as independent of each other there."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros((len(STRATA), len(ALPHABETS), CELLS))
+    for s, length in enumerate(STRATA):
+        for e, (_, letters) in enumerate(ALPHABETS):
+            symbols = np.array(list(letters))
+            classes = np.full((3, CLASSES), 0.5)
+            for _ in range(draws):
+                cell = cell_of("".join(symbols[rng.integers(0, len(symbols), length)])) % CELLS
+                for test in range(3):
+                    classes[test, cell // CLASSES ** (2 - test) % CLASSES] += 1
+            a, b, c = classes / classes.sum(axis=1, keepdims=True)
+            out[s, e] = (a[:, None, None] * b[None, :, None] * c[None, None, :]).ravel()
+    return out
+
+
+def battery_evidence(counts: dict[tuple[int, int], int], prior: float = 64.0) -> np.ndarray:
+    """log10 of P(cell | uniform symbols) over P(cell | ordinary piece), by stratum and encoding.
+
+    ``counts``: the corpus's pieces by (stratum, cell); ``prior`` pieces are spread like uniform ones, so that where little is known
+    the battery says nothing. Secrets among the pieces make the ordinary ones look more random, never less.
+    """
+    uniform = uniform_cells()
+    held = np.zeros_like(uniform)
+    for (s, cell), n in counts.items():
+        if cell >= 0:
+            held[s, cell // CELLS, cell % CELLS] += n
+    ordinary = (held + prior * uniform) / (held.sum(axis=2, keepdims=True) + prior)
+    return np.log10(uniform / ordinary)
 
 
 def stratum(length: int) -> int:
@@ -295,20 +353,32 @@ def rejection_bins(counts: dict[tuple[int, int], int], q: float) -> dict[int, in
     return out
 
 
-def _judged(model: np.ndarray, alpha: float):
-    def run(tokens: pd.Series) -> pd.Series:
-        def one(token: str) -> int:
-            e = evidence(token, model)
-            if e <= BIN_WIDTH or randomness(token) < alpha:
+def _read(model: np.ndarray):
+    """For each piece the evidence of its letters and its cell; base spans have neither."""
+
+    def run(tokens: pd.Series) -> pd.DataFrame:
+        letters = tokens.map(lambda own: [0.0 if t is None else evidence(t, model) for t in own])
+        cells = tokens.map(lambda own: [-1 if t is None else cell_of(t) for t in own])
+        return pd.DataFrame({"letters": letters, "cells": cells})
+
+    return run
+
+
+def _binned(tests: np.ndarray):
+    """The bin of each piece's whole evidence: letters and battery; 0 where no encoding fits."""
+
+    def run(letters: pd.Series, cells: pd.Series, lengths: pd.Series) -> pd.Series:
+        def one(e: float, cell: int, length: int) -> int:
+            if cell < 0 or length < STRATA[0]:
                 return 0
-            return min(BINS - 1, int(e / BIN_WIDTH))
+            return min(BINS - 1, max(0, int((e + tests[stratum(length), cell // CELLS, cell % CELLS]) / BIN_WIDTH)))
 
-        return tokens.map(lambda own: [0 if t is None else one(t) for t in own])
+        return pd.Series([[one(*p) for p in zip(*row)] for row in zip(letters, cells, lengths)])
 
     return run
 
 
-def scan_secrets(docs: DataFrame, q: float = 0.05, alpha: float = 0.001) -> DataFrame:
+def scan_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), n_random."""
     scanned = Written(docs.select("doc_id", "text").mapInArrow(_scan, SCANNED))
     sums = scanned.read().where("pairs IS NOT NULL").select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # SYMBOLS^2 rows
@@ -317,15 +387,21 @@ def scan_secrets(docs: DataFrame, q: float = 0.05, alpha: float = 0.001) -> Data
         pairs[r["at"]] = r["n"]
     # only rows with a piece to test go through Python
     tested = F.exists("found", lambda t: t["kind"] == 3)
-    bins = F.pandas_udf(_judged(ordinary_model(pairs), alpha), "array<int>")(F.transform("found", lambda t: t["token"]))
     rows = scanned.read().drop("pairs")
-    binned = F.zip_with("found", "bins", lambda t, b: F.struct(t["start"], t["kind"], t["end"], b.alias("bin")))
     strata = F.array(*map(F.lit, STRATA))
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
-    judged = Written(rows.where(tested).withColumn("bins", bins).select(*columns, binned.alias("found")))
+    read = F.pandas_udf(_read(ordinary_model(pairs)), "letters array<double>, cells array<int>")
+    spans_only = F.transform("found", lambda t: F.struct(t["start"], t["kind"], t["end"]))
+    pieces_read = Written(rows.where(tested).withColumn("read", read(F.transform("found", lambda t: t["token"]))).select(*columns, spans_only.alias("found"), "read.letters", "read.cells"))
+    stratum_at = lambda length: F.size(F.filter(strata, lambda least: least <= length)) - 1
+    each = pieces_read.read().select(F.explode(F.arrays_zip("found", "cells")).alias("t")).where("t.found.kind = 3")
+    in_cells = each.groupBy(stratum_at(F.col("t.found.end") - F.col("t.found.start")).alias("stratum"), F.col("t.cells").alias("cell")).agg(F.count("*").alias("n")).collect()  # strata x encodings x cells
+    tests = battery_evidence({(r["stratum"], r["cell"]): r["n"] for r in in_cells})
+    bins = F.pandas_udf(_binned(tests), "array<int>")("letters", "cells", F.transform("found", lambda t: t["end"] - t["start"]))
+    binned = F.zip_with("found", "bins", lambda t, b: F.struct(t["start"], t["kind"], t["end"], b.alias("bin")))
+    judged = Written(pieces_read.read().withColumn("bins", bins).select(*columns, binned.alias("found")))
     tokens = judged.read().select(F.explode("found").alias("t")).where("t.kind = 3")
-    stratum_of = F.size(F.filter(strata, lambda least: least <= F.col("t.end") - F.col("t.start"))) - 1
-    counts = tokens.groupBy(stratum_of.alias("stratum"), "t.bin").agg(F.count("*").alias("n")).collect()  # at most strata x bins rows
+    counts = tokens.groupBy(stratum_at(F.col("t.end") - F.col("t.start")).alias("stratum"), "t.bin").agg(F.count("*").alias("n")).collect()  # at most strata x bins rows
     cuts = rejection_bins({(r["stratum"], r["bin"]): r["n"] for r in counts}, q)
     first_rejected = F.array(*(F.lit(cuts.get(s, BINS)) for s in range(len(STRATA))))
 
