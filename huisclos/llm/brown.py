@@ -329,8 +329,11 @@ def join_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, now: np.ndar
 
 
 def _grouped(contexts: DataFrame) -> DataFrame:
-    """One row for each word with its contexts, at most twice the number of classes."""
-    summed = contexts.groupBy("word", "code").agg(F.sum("n").alias("n"))
+    """One row for each word with its contexts, at most twice the number of classes.
+
+    Tasks have summed their own rows already, so they are dealt by word once, and both groupings keep that partitioning.
+    """
+    summed = contexts.repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
     return summed.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("contexts"))
 
 
