@@ -58,7 +58,8 @@ def value_for(tokens: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def known_placeholders(canonical: DataFrame) -> DataFrame:
-    return canonical.groupBy("dossier_id").agg(F.array_sort(F.collect_set("placeholder")).alias("known"))
+    """(dossier_id, placeholder): a row for each, so a dossier may have any number."""
+    return canonical.select("dossier_id", "placeholder").distinct()
 
 
 def surfaces_of(surfaces: DataFrame, kind: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.repair import check_replies, restore_replies
 from ..operators.rewrite import NUMBERED, reidentify
+from ..operators.vault import known_placeholders
 from ..sources.audit import events
 from ..sources.connectors import echo_replies, with_system_prompt
 from ..sources.requests import read_requests
@@ -55,7 +56,7 @@ def converse(messages: DataFrame, policies: DataFrame | None = None, back_end: C
     last = done.texts.groupBy("dossier_id").agg(F.max_by("protected", "seq").alias("protected"), F.max("seq").alias("seq"))
     requests = request_messages(done.texts)
     answers = written(back_end(last.join(requests.select("dossier_id", "sent", "size"), "dossier_id")).withColumn("text", F.col("reply")))
-    known, keys = done.canonical.select("dossier_id", "placeholder"), ["dossier_id", "seq"]
+    known, keys = known_placeholders(done.canonical), ["dossier_id", "seq"]
     repaired = written(restore_replies(answers, known, keys))
     report = check_replies(repaired, repaired.select(*keys, F.explode("sent").alias("placeholder")), known, keys)
     sound = F.col("report.ok") & F.lit(reidentified)

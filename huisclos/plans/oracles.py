@@ -91,6 +91,7 @@ ORACLES = {
         UNION ALL SELECT 'DATE_PROCEDURALE', 'conserver' FROM orders) GROUP BY type, action""",
     "numbering": f"SELECT dossier_id, surface, {token('EMAIL', 'number')} AS placeholder, number FROM ({NUMBERED})",
     "numbering_incremental": NUMBERED,
+    "vault_batches": NUMBERED,
     "protected_texts": f"""SELECT CAST(o_custkey AS VARCHAR) AS dossier_id, o_orderkey AS seq,
         'Suivi ' || {token("REFERENCE", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)")} || ' du ' || {DAY} || ', ecrire a '
             || CASE WHEN o_custkey % 3 = 0 THEN '[EMAIL]' ELSE {token("EMAIL", "number")} END AS protected

@@ -27,6 +27,7 @@ from ..sources.audit import events
 from ..sources.connectors import Refused
 from ..sources.docx import docx_of
 from ..sources.files import extract
+from ..sources.vault_store import VaultStore
 from ..streaming.incremental import pseudonymize_stream
 from .conversation import converse, converse_requests, merged_counts, request_messages
 from .files import pseudonymize_docx
@@ -462,6 +463,18 @@ def _email_vault(spark, d) -> DataFrame:
     return written(number_surfaces(written(spans)))
 
 
+def vault_batches(spark, d):
+    """Two batches through a sealed vault at rest, the second one reading what the first has left; read back after compaction."""
+    spans = written(long_spans(_messages(spark, d)).where("type = 'EMAIL'").select("dossier_id", "seq", "start", "type", "surface"))
+    half = spans.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    store = VaultStore(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", vault.key_table(spark, "0123456789abcdef"))
+    for batch in (spans.where(F.col("seq") <= half), spans.where(F.col("seq") > half)):
+        version = store.version()
+        store.append(written(vault.new_surfaces(batch, written(store.read(batch)))), version)
+    store.compact()
+    return store.read().select("dossier_id", "surface", "number")
+
+
 def vault_lookup(spark, d):
     return vault.surfaces_of(_email_vault(spark, d), "EMAIL")
 
@@ -582,6 +595,6 @@ QUERIES = {
         surrogates, surrogate_texts, name_engine, canaries, extracted_files, labels_of_types, siren_context, iban_context, born_dates,
         glued_dates, policy_override, policy_replaced, serious_projection, vault_lookup, vault_aliases, vault_sealed, counts_of_dossiers,
         audited_reidentification, coreference_pairs, coreference_ambiguous, surrogate_properties, surrogate_roundtrip, markdown_report,
-        docx_rewritten, chat_requests, coreference_casing, trained_names, judged_texts, streamed_people,
+        docx_rewritten, chat_requests, coreference_casing, vault_batches, trained_names, judged_texts, streamed_people,
     )
 }

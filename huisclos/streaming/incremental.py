@@ -30,7 +30,7 @@ def pseudonymize_stream(
     A batch reads the vault's buckets of its own dossiers and adds its new rows as one commit. A batch
     that is run again finds its rows there and adds none. With ``coreference`` people are numbered by
     ``people_stream``, whose state is in ``checkpoint``, and left in the vault's ``people_store``.
-    ``sink`` gets the protected texts and the batch's number.
+    ``sink`` gets the protected texts and the batch's number, and is done with the texts when it returns: their tables are deleted then.
     """
     engines = list(engines)
 
