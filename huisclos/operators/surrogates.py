@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import let
 from ..plans.materialize import written
 from .coreference import gender_of
 from .rewrite import placeholders_in, replace_spans
@@ -41,20 +42,29 @@ def fake_name(dossier: Column, number: Column, gender: Column, step: Column, key
         depth = F.when(here, k).otherwise(depth)
         rest = F.when(here, number - 1 - begin).otherwise(rest)
         begin += size
-    rest, depth = rest.cast("long"), depth.cast("int")
-    width = F.element_at(F.array(*(F.lit(LAST**k) for k in range(1, DEPTH + 1))), depth)
-    # each half moves by a hash of the other: a permutation of FIRST x LAST^depth
-    first, last = F.pmod(rest, F.lit(FIRST)), F.floor(rest / FIRST).cast("long")
+    widths = F.array(*(F.lit(LAST**k) for k in range(1, DEPTH + 1)))
+
+    def halves(p: Column) -> Column:
+        return F.struct(p["depth"].alias("depth"), F.element_at(widths, p["depth"]).alias("width"), F.pmod(p["rest"], F.lit(FIRST)).alias("first"), F.floor(p["rest"] / FIRST).alias("last"))
+
+    def moved(s: Column, n: int) -> Column:
+        """Each half moves by a hash of the other: a permutation of FIRST x LAST^depth."""
+        by = lambda other, width: F.pmod(F.xxhash64(F.lit(key), dossier, F.lit(n), other), width)
+        first = F.pmod(s["first"] + by(s["last"], F.lit(FIRST)), F.lit(FIRST))
+        return let(first, lambda f: F.struct(s["depth"].alias("depth"), s["width"].alias("width"), f.alias("first"), F.pmod(s["last"] + by(f, s["width"]), s["width"]).alias("last")))
+
+    def written_out(s: Column) -> Column:
+        female = F.when(gender.isNull(), F.pmod(F.xxhash64(F.lit(key), dossier, number), F.lit(2)) == 0).otherwise(gender == "f")
+        ours = F.transform(F.sequence(F.lit(0), s["depth"] - 1), lambda i: _picked(LAST_NAMES[:LAST], F.pmod(F.floor(s["last"] / F.pow(F.lit(float(LAST)), i)), F.lit(LAST))))
+        # one name for each of the first steps, then as many of one name as steps
+        few = F.when(step <= STEPS, F.array(_picked(LAST_NAMES[LAST:], F.greatest(step, F.lit(1)) - 1))).otherwise(F.array_repeat(F.lit(LAST_NAMES[LAST]), step))
+        more = F.when(step == 0, F.array().cast("array<string>")).otherwise(few)
+        return F.concat(F.when(female, _picked(FEMALE_NAMES, s["first"])).otherwise(_picked(MALE_NAMES, s["first"])), F.lit(" "), F.array_join(F.concat(ours, more), "-"))
+
+    state = let(F.struct(depth.cast("int").alias("depth"), rest.cast("long").alias("rest")), halves)
     for n in range(ROUNDS):
-        first = F.pmod(first + F.pmod(F.xxhash64(F.lit(key), dossier, F.lit(n), last), F.lit(FIRST)), F.lit(FIRST))
-        last = F.pmod(last + F.pmod(F.xxhash64(F.lit(key), dossier, F.lit(n), first), width), width)
-    female = F.when(gender.isNull(), F.pmod(F.xxhash64(F.lit(key), dossier, number), F.lit(2)) == 0).otherwise(gender == "f")
-    digits = lambda x, base, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.floor(x / F.pow(F.lit(float(base)), i)), F.lit(base)))
-    ours = F.transform(digits(last, LAST, depth), lambda d: _picked(LAST_NAMES[:LAST], d))
-    # a step is written with digits from 1 on, so that every step has its own
-    steps = F.when(step == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), step), lambda _: F.lit(LAST_NAMES[LAST])))
-    few = F.when(step <= STEPS, F.when(step == 0, F.array().cast("array<string>")).otherwise(F.array(_picked(LAST_NAMES[LAST:], F.greatest(step, F.lit(1)) - 1)))).otherwise(steps)
-    return F.concat(F.when(female, _picked(FEMALE_NAMES, first)).otherwise(_picked(MALE_NAMES, first)), F.lit(" "), F.array_join(F.concat(ours, few), "-"))
+        state = let(state, lambda s, n=n: moved(s, n))
+    return let(state, written_out)
 
 
 def assign_surrogates(people: DataFrame, known: DataFrame | None = None, key: str = "") -> DataFrame:
