@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.coreference import Dossier, Form, Person, forms
+from ..operators.coreference import Dossier, Form, Person, form_of
 from ..operators.detect import Engine, detect
 from ..operators.policy import KEEP, MASK, action_for, as_maps
 
@@ -27,15 +27,16 @@ MENTION = "surface string, number long, placeholder string, canonical string, am
 
 
 class Kept:
-    """A dict over a map of the state store: an entry is read when it is asked for, and written back once if it has changed."""
+    """A dict over a map of the state store: an entry is read when it is asked for, and written back once if it has changed. The map of a new dossier is ``empty`` and not asked."""
 
-    def __init__(self, state, key_of: Callable[[Any], tuple], pack: Callable[[Any], tuple], unpack: Callable[[Any, tuple], Any]):
+    def __init__(self, state, key_of: Callable[[Any], tuple], pack: Callable[[Any], tuple], unpack: Callable[[Any, tuple], Any], empty: bool = False):
+        self.empty = empty
         self.state, self.key_of, self.pack, self.unpack = state, key_of, pack, unpack
         self.held: dict = {}
         self.packed: dict = {}
 
     def get(self, key, default=None):
-        if key not in self.held and self.state.containsKey(self.key_of(key)):
+        if not self.empty and key not in self.held and self.state.containsKey(self.key_of(key)):
             self.packed[key] = tuple(self.state.getValue(self.key_of(key)))
             self.held[key] = self.unpack(key, self.packed[key])
         return self.held.get(key, default)
@@ -89,13 +90,14 @@ class People(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable", ignore_index=True)  # one dossier's documents of one batch
         one = lambda x: (x,)
         joined, listed = (lambda k: (" ".join(k),)), (lambda numbers: (",".join(map(str, sorted(numbers))),))
+        new = not self.count.exists()
         tables = [
-            Kept(self.people, one, _person_row, _person_of),
-            Kept(self.surfaces, one, one, lambda _, row: row[0]),
-            Kept(self.keys, joined, listed, lambda _, row: _numbers(row[0])),
-            Kept(self.namesakes, one, listed, lambda _, row: _numbers(row[0])),
+            Kept(self.people, one, _person_row, _person_of, new),
+            Kept(self.surfaces, one, one, lambda _, row: row[0], new),
+            Kept(self.keys, joined, listed, lambda _, row: _numbers(row[0]), new),
+            Kept(self.namesakes, one, listed, lambda _, row: _numbers(row[0]), new),
         ]
-        dossier = Dossier(*tables, count=self.count.get()[0] if self.count.exists() else 0)
+        dossier = Dossier(*tables, count=0 if new else self.count.get()[0])
         met = []
         for mentions in batch["mentions"]:
             ordered = sorted(mentions, key=lambda m: m["start"])
@@ -124,7 +126,7 @@ def people_stream(docs: DataFrame, engines: Iterable[Engine], policies: DataFram
         found = found.join(as_maps(policies), "dossier_id", "left")
     numbered = ~action_for(F.lit("PERSONNE"), F.col("policy")).isin(KEEP, MASK)
     names = F.filter("spans", lambda s: (s["type"] == "PERSONNE") & numbered)
-    mentions = F.transform(names, lambda s: F.struct(s["start"].alias("start"), s["value"].alias("surface"), F.struct(*forms(s["value"])).alias("form")))
+    mentions = F.transform(names, lambda s: F.struct(s["start"].alias("start"), s["value"].alias("surface"), form_of(s["value"]).alias("form")))
     # the body passes through as one text
     rows = found.select("dossier_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct("text", "spans")).alias("body"), mentions.alias("mentions"))
     resolved = rows.groupBy("dossier_id").transformWithStateInPandas(People(), f"dossier_id string, seq long, body string, people array<struct<{MENTION.replace(' ', ':').replace(',:', ',')}>>", "Append", "None")

@@ -117,3 +117,20 @@ def test_vault_tables(spark):
     modes = spark.createDataFrame([("A", "serieux"), ("B", "demo")], "dossier_id string, mode string")
     asked = spark.createDataFrame([("B", "demo"), ("B", "serieux"), ("A", "serieux"), ("Z", "serieux")], "dossier_id string, mode string")
     assert [r["refused"] for r in guard_modes(modes, asked).orderBy("dossier_id", "mode").collect()] == [None, "demo_refused", "conflict", None]
+
+
+def test_dossiers_share_tasks_and_cross_batches(spark):
+    """No Python call for each dossier, and a dossier's people go on where a batch ends."""
+    rows = [(f"d{k}", n, 0, ("Jean Dupont", "M. Dupont", "Marie Dupont", "Paul Martin", "J. Martin")[(n + k) % 5]) for k in range(40) for n in range(7)]
+    mentions = spark.createDataFrame(rows, "dossier_id string, seq long, start int, surface string")
+    whole = resolve_people(mentions)
+    assert "FlatMapGroups" not in whole._jdf.queryExecution().toString()
+    want = sorted(map(tuple, whole.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(tuple, resolve_people(mentions).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(40):  # each dossier alone gives the same
+        one = mentions.where(mentions.dossier_id == f"d{k}") if k % 20 == 0 else None
+        assert one is None or sorted(map(tuple, resolve_people(one).collect())) == [r for r in want if r[0] == f"d{k}"]
