@@ -72,6 +72,7 @@ def assign_surrogates(people: DataFrame, known: DataFrame | None = None, key: st
 
     Without ``key`` names can be derived by whoever knows this code; that tells a number, not a person.
     """
+    people = written(people)  # read twice
     number = F.regexp_extract("placeholder", r"(\d+)\]$", 1).try_cast("long")
     real = people.select("dossier_id", F.col("surface").alias("surrogate"))
     whole = people.groupBy("dossier_id", "placeholder").agg(F.min(gender_of(F.col("surface"))).alias("gender")).withColumn("number", number).where("number > 0")
@@ -80,7 +81,7 @@ def assign_surrogates(people: DataFrame, known: DataFrame | None = None, key: st
         real = real.unionByName(known.select("dossier_id", "surrogate"))
     taken, todo, done, step = written(real.distinct()), written(whole), None, 0
     while True:
-        named = todo.withColumn("surrogate", fake_name(F.col("dossier_id"), F.col("number"), F.col("gender"), F.lit(step), key))
+        named = written(todo.withColumn("surrogate", fake_name(F.col("dossier_id"), F.col("number"), F.col("gender"), F.lit(step), key)))
         free = named.join(taken, ["dossier_id", "surrogate"], "left_anti").select("dossier_id", "placeholder", "surrogate")
         done = free if done is None else done.unionByName(free)
         # nearly always nobody

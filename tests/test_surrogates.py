@@ -59,3 +59,11 @@ def test_names_inside_names_come_back(spark):
     many = spark.range(200_000).select(F.lit("d").alias("dossier_id"), F.format_string("[PERSONNE_%03d]", "id").alias("placeholder"), F.format_string("Nom%06d Prenom", "id").alias("surrogate"))
     texts = spark.createDataFrame([("d", "Vu Nom000007 Prenom et Nom199999 Prenom.")], "dossier_id string, text string")
     assert restore_surrogates(texts, many).first()["text"] == "Vu [PERSONNE_007] et [PERSONNE_199999]."
+
+
+def test_names_are_made_once(spark):
+    """Whoever reads the names reads a table and makes none."""
+    people = spark.createDataFrame([("d", f"[PERSONNE_{n:03d}]", f"Nom{n}") for n in range(1, 5)], PEOPLE)
+    got = assign_surrogates(people)
+    assert "xxhash64" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert got.count() == 4
