@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS
 from ..functions.regex import matches
-from ..plans.materialize import written
+from ..plans.materialize import spread, written
 from .integrity import BARE, BRACKETED, CANONICAL, LOOSE, canonical, folded, normalize, number_in, plain_token, within_one
 from .rewrite import replace_spans
 
@@ -36,16 +36,16 @@ def reply_tokens(replies: DataFrame, keys: list[str], text: str = "text") -> Dat
 
 def parsed(known: DataFrame) -> DataFrame:
     """(dossier_id, placeholder, kind, number) of the numbered ones."""
-    whole = known.select("dossier_id", "placeholder").where(F.col("placeholder").rlike(CANONICAL)).distinct()
+    whole = spread(known).select("dossier_id", "placeholder").where(F.col("placeholder").rlike(CANONICAL)).distinct()
     return whole.withColumn("kind", F.regexp_extract("placeholder", CANONICAL, 1)).withColumn("number", number_in(F.col("placeholder"), CANONICAL))
 
 
 def restore_replies(replies: DataFrame, known: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``replies`` with altered tokens repaired, as ``restore_tokens`` does. ``keys`` identify a reply and hold dossier_id; ``known``: (dossier_id, placeholder)."""
-    plain = written(replies.withColumn(text, normalize(F.col(text))))
+    plain = spread(written(replies.withColumn(text, normalize(F.col(text)))))
     ours = parsed(known)
     tokens = reply_tokens(plain, keys, text).withColumn("placeholder", canonical(F.col("kind"), F.col("number")))
-    exact = written(tokens.join(ours.select("dossier_id", "placeholder", F.lit(True).alias("exact")), ["dossier_id", "placeholder"], "left"))
+    exact = spread(written(tokens.join(ours.select("dossier_id", "placeholder", F.lit(True).alias("exact")), ["dossier_id", "placeholder"], "left")))
     right = exact.where("exact").select(*keys, "start", "end", F.col("placeholder").alias("replacement"))
     altered = exact.where("exact IS NULL").select(*keys, "start", "end", "kind", "number")
     # only placeholders with the number of an altered token are spelled out
@@ -60,7 +60,7 @@ def restore_replies(replies: DataFrame, known: DataFrame, keys: list[str], text:
 def suspect_tokens(replies: DataFrame, known: DataFrame, keys: list[str], text: str = "text", legacy_nearest_type: bool = False) -> DataFrame:
     """(``keys``, placeholder): look-alikes of plausible types, in canonical form, that the dossier does not know; see ``integrity.suspects``."""
     ours, labels = parsed(known), F.array(*map(F.lit, sorted(LABELS)))
-    tokens = written(reply_tokens(replies, keys, text).select(*keys, "kind", "number").distinct())
+    tokens = spread(written(reply_tokens(replies, keys, text).select(*keys, "kind", "number").distinct()))
     types = ours.select("dossier_id", "kind").distinct()
     spelled = types.select("dossier_id", F.col("kind").alias("their_kind"), F.explode(spellings(F.col("kind"))).alias("spelling"))
     kinds = tokens.select("dossier_id", "kind").distinct()
@@ -72,22 +72,22 @@ def suspect_tokens(replies: DataFrame, known: DataFrame, keys: list[str], text:
     plausible = F.coalesce("own", F.lit(False)) | F.array_contains(labels, F.col("kind"))
     chosen = near if legacy_nearest_type else F.when(plausible, F.col("kind")).otherwise(near)
     named = read.select(*keys, canonical(chosen, F.col("number")).alias("placeholder")).where("placeholder IS NOT NULL").distinct()
-    return named.join(known.select("dossier_id", "placeholder"), ["dossier_id", "placeholder"], "left_anti").select(*keys, "placeholder")
+    return named.join(spread(known).select("dossier_id", "placeholder"), ["dossier_id", "placeholder"], "left_anti").select(*keys, "placeholder")
 
 
 def check_replies(replies: DataFrame, sent: DataFrame, known: DataFrame, keys: list[str], text: str = "text", legacy_nearest_type: bool = False) -> DataFrame:
     """``replies`` plus report, as ``check`` gives it. ``sent``: (``keys``, placeholder), ``known``: (dossier_id, placeholder)."""
     loose = F.transform(matches(F.col(text), LOOSE), plain_token)
     present = replies.where(F.contains(F.col(text), F.lit("["))).select(*keys, F.explode_outer(loose).alias("placeholder")).where("placeholder IS NOT NULL").distinct()
-    present = written(present)
-    strange = present.join(known.select("dossier_id", "placeholder"), ["dossier_id", "placeholder"], "left_anti").select(*keys, "placeholder")
+    present = spread(written(present))
+    strange = present.join(spread(known).select("dossier_id", "placeholder"), ["dossier_id", "placeholder"], "left_anti").select(*keys, "placeholder")
     suspects = suspect_tokens(replies, known, keys, text, legacy_nearest_type)
     gone = sent.select(*keys, "placeholder").distinct().join(present, [*keys, "placeholder"], "left_anti")
     told = strange.unionByName(suspects).distinct().withColumn("what", F.lit("unknown")).unionByName(gone.withColumn("what", F.lit("missing")))
     of = lambda what: F.array_sort(F.collect_list(F.when(F.col("what") == what, F.col("placeholder"))))
     lists = told.groupBy(*keys).agg(of("unknown").alias("__unknown"), of("missing").alias("__missing"))  # a reply's own tokens
     none = F.array().cast("array<string>")
-    joined = replies.join(lists, keys, "left").withColumn("__unknown", F.coalesce("__unknown", none)).withColumn("__missing", F.coalesce("__missing", none))
+    joined = spread(replies).join(lists, keys, "left").withColumn("__unknown", F.coalesce("__unknown", none)).withColumn("__missing", F.coalesce("__missing", none))
     # a reply that isn't there has no report
     ok = F.when(F.col(text).isNotNull(), F.size("__unknown") == 0)
     unknown, missing = (F.when(F.col(text).isNotNull(), F.col(c)) for c in ("__unknown", "__missing"))

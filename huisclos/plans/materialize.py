@@ -34,6 +34,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Joins of ``table`` shuffle it. Spark takes files for as large as they are on disk, where millions of like rows are a few MB, and would gather them in the driver for a broadcast."""
+    return table.hint("merge")
+
+
 def drop(table: DataFrame | None) -> None:
     """Delete the files of a ``written`` table; only once all that reads it has been written itself."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()} if table is not None else ():
