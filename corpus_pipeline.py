@@ -36,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, Jaccard 0.8) the row with the smallest id stays (null last; ties: the smallest key).
 
+    Links come from SimHash fingerprints through Golay keys, and beyond their two bits from MinHash bands; each is checked exactly.
     The first row of a shingle set is found with map-side limits, then the first one of a component.
     """
     keyed = docs.withColumn("__key", row_key())

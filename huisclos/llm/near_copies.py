@@ -1,9 +1,11 @@
 """Near copies: components of the links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Words are split at ASCII blanks and lower-cased in A-Z, as for SimHash. A text of fewer words is one shingle.
-Texts with the same set are one row from the start. Candidates come from MinHash bands (24 of 4 minima: a
-pair at 0.8 is missed with a chance of 3 in a million, one at 0.9 with 1 in 10^11); a link needs the exact
-Jaccard similarity of both whole sets.
+Texts with the same set are one row from the start. Each set has a SimHash fingerprint; fingerprints at two or
+fewer differing bits are linked through ``simhash``'s Golay keys. Most pairs at 0.8 to 0.95 differ in more bits
+than that, so MinHash bands add what two bits can't reach (24 of 4 minima: a pair at 0.8 is missed
+with a chance of 3 in a million, one at 0.9 with 1 in 10^11). A link of either kind needs the exact Jaccard
+similarity of both whole sets.
 
 A band key with up to ``SMALL`` sets gives all its pairs. A larger one gives each set's pair with the
 smallest set first; if its sets aren't one component by then, all sets of different components are
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from .arrowtext import gram_hashes, mix, text_slices, word_hashes
 from .common import Written, partitions
 from .components import connected_components
+from .simhash import bit_counts, fingerprint_links, majority
 
 BANDS, ROWS = 24, 4
 SMALL, BLOCK = 32, 512
@@ -60,14 +63,23 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes; zero for the empty set."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(shingles), 1 << 15):
+        counts += bit_counts(shingles[i : i + (1 << 15)])
+    return majority(counts, len(shingles))
+
+
 def _sketches(size: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
             sets = shingle_sets(data, offsets, size)
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             columns = [rows.column(c) for c in carry]
-            columns += [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carry, "set_key", "n", "bands"])
+            fps = np.array([set_fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
+            columns += [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carry, "set_key", "n", "fp", "bands"])
 
     return run
 
@@ -138,6 +150,14 @@ def _crowd_edges(threshold: float):
     return run
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """``sets``: (set_key, fp). Returns (a, b): each set with the first one of its fingerprint, and the first ones of linked fingerprints."""
+    heads = Written(sets.groupBy("fp").agg(F.min("set_key").alias("head")))
+    same = sets.join(heads.read(), "fp").where("set_key <> head").select(F.col("head").alias("a"), F.col("set_key").alias("b"))
+    a, b = (heads.read().select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    return same.unionAll(fingerprint_links(heads.read()).join(a, "a").join(b, "b").select("head_a", "head_b"))
+
+
 def near_copy_components(docs: DataFrame, key: str, carry: tuple[str, ...], order: list, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """Returns the columns ``carry`` and component: for each distinct shingle set the first row by ``order``.
 
@@ -145,13 +165,14 @@ def near_copy_components(docs: DataFrame, key: str, carry: tuple[str, ...], orde
     """
     spark = docs.sparkSession
     kept = [docs.schema[c] for c in carry]
-    schema = T.StructType([*kept, T.StructField("set_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*kept, T.StructField("set_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     sketches = docs.select(*carry, "text").mapInArrow(_sketches(size, carry), schema)
     first = Written(sketches.withColumn("r", F.row_number().over(W.partitionBy("set_key").orderBy(*order))).where("r = 1").drop("r"))
     entries = first.read().select(F.explode("bands").alias("band"), "set_key", "n")
     dealt = entries.repartition(partitions(spark), "band").sortWithinPartitions("band", "n", "set_key")
     found = Written(dealt.mapInPandas(_pairs_of(threshold), "a long, b long, crowd boolean"))
-    pairs = Written(found.read().where("not crowd").select("a", "b").distinct())
+    met = found.read().where("not crowd").select("a", "b").unionAll(simhash_pairs(first.read().select("set_key", "fp")))
+    pairs = Written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def sets_of(keys: DataFrame) -> Written:
         rows = first.read().select("set_key", key).join(keys.distinct(), "set_key", "left_semi")

@@ -55,9 +55,18 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     counts, step = np.zeros(64, dtype=np.int64), 1 << 15
     for i in range(0, len(first), step):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(first[i : i + step], last[i : i + step])], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    bits = (counts * 2 > len(first)).astype(np.uint8)
+        counts += bit_counts(np.array([digest(joined[a:b], 42) for a, b in zip(first[i : i + step], last[i : i + step])], dtype="<u8"))
+    return majority(counts, len(first))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes: a bit is 1 if over half of them have it."""
+    bits = (counts * 2 > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -233,21 +242,25 @@ def fingerprint_documents(docs: DataFrame, size: int = 3, carry: tuple[str, ...]
     return docs.select(*carry, "text").mapInPandas(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
-def fingerprint_components(fps: DataFrame, crowded_from: int = CROWDED) -> DataFrame:
-    """``fps``: (doc_id, fp). Returns (fp, component_id): the smallest doc_id reachable from it.
+def fingerprint_links(fps: DataFrame, crowded_from: int = CROWDED) -> DataFrame:
+    """``fps``: (fp), each once. Returns (a, b): spanning forests of the links of all keys.
 
     Crowded keys are joined back by Spark, which broadcasts their list only below its own size limit.
     """
     spark = fps.sparkSession
-    first = Written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    keys = first.read().select("fp").mapInPandas(_keys_of, "key long, fp long")
+    keys = fps.select("fp").mapInPandas(_keys_of, "key long, fp long")
     counts = keys.groupBy("key").agg(F.count("*").alias("crowded"))
     crowded = Written(counts.where(F.col("crowded") > crowded_from))
     if crowded.read().limit(1).count():
         keys = keys.join(crowded.read(), "key", "left").select("key", "fp", "crowded").mapInPandas(_split_crowded, "key long, fp long")
     dealt = keys.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    edges = dealt.mapInPandas(_edges_of, "a long, b long").distinct()
-    labels = connected_components(edges)
+    return dealt.mapInPandas(_edges_of, "a long, b long").distinct()
+
+
+def fingerprint_components(fps: DataFrame, crowded_from: int = CROWDED) -> DataFrame:
+    """``fps``: (doc_id, fp). Returns (fp, component_id): the smallest doc_id reachable from it."""
+    first = Written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = connected_components(fingerprint_links(first.read(), crowded_from))
     named = first.read().join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return named.join(smallest, "label").select("fp", "component_id")

@@ -570,3 +570,27 @@ def test_near_copies_are_all_linked(spark, monkeypatch, small, block):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect())
     assert kept == sorted(set(root))
+
+
+def test_near_copies_by_simhash_alone(spark, monkeypatch):
+    """Without any band, sets at two or fewer bits are linked by their fingerprints, and only if their Jaccard similarity is 0.8."""
+    from huisclos.llm import near_copies
+    from huisclos.llm.near_copies import set_fingerprint, shingle_sets
+
+    monkeypatch.setattr(near_copies, "band_keys", lambda shingles: np.zeros(0, np.int64))
+    rng = random.Random(8)
+    texts = ["", "un", "UN", "deux mots"]
+    for i in range(12):
+        words = prose(1500, rng).split()
+        texts += [" ".join(words), " ".join([*words[:-2], f"neu{i}", words[-1]])]
+    data = [t.encode() for t in texts]
+    sets = shingle_sets(b"".join(data), np.concatenate(([0], np.cumsum([len(x) for x in data]))), 5)
+    fps = [set_fingerprint(s) for s in sets]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_copies.near_copy_components(docs, "doc_id", ("doc_id",), [F.asc("doc_id")]).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["component"], []).append(r["doc_id"])
+    linked = sorted(sorted(c) for c in found.values() if len(c) > 1)
+    assert linked == [[i, i + 1] for i in range(4, len(texts), 2) if near(i, i + 1)] and len(linked) > 6
