@@ -25,6 +25,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 MATCHES = "array<struct<start:int,end:int,value:string>>"
+#: A character that stands for a match while a text is split.
+MARK = "\u0001"
 #: Elements that a fold adds to one array before it begins another.
 CHUNK = 256
 
@@ -55,9 +57,12 @@ def matches(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start int, end int, value string>>`` of the non-overlapping matches, left to right.
 
     One fold carries the offset from match to match. Texts without a match are searched once and not split.
+    ``split`` compiles its pattern anew for each text, but not one of a single character, so gaps are cut at
+    ``MARK`` in place of each match; texts that hold it themselves are split by the pattern.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    parts = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
+    gaps = F.when(F.contains(text, F.lit(MARK)), F.split(text, regex, -1)).otherwise(F.split(F.regexp_replace(text, regex, F.lit(MARK)), MARK, -1))
+    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
 
     def step(acc: Column, p: Column) -> Column:
         at = acc["at"] + F.length(p["gap"])
@@ -69,6 +74,22 @@ def matches(text: Column, pattern: str | Column) -> Column:
     return F.when(F.rlike(text, regex), found).when(text.isNotNull(), F.array().cast(MATCHES))
 
 
+def occurrences(text: Column, value: Column) -> Column:
+    """``matches`` of a value taken literally; no pattern is compiled, except for texts that hold ``MARK``. ``value`` is not empty."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    gaps = F.when(F.contains(text, F.lit(MARK)), F.split(text, quoted, -1)).otherwise(F.split(F.replace(text, value, F.lit(MARK)), MARK, -1))
+
+    def step(acc: Column, gap: Column) -> Column:
+        start = acc["at"] + F.length(gap)
+        end = start + F.length(value)
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))
+        return F.struct(end.alias("at"), *Growing.plus(acc, one))
+
+    # the last gap ends with the text
+    found = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.struct(F.lit(0).alias("at"), *Growing.empty(MATCHES)), step, Growing.whole)
+    return F.when(F.contains(text, value), found).when(text.isNotNull() & value.isNotNull(), F.array().cast(MATCHES))
+
+
 def rebuild(text: Column, spans: Column) -> Column:
     """``text`` with each of the sorted, disjoint ``spans`` (start, end, replacement) replaced."""
 

@@ -147,9 +147,9 @@ def _by_priority(spans: Column) -> Column:
 
 
 def resolve_overlaps(spans: Column) -> Column:
-    """Spans without overlaps, by start. Only spans that touch a common stretch of text are compared with each other."""
+    """Spans without overlaps, by start. Only spans that touch a common stretch of text are compared with each other, and where none do, they are only sorted."""
     held = "array<struct<at:int,order:int,span:struct<type:string,start:int,end:int,score:double,value:string>>>"
-    keyed = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("at"), i.alias("order"), s.alias("span"))).cast(held))
+    keyed = F.sort_array(F.transform(spans, lambda s, i: F.struct(s["start"].alias("at"), i.alias("order"), s.alias("span"))).cast(held))
     stop = F.array(F.struct(F.lit(2**31 - 1).alias("at"), F.lit(0).alias("order"), F.lit(None).alias("span"))).cast(held)
 
     def settled(open_: Column) -> Column:
@@ -161,7 +161,13 @@ def resolve_overlaps(spans: Column) -> Column:
         return F.when(k["at"] < acc["reach"], joined).otherwise(begun)
 
     start = F.struct(F.array().cast(held).alias("open"), F.lit(-1).alias("reach"), *Growing.empty(SPAN))
-    return F.aggregate(F.concat(keyed, stop), start, step, Growing.whole)
+
+    def resolved(k: Column) -> Column:
+        after = F.slice(k, F.lit(2), F.size(k))
+        overlaps = F.exists(F.zip_with(k, after, lambda a, b: b["at"] < a["span"]["end"]), lambda x: x)
+        return F.when(F.coalesce(overlaps, F.lit(False)), F.aggregate(F.concat(k, stop), start, step, Growing.whole)).otherwise(F.transform(k, lambda x: x["span"]))
+
+    return let(keyed, resolved)
 
 
 def merge_adjacent(spans: Column) -> Column:

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.regex import matches
+from ..functions.regex import occurrences
 from ..plans.materialize import written
 from .search import values_in_texts
 
 def truth_spans(docs: DataFrame, truth: DataFrame) -> DataFrame:
     """Every occurrence of each true value: (doc_id, type, start, end). ``truth``: (doc_id, type, value)."""
-    pattern = F.concat(F.lit(r"\Q"), F.regexp_replace("value", r"\\E", r"\\\\E\\\\\\\\E\\\\Q"), F.lit(r"\E"))
-    joined = docs.select("doc_id", "text").join(truth.where("value <> ''"), "doc_id").withColumn("__p", pattern)
-    found = joined.select("doc_id", "type", F.explode(matches(F.col("text"), F.col("__p"))).alias("m"))
+    joined = docs.select("doc_id", "text").join(truth.where("value <> ''"), "doc_id")
+    # ``explode`` would have the occurrences evaluated twice; see ``span_rows``
+    found = joined.select("doc_id", "type", F.explode_outer(occurrences(F.col("text"), F.col("value"))).alias("m")).where("m IS NOT NULL")
     return found.select("doc_id", "type", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 

@@ -23,7 +23,8 @@ def replace_spans(docs: DataFrame, replacements: DataFrame, keys: list[str], tex
 
 def placeholders_in(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(``keys``, start, end, placeholder): a row for each numbered token."""
-    found = docs.where(F.col(text).contains("[")).select(*keys, F.explode(matches(F.col(text), NUMBERED)).alias("m"))
+    # ``explode`` would have the matches evaluated twice; see ``span_rows``
+    found = docs.where(F.col(text).contains("[")).select(*keys, F.explode_outer(matches(F.col(text), NUMBERED)).alias("m")).where("m IS NOT NULL")
     return found.select(*keys, F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("placeholder"))
 
 
