@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,21 +94,22 @@ def _number(vocabulary):
     """Texts as word numbers of four bytes, so that later passes needn't read words: ``END`` for ends, ``OTHER`` less the shape for other words, which follow as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.value.get
+        index = vocabulary.value
         for rows, texts in _texts(batches):
-            ids: list[int] = []
             starts, others, kept = [0], [], [0]
+            ids = np.empty(sum(map(len, texts)) + len(texts), dtype=np.int32)
             for words in texts:
-                own = [get(w, OTHER) for w in words]
-                if OTHER in own:
-                    rest = [w for w, i in zip(words, own) if i == OTHER]
-                    others += rest
-                    own = [OTHER - shape(w) if i == OTHER else i for w, i in zip(words, own)]
-                ids += own
-                ids.append(END)
-                starts.append(len(ids))
+                at, end = starts[-1], starts[-1] + len(words)
+                ids[at:end] = own = np.fromiter(map(index.get, words, repeat(OTHER)), dtype=np.int32, count=len(words))
+                rest = np.nonzero(own == OTHER)[0]
+                if len(rest):
+                    unknown = [words[i] for i in rest.tolist()]
+                    others += unknown
+                    ids[at + rest] = [OTHER - shape(w) for w in unknown]
+                ids[end] = END
+                starts.append(end + 1)
                 kept.append(len(others))
-            data = [None, pa.py_buffer(np.array(starts, dtype=np.int32) * 4), pa.py_buffer(np.array(ids, dtype=np.int32))]
+            data = [None, pa.py_buffer(np.array(starts, dtype=np.int32) * 4), pa.py_buffer(ids)]
             numbers = pa.Array.from_buffers(pa.binary(), len(texts), data)
             words = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(others, pa.binary()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), numbers, words], names=["doc_id", "held_out", "ids", "others"])
