@@ -63,3 +63,19 @@ def test_engine_in_a_job(spark, chain):
 def test_runs_of_tokens():
     assert [len(r) for r in tokens_of("M. Roux est là. Il part !\nFin")] == [6, 3, 1]
     assert [len(r) for r in tokens_of("a " * 200)] == [80, 80, 40] and tokens_of("") == []
+
+
+def test_features_are_kept_for_surroundings_met_before():
+    """A second text with the same words around hashes only what is new; results are those of a cold start."""
+    from huisclos.operators import names
+
+    words = "Entretien avec Jean Bernard au sujet du contrat .".split()
+    hidden = frozenset({2, 3})
+    names._around.cache_clear()
+    names._inside.cache_clear()
+    cold = [names.features(words), names.features(words, hidden)]
+    missed = names._around.cache_info().misses
+    assert [names.features(words), names.features(words, hidden)] == cold and names._around.cache_info().misses == missed
+    other = names.features([*words[:3], "Martin", *words[4:]])
+    assert names._around.cache_info().misses == missed + 5 and other[7:] == cold[0][7:] and other[3] != cold[0][3]
+    assert [len(f) for f in cold[1]] == [14, 14, 11, 11, 14, 14, 14, 14, 14]
