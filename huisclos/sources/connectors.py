@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future, ThreadPoolExecutor
-from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import written
+from ..plans.materialize import spread, written
 
 Client = Callable[[list[dict]], str]
 #: Fixed value: what a model is told when placeholders stand in the payload.
@@ -95,55 +96,115 @@ def ask(client: Client, messages: list[dict], calls: Calls) -> tuple[str | None,
     return None, kind
 
 
+class _Caller(threading.Thread):
+    """Takes turns from ``turns`` until none is left, then leaves ``under_way``. Only the one that watches it contends for its lock."""
+
+    def __init__(self, client: Client, calls: Calls, turns: deque, answers: list, under_way: set[_Caller], changed: threading.Condition) -> None:
+        super().__init__(daemon=True)
+        self.client, self.calls, self.turns, self.answers, self.under_way, self.changed = client, calls, turns, answers, under_way, changed
+        self.own, self.since, self.lost = threading.Lock(), time.monotonic(), False
+
+    def run(self) -> None:
+        i, answer = None, None
+        while True:
+            with self.own:
+                if self.lost:
+                    return
+                if i is not None:
+                    self.answers[i] = answer
+                try:
+                    i, messages = self.turns.popleft()
+                except IndexError:
+                    break
+                self.since = time.monotonic()
+            try:
+                answer = ask(self.client, messages, self.calls)
+            except BaseException as e:  # raised by the thread that reads the answers
+                answer = e
+        with self.changed:
+            self.under_way.discard(self)
+            self.changed.notify()
+
+    def given_up(self, most: float) -> bool:
+        with self.own:
+            self.lost = self.lost or self.since + most <= time.monotonic()
+            return self.lost
+
+
 def asked_in_order(client: Client, requests: list[list[dict]], calls: Calls) -> Iterator[tuple[str | None, str | None]]:
-    """Answers in the order of ``requests``, at most ``at_once`` under way. A call that doesn't come back in time is given up."""
-    pool = ThreadPoolExecutor(calls.at_once)
+    """Answers in the order of ``requests``, at most ``at_once`` under way. A call that doesn't come back in time is given up; another thread goes on in its place.
+
+    Threads take the next request themselves: a future for each call costs several times what a quick client does.
+    """
     most = calls.seconds * calls.tries + calls.pause * 2**calls.tries
-    under_way: deque = deque()
+    answers: list = [(None, "TimeoutError")] * len(requests)
+    turns, under_way, changed = deque(enumerate(requests)), set(), threading.Condition()
+    more = lambda: _Caller(client, calls, turns, answers, under_way, changed)
     try:
-        for messages in requests:
-            if len(under_way) == calls.at_once:
-                yield _answer(under_way.popleft(), most)
-            under_way.append(pool.submit(ask, client, messages, calls))
-        while under_way:
-            yield _answer(under_way.popleft(), most)
+        with changed:
+            under_way |= {more() for _ in range(min(calls.at_once, len(requests)))}
+            for caller in under_way:
+                caller.start()
+            while under_way:
+                changed.wait(max(0.0, min(c.since for c in under_way) + most - time.monotonic()))
+                for caller in [c for c in under_way if c.given_up(most)]:
+                    under_way.remove(caller)
+                    if turns:
+                        under_way.add(other := more())
+                        other.start()
     finally:
-        pool.shutdown(wait=False, cancel_futures=True)
+        turns.clear()
+    for answer in answers:
+        if isinstance(answer, BaseException):
+            raise answer
+        yield answer
 
 
-def _answer(call: Future, most: float) -> tuple[str | None, str | None]:
-    try:
-        return call.result(most)
-    except FutureTimeout:
-        return None, "TimeoutError"
+def _conversations(messages: pa.Array, before: tuple[dict, ...]) -> list[list[dict]]:
+    """Each row's messages after ``before``."""
+    flat = messages.flatten()
+    told = [{"role": r, "content": c} for r, c in zip(*(pc.struct_field(flat, f).to_pylist() for f in ("role", "content")))]
+    ends = list(accumulate(pc.list_value_length(messages).to_pylist(), initial=0))
+    return [[*map(dict, before), *told[i:j]] for i, j in zip(ends, ends[1:])]
 
 
-def complete(requests: DataFrame, client_factory: Callable[[], Client], key: str = "conv_id", calls: Calls = Calls()) -> DataFrame:
-    """``requests``: (``key``, messages array<struct<role,content>>). Returns (``key``, reply, error_kind). One client a task; failures become error kinds without payload."""
+def _complete(requests: DataFrame, client_factory: Callable[[], Client], key: str, calls: Calls, before: tuple[dict, ...]) -> DataFrame:
+    """``requests``: (``key``, messages, reply, __had). Where __had is true the reply stands and nothing is asked. Returns (``key``, reply, error_kind, __had)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
-        for pdf in batches:
-            answers = asked_in_order(client, [[{"role": m["role"], "content": m["content"]} for m in messages] for messages in pdf["messages"]], calls)
-            rows = [(k, *a) for k, a in zip(pdf[key], answers)]
-            yield pd.DataFrame(rows, columns=[key, "reply", "error_kind"])
+        for batch in batches:
+            had = batch.column("__had")
+            missing = pc.invert(had)
+            answers = asked_in_order(client, _conversations(batch.column("messages").filter(missing), before), calls)
+            replies, kinds = zip(*((r, None) if h else next(answers) for h, r in zip(had.to_pylist(), batch.column("reply").to_pylist()))) if len(had) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(replies, pa.string()), pa.array(kinds, pa.string()), had], [key, "reply", "error_kind", "__had"])
 
     kind = dict(requests.dtypes)[key]
-    return requests.select(key, "messages").mapInPandas(run, f"{key} {kind}, reply string, error_kind string")
+    return requests.select(key, "messages", "reply", "__had").mapInArrow(run, f"{key} {kind}, reply string, error_kind string, __had boolean")
+
+
+def complete(requests: DataFrame, client_factory: Callable[[], Client], key: str = "conv_id", calls: Calls = Calls()) -> DataFrame:
+    """``requests``: (``key``, messages array<struct<role,content>>). Returns (``key``, reply, error_kind). One client a task; failures become error kinds without payload."""
+    return _complete(requests.withColumns({"reply": F.lit(None).cast("string"), "__had": F.lit(False)}), client_factory, key, calls, ()).drop("__had")
 
 
-def complete_once(requests: DataFrame, client_factory: Callable[[], Client], key: str, answers_at: str, calls: Calls = Calls()) -> DataFrame:
+def complete_once(requests: DataFrame, client_factory: Callable[[], Client], key: str, answers_at: str, calls: Calls = Calls(), before: tuple[dict, ...] = ()) -> DataFrame:
     """``complete`` for requests that have no answer in the folder ``answers_at`` yet; new answers are added to it, failures are not.
 
     A run after a lost one, or over more requests, asks only for what is missing. One run at a time writes to a folder.
+    Messages that all requests begin with go in ``before``: they are no part of any row.
     """
     spark, kind = requests.sparkSession, dict(requests.dtypes)[key]
     shape = f"{key} {kind}, reply string"
-    spark.createDataFrame([], shape).write.mode("append").parquet(answers_at)  # so that a first run finds a table
-    had = written(spark.read.schema(shape).parquet(answers_at).dropDuplicates([key]).join(requests.select(key), key, "left_semi"))
-    new = written(complete(requests.join(had.select(key), key, "left_anti"), client_factory, key, calls))
-    new.where("error_kind IS NULL").select(key, "reply").write.mode("append").parquet(answers_at)
-    return had.withColumn("error_kind", F.lit(None).cast("string")).unionByName(new)
+    requests.limit(0).select(key, F.lit(None).cast("string").alias("reply")).write.mode("append").parquet(answers_at)  # so that a first run finds a table
+    had = spread(spark.read.schema(shape).parquet(answers_at).dropDuplicates([key]).withColumn("__had", F.lit(True)))
+    told = requests.select(key, "messages").join(had, key, "left").withColumn("__had", F.coalesce("__had", F.lit(False)))
+    # dealt anew: Spark makes as few tasks as bytes ask for, and answers take longer than bytes tell
+    dealt = told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), F.xxhash64(key))
+    made = written(_complete(dealt, client_factory, key, calls, before))
+    made.where("NOT __had AND error_kind IS NULL").select(key, "reply").write.mode("append").parquet(answers_at)
+    return made.drop("__had")
 
 
 def with_system_prompt(messages, prompt: str = KEEP_TOKENS):

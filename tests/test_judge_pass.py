@@ -5,6 +5,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from huisclos.operators.judge import PROMPT, judge_pass, read_judge
@@ -83,6 +84,43 @@ def test_keys_of_any_kind(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "A", None), (2, "B", None)]
 
 
+def test_calls_go_on_after_those_given_up():
+    gate = threading.Event()
+    client = lambda m: gate.wait(20) and "x" if m[0]["content"] == "jamais" else m[0]["content"]
+    contents = ["jamais", "a", "jamais", "jamais", "b", "c", "jamais"]
+    got = list(asked_in_order(client, [[{"role": "user", "content": c}] for c in contents], Calls(seconds=0.2, tries=1, pause=0.01, at_once=2)))
+    gate.set()
+    assert got == [(None, "TimeoutError") if c == "jamais" else (c, None) for c in contents]
+    assert list(asked_in_order(client, [], Calls())) == []
+
+
+def test_what_ends_a_call_ends_the_task():
+    def client(messages):
+        raise SystemExit(3)
+
+    with pytest.raises(SystemExit):
+        list(asked_in_order(client, [[]] * 3, Calls(at_once=2)))
+
+
+def test_requests_are_made_once_and_dealt_to_all_tasks(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    def factory():
+        number = TaskContext.get().partitionId()
+        return lambda m: f"{number} {len(m)} {m[0]['content']}"
+
+    rows = spark.range(40).mapInPandas(counted, "id long").groupBy("id").agg(F.lit("t").alias("t"))
+    requests = rows.select("id", F.array(F.struct(F.lit("user").alias("role"), F.col("t").alias("content"))).alias("messages"))
+    got = complete_once(requests, factory, "id", str(tmp_path / "x"), before=({"role": "system", "content": "s"},)).collect()
+    assert sorted(r["id"] for r in got) == list(range(40)) and {r["reply"][1:] for r in got} == {" 2 s"}
+    assert {r["reply"][0] for r in got} == set("0123") and made.value == 40
+
+
 class Service(BaseHTTPRequestHandler):
     def do_POST(self):
         asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
@@ -143,3 +181,20 @@ def test_strictness_without_python(spark, raw, n):
     assert (len(row["candidates"]), row["error_kind"]) == ((n or 0), None if n is not None else "SortieJugeInvalide")
     assert "Python" not in read._jdf.queryExecution().toString().replace("LogicalRDD", "")
     assert read.where(F.lit(True)).count() == 1
+
+
+ITEM = {"segment": "a", "type_candidat": "b", "justification": "c", "score": 0.5}
+
+
+def test_a_reply_is_parsed_once_and_each_item_is_whole(spark):
+    without = lambda *keys: {k: v for k, v in ITEM.items() if k not in keys}
+    good = [[ITEM, ITEM | {"score": 1}], [dict(reversed(ITEM.items()))], []]
+    bad = [
+        [ITEM, without("segment")], [ITEM, ITEM | {"more": 1}], [ITEM, None], [None], [ITEM, 1], [ITEM, ITEM | {"segment": 1}], [ITEM, ITEM | {"score": None}], [ITEM, ITEM | {"score": "1"}], [ITEM, ITEM | {"score": 2}],
+        [without("justification", "score") | {"justification: STRING, score": 0.5}], [ITEM | {"segment": " "}],
+    ]
+    raws = [(n, json.dumps(r), True) for n, r in enumerate(good)] + [(n, json.dumps(r), False) for n, r in enumerate(bad, 100)]
+    raws += [(n, "[]" + end, False) for n, end in enumerate([',""]', ',"x"]', "]", "]} x", ',"a":1', ",[]"], 200)]
+    read = read_judge(spark.createDataFrame(raws, "n int, raw string, ok boolean"))
+    assert {r["n"]: r["error_kind"] is None for r in read.collect()} == {n: ok for n, _, ok in raws}
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
