@@ -2,11 +2,14 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from huisclos.llm import arrowtext, decontaminate, near_copies
 from huisclos.llm.arrowtext import gram_hashes, runs, word_hashes
 from huisclos.llm.brown import _xlogx, exchange_classes
 from huisclos.llm.decontaminate import greedy_tiles
@@ -206,6 +209,40 @@ def test_words_and_grams_do_not_depend_on_neighbours():
     assert runs(np.array([True, True, True, True]), np.array([0, 2, 4]), 1)[0].tolist() == [0, 2]
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch, block):
+    data = b"un  deux " + b"x" * 100 + b" TROIS\nquatre" + b"y" * 7 + b" cinq"
+    at = np.array([0, 3, 3, 60, len(data)])
+    whole, rows = word_hashes(data, at)
+    monkeypatch.setattr(arrowtext, "BLOCK", block)
+    words, same = word_hashes(data, at)
+    assert words.tolist() == whole.tolist() and same.tolist() == rows.tolist() and len(words) == 7
+    long, _ = word_hashes(b"x" * 51, np.array([0, 51]))
+    assert long[0] == words[2]  # the part of the long word before the cut between rows
+    assert [len(x) for x in word_hashes(b"", np.array([0, 0]))] == [0, 2]
+
+
+def peak_of(run) -> int:
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_words_are_hashed_in_bounded_memory():
+    """A task's memory doesn't follow the hashes of all its bytes: of one long text, or of a batch of texts."""
+    text = b"some words of ordinary lengths, one after the other " * 80_000
+    assert peak_of(lambda: word_hashes(text, np.array([0, len(text)]))) < 20 * len(text)
+    texts = [text[i : i + 4000].decode() for i in range(0, 8_000_000, 4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    for step in (near_copies._sketches(5, ("key",)), near_copies._sets(5)):
+        assert peak_of(lambda: sum(x.num_rows for x in step(iter([batch])))) < 40_000_000  # noqa: B023
+    own = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), batch.column(1)], names=["doc_id", "text_key", "text"])
+    seeds = decontaminate._seeds_in_documents(np.zeros(1 << (decontaminate.TABLE_BITS - 6), np.uint64), 5)
+    assert peak_of(lambda: list(seeds(iter([own])))) < 40_000_000
+
+
 def test_network_gradients():
     net = Network(3)
     for k in net.w:
