@@ -56,13 +56,11 @@ class Growing:
 def matches(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start int, end int, value string>>`` of the non-overlapping matches, left to right.
 
-    One fold carries the offset from match to match. Texts without a match are searched once and not split.
-    ``split`` compiles its pattern anew for each text, but not one of a single character, so gaps are cut at
-    ``MARK`` in place of each match; texts that hold it themselves are split by the pattern.
+    One fold carries the offset from match to match. A text is searched once: each match is put between two ``MARK``,
+    at which gaps and matches are cut in turn (``split`` compiles its pattern anew for each text, but not one of a
+    single character). Texts that hold ``MARK`` themselves are split by the pattern.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.when(F.contains(text, F.lit(MARK)), F.split(text, regex, -1)).otherwise(F.split(F.regexp_replace(text, regex, F.lit(MARK)), MARK, -1))
-    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
 
     def step(acc: Column, p: Column) -> Column:
         at = acc["at"] + F.length(p["gap"])
@@ -70,8 +68,22 @@ def matches(text: Column, pattern: str | Column) -> Column:
         one = F.array(F.struct(at.alias("start"), end.alias("end"), p["hit"].alias("value")))
         return F.when(p["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), *Growing.plus(acc, one)))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), *Growing.empty(MATCHES)), step, Growing.whole)
-    return F.when(F.rlike(text, regex), found).when(text.isNotNull(), F.array().cast(MATCHES))
+    def in_turn(cut: Column) -> Column:
+        """Gaps and matches, of which one alone needs no fold."""
+        start = F.length(F.get(cut, F.lit(0)))
+        alone = F.array(F.struct(start.alias("start"), (start + F.length(F.get(cut, F.lit(1)))).alias("end"), F.get(cut, F.lit(1)).alias("value")))
+        both = F.arrays_zip(F.filter(cut, lambda _, i: i % 2 == 0).alias("gap"), F.filter(cut, lambda _, i: i % 2 == 1).alias("hit"))
+        return F.when(F.size(cut) == 3, alone.cast(MATCHES)).otherwise(folded(both))
+
+    def folded(parts: Column) -> Column:
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), *Growing.empty(MATCHES)), step, Growing.whole)
+
+    def read(marked: Column) -> Column:
+        own = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
+        found = F.when(F.contains(text, F.lit(MARK)), folded(own)).otherwise(let(F.split(marked, MARK, -1), in_turn))
+        return F.when(F.contains(marked, F.lit(MARK)), found).when(marked.isNotNull(), F.array().cast(MATCHES))
+
+    return let(F.regexp_replace(text, regex, F.lit(f"{MARK}$0{MARK}")), read)
 
 
 def occurrences(text: Column, value: Column) -> Column:

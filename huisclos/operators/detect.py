@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import rank
-from ..functions.regex import BORDER, LEFT, RIGHT, Growing, context_before, let, matches
+from ..functions.regex import BORDER, LEFT, RIGHT, WORD, Growing, context_before, let, matches
 from ..functions.validators import iban_valid, luhn_valid, nir_valid, without_separators
 
 SPAN = "array<struct<type:string,start:int,end:int,score:double,value:string>>"
@@ -34,6 +34,8 @@ class Rule:
     suspect_context: str | None = None
     head: str | None = None
     tail: str | None = None
+    #: Only texts in which ``LONG`` occurs can hold a match.
+    long: bool = False
 
     def candidates(self, text: Column) -> Column:
         """Spans of one text. Texts in which the context never occurs skip the search for it before each match."""
@@ -73,18 +75,20 @@ def _luhn(value: Column) -> Column:
     return luhn_valid(without_separators(value))
 
 
+#: Eight digits with one separator at most between two: every match of the rules that are ``long`` holds them.
+LONG = r"(?U)\d(?:[\s.-]?\d){7}"
 #: Patterns, scores and contexts are fixed values; ``(?U)`` makes classes cover all scripts.
 RULES = [
-    Rule("FR_NIR", rf"(?U){LEFT}[12]\s?\d{{2}}\s?\d{{2}}\s?(?:\d{{2}}|2[AB])\s?\d{{3}}\s?\d{{3}}\s?\d{{2}}{RIGHT}", 0.95, nir_valid, None, "FR_NIR_SUSPECT", 0.7, rf"(?iU){BORDER}NIR{BORDER}|s[ée]curit[ée]\s+sociale|{BORDER}INSEE{BORDER}"),
-    Rule("FR_SIRET", rf"(?U){LEFT}\d{{3}}\s?\d{{3}}\s?\d{{3}}\s?\d{{5}}{RIGHT}", 0.9, _luhn, None, "FR_SIRET_SUSPECT", 0.7, rf"(?iU){BORDER}SIRET{BORDER}"),
-    Rule("FR_SIREN", rf"(?U){LEFT}\d{{3}}\s?\d{{3}}\s?\d{{3}}{RIGHT}", 0.85, _luhn, None, "FR_SIREN_SUSPECT", 0.65, rf"(?iU){BORDER}SIREN{BORDER}"),
+    Rule("FR_NIR", rf"(?U){LEFT}[12]\s?\d{{2}}\s?\d{{2}}\s?(?:\d{{2}}|2[AB])\s?\d{{3}}\s?\d{{3}}\s?\d{{2}}{RIGHT}", 0.95, nir_valid, None, "FR_NIR_SUSPECT", 0.7, rf"(?iU){BORDER}NIR{BORDER}|s[ée]curit[ée]\s+sociale|{BORDER}INSEE{BORDER}", long=True),
+    Rule("FR_SIRET", rf"(?U){LEFT}\d{{3}}\s?\d{{3}}\s?\d{{3}}\s?\d{{5}}{RIGHT}", 0.9, _luhn, None, "FR_SIRET_SUSPECT", 0.7, rf"(?iU){BORDER}SIRET{BORDER}", long=True),
+    Rule("FR_SIREN", rf"(?U){LEFT}\d{{3}}\s?\d{{3}}\s?\d{{3}}{RIGHT}", 0.85, _luhn, None, "FR_SIREN_SUSPECT", 0.65, rf"(?iU){BORDER}SIREN{BORDER}", long=True),
     Rule("IBAN", rf"(?U){LEFT}[A-Z]{{2}}\d{{2}}(?:\s?[A-Z0-9]{{4}}){{2,7}}(?:\s?[A-Z0-9]{{1,4}})?{RIGHT}", 0.95, iban_valid, None, "IBAN_SUSPECT", 0.7, rf"(?iU){BORDER}IBAN{BORDER}|{BORDER}RIB{BORDER}|compte bancaire"),
-    Rule("RPPS", rf"(?U){LEFT}\d{{11}}{RIGHT}", 0.9, None, rf"(?iU){BORDER}RPPS{BORDER}"),
+    Rule("RPPS", rf"(?U){LEFT}\d{{11}}{RIGHT}", 0.9, None, rf"(?iU){BORDER}RPPS{BORDER}", long=True),
     Rule("MATRICULE", rf"(?U){LEFT}\d{{2,6}}-\d{{2,6}}{RIGHT}", 0.8, None, rf"(?iU){BORDER}matricule{BORDER}"),
     Rule("CODE_POSTAL", rf"(?U){LEFT}\d{{5}}(?=[  ]+[A-ZÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŒÆ][a-zà-öø-ÿœæ'’-])", 0.75),
-    Rule("EMAIL", rf"{BORDER}[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}{RIGHT}", 0.95),
-    Rule("TELEPHONE", rf"(?U){LEFT}0[1-9](?:[ .-]?\d{{2}}){{4}}{RIGHT}", 0.85),
-    Rule("CARTE_BANCAIRE", rf"(?U){LEFT}\d(?:[ -]?\d){{12,15}}{RIGHT}", 0.6, _luhn),
+    Rule("EMAIL", rf"(?:(?=[a-zA-Z0-9_]){LEFT}|(?=[.%+-])(?<={WORD}))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}{RIGHT}", 0.95),
+    Rule("TELEPHONE", rf"(?U){LEFT}0[1-9](?:[ .-]?\d{{2}}){{4}}{RIGHT}", 0.85, long=True),
+    Rule("CARTE_BANCAIRE", rf"(?U){LEFT}\d(?:[ -]?\d){{12,15}}{RIGHT}", 0.6, _luhn, long=True),
     Rule("PLAQUE", rf"(?U){LEFT}[A-Z]{{2}}-\d{{3}}-[A-Z]{{2}}{RIGHT}", 0.8),
     Rule("REFERENCE_DOSSIER", rf"(?U){LEFT}[A-Z]{{2,5}}-(?:\d{{4}}-)?\d{{3,6}}{RIGHT}", 0.6),
     Rule("DATE_NAISSANCE", rf"(?U){LEFT}(?i:né(?:e|\(e\))?\s+le\s*:?\s+){DATE}", 0.85, tail=rf"(?U)({DATE})$"),
@@ -98,7 +102,9 @@ MERGED = ("PERSONNE", "ORGANISATION", "LIEU")
 
 def candidates(text: Column, engines: Iterable[Engine] = (), rules: Iterable[Rule] = RULES) -> Column:
     """All rules' and engines' spans in order of generation. Every rule needs a digit or ``@``, so other texts skip them."""
-    by_rule = F.when(text.rlike(r"[\p{Nd}@]"), F.concat(*(r.candidates(text) for r in rules))).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    of_all = let(text.rlike(LONG), lambda long: F.concat(*(F.when(long, r.candidates(text)).otherwise(none) if r.long else r.candidates(text) for r in rules)))
+    by_rule = F.when(text.rlike(r"[\p{Nd}@]"), of_all).otherwise(none)
     return F.concat(by_rule.cast(SPAN), *(e(text).cast(SPAN) for e in engines))
 
 

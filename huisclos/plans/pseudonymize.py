@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import label
+from ..functions.regex import rebuild
 from ..operators.coreference import resolve_people
 from ..operators.detect import Engine, detect, span_rows
 from ..operators.policy import KEEP, MASK, REVIEW, action_for, as_maps
-from ..operators.rewrite import replace_spans
 from ..operators.vault import canonical_of, new_surfaces
 from .materialize import written
 
@@ -73,10 +73,15 @@ def pseudonymize(docs: DataFrame, policies: DataFrame | None = None, known: Data
     keyed = spans.join(surfaces.drop("number"), ["dossier_id", "type", "surface"], "left")
     marker = F.concat(F.lit("["), label(F.col("type")), F.lit("]"))
     marked = keyed.withColumn("placeholder", F.when(F.col("action") == MASK, marker).when(F.col("action") == KEEP, None).otherwise(F.col("placeholder")))
-    replacements = marked.where("placeholder IS NOT NULL").select(*KEYS, "start", "end", F.col("placeholder").alias("replacement"))
-    per_type = marked.groupBy(*KEYS, "type").agg(F.count("*").cast("int").alias("n"), F.collect_set(F.when(F.col("action") == REVIEW, F.col("placeholder"))).alias("r"))
-    reports = per_type.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"), F.array_sort(F.flatten(F.collect_list("r"))).alias("in_review"))
-    texts = replace_spans(docs, replacements, KEYS).join(reports, KEYS, "left")
+    listed = F.sort_array(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("replacement"), "type", "action")))  # one text's
+    found = marked.groupBy(*KEYS).agg(listed.alias("__s"))
+    types = F.array_sort(F.array_distinct(F.transform("__s", lambda s: s["type"])))
+    counts = F.map_from_entries(F.transform(types, lambda t: F.struct(t.alias("type"), F.size(F.filter("__s", lambda s: s["type"] == t)).alias("n"))))
+    in_review = F.array_sort(F.array_distinct(F.transform(F.filter("__s", lambda s: s["replacement"].isNotNull() & (s["action"] == REVIEW)), lambda s: s["replacement"])))
+    told = F.col("__s").isNotNull()
+    protected = F.coalesce(rebuild(F.col("text"), F.filter("__s", lambda s: s["replacement"].isNotNull())), F.col("text"))
+    joined = docs.join(found, KEYS, "left").withColumns({"protected": protected, "counts": F.when(told, counts), "in_review": F.when(told, in_review)})
+    texts = joined.drop("__s")
     return Protected(texts, marked, surfaces, canonical, people, fresh)
 
 

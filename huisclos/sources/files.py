@@ -16,9 +16,11 @@ UNSUPPORTED, UNREADABLE, NO_TEXT = "FormatNonSupporte", "FichierIllisible", "Pdf
 NAMESPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+_TEXT, _MARKS = f"{NAMESPACE}t", {f"{NAMESPACE}tab": "\t", f"{NAMESPACE}br": "\n", f"{NAMESPACE}cr": "\n"}
+
+
 def _paragraph(p: ElementTree.Element) -> str:
-    marks = {f"{NAMESPACE}tab": "\t", f"{NAMESPACE}br": "\n", f"{NAMESPACE}cr": "\n"}
-    return "".join(e.text or "" if e.tag == f"{NAMESPACE}t" else marks.get(e.tag, "") for e in p.iter())
+    return "".join([e.text or "" if e.tag == _TEXT else _MARKS.get(e.tag, "") for e in p.iter()])
 
 
 def docx_text(content: bytes) -> str:
