@@ -1,14 +1,16 @@
 """Coreference as a stream: a dossier's people live in the state store.
 
-State has four tables for each dossier, by surface, whole key, last name and number, and only entries
-that a batch's mentions ask for are read and written, so a dossier with very many people costs a
-batch no more than one with few. Mentions of a batch are met in (seq, start) order after all earlier
-batches; cut into batches at any place, a stream whose documents come in order gives the people of
+Dossiers share ``BUCKETS`` groups, as each group and each call of the state store has a price of its own. A dossier
+has four tables, by surface, whole key, last name and number. Small ones are one entry; those of a dossier with over
+``SMALL`` entries are maps, of which only entries that a batch's mentions ask for are read and written, so a dossier
+with very many people costs a batch no more than one with few. Mentions of a batch are met in (seq, start) order after
+all earlier batches; cut into batches at any place, a stream whose documents come in order gives the people of
 ``resolve_people`` over all of them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -24,20 +26,23 @@ from ..operators.policy import KEEP, MASK, action_for, as_maps
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PERSON = "surface string, gender string, bare string, key string, full int, capitals int, all_capitals int, canonical string, casing int, genders string, unclear boolean"
 MENTION = "surface string, number long, placeholder string, canonical string, ambiguous boolean"
+#: Groups of dossiers. State is kept by them, so a checkpoint goes with their number.
+BUCKETS = 4096
+#: Entries of all tables that a dossier keeps in one.
+SMALL = 64
 
 
 class Kept:
-    """A dict over a map of the state store: an entry is read when it is asked for, and written back once if it has changed. The map of a new dossier is ``empty`` and not asked."""
+    """A dict over a map of the state store: an entry is read when it is asked for, and written back once if it has changed. With ``whole`` the map is not asked, as all entries are given."""
 
-    def __init__(self, state, key_of: Callable[[Any], tuple], pack: Callable[[Any], tuple], unpack: Callable[[Any, tuple], Any], empty: bool = False):
-        self.empty = empty
-        self.state, self.key_of, self.pack, self.unpack = state, key_of, pack, unpack
+    def __init__(self, state, dossier: str, key_of: Callable[[Any], Any], pack: Callable[[Any], tuple], unpack: Callable[[Any, tuple], Any], whole: bool = False):
+        self.state, self.dossier, self.key_of, self.pack, self.unpack, self.whole = state, dossier, key_of, pack, unpack, whole
         self.held: dict = {}
         self.packed: dict = {}
 
     def get(self, key, default=None):
-        if not self.empty and key not in self.held and self.state.containsKey(self.key_of(key)):
-            self.packed[key] = tuple(self.state.getValue(self.key_of(key)))
+        if not self.whole and key not in self.held and self.state.containsKey((self.dossier, self.key_of(key))):
+            self.packed[key] = tuple(self.state.getValue((self.dossier, self.key_of(key))))
             self.held[key] = self.unpack(key, self.packed[key])
         return self.held.get(key, default)
 
@@ -56,10 +61,13 @@ class Kept:
             found = self.held[key] = value
         return found
 
+    def entries(self) -> list[tuple]:
+        return [(self.key_of(key), self.pack(value)) for key, value in self.held.items()]
+
     def write(self) -> None:
         for key, value in self.held.items():
             if (now := self.pack(value)) != self.packed.get(key):
-                self.state.updateValue(self.key_of(key), now)
+                self.state.updateValue((self.dossier, self.key_of(key)), now)
 
 
 def _person_row(p: Person) -> tuple:
@@ -76,37 +84,63 @@ def _numbers(text: str) -> set[int]:
     return {int(n) for n in text.split(",")}
 
 
+def _listed(numbers: set[int]) -> tuple:
+    return (",".join(map(str, sorted(numbers))),)
+
+
 class People(StatefulProcessor):
-    """Rows (dossier_id, seq, ``body``, mentions) in, the same with each mention's person out."""
+    """Rows (bucket, dossier_id, seq, ``body``, mentions) in, (dossier_id, seq, ``body``, people) out; mentions and people are JSON."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.surfaces = handle.getMapState("surfaces", "surface string", "number long")
-        self.keys = handle.getMapState("keys", "key string", "numbers string")
-        self.namesakes = handle.getMapState("namesakes", "last string", "numbers string")
-        self.people = handle.getMapState("people", "number long", PERSON)
-        self.count = handle.getValueState("count", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable", ignore_index=True)  # one dossier's documents of one batch
-        one = lambda x: (x,)
-        joined, listed = (lambda k: (" ".join(k),)), (lambda numbers: (",".join(map(str, sorted(numbers))),))
-        new = not self.count.exists()
+        self.dossiers = handle.getMapState("dossiers", "dossier string", "n long, tables string")
+        self.surfaces = handle.getMapState("surfaces", "dossier string, surface string", "number long")
+        self.keys = handle.getMapState("keys", "dossier string, key string", "numbers string")
+        self.namesakes = handle.getMapState("namesakes", "dossier string, last string", "numbers string")
+        self.people = handle.getMapState("people", "dossier string, number long", PERSON)
+
+    def _tables(self, name: str, stored: str | None, whole: bool) -> list[Kept]:
+        same, one = (lambda k: k), (lambda x: (x,))
         tables = [
-            Kept(self.people, one, _person_row, _person_of, new),
-            Kept(self.surfaces, one, one, lambda _, row: row[0], new),
-            Kept(self.keys, joined, listed, lambda _, row: _numbers(row[0]), new),
-            Kept(self.namesakes, one, listed, lambda _, row: _numbers(row[0]), new),
+            Kept(self.people, name, same, _person_row, _person_of, whole),
+            Kept(self.surfaces, name, same, one, lambda _, row: row[0], whole),
+            Kept(self.keys, name, " ".join, _listed, lambda _, row: _numbers(row[0]), whole),
+            Kept(self.namesakes, name, same, _listed, lambda _, row: _numbers(row[0]), whole),
         ]
-        dossier = Dossier(*tables, count=0 if new else self.count.get()[0])
+        for at, (table, entries) in enumerate(zip(tables, json.loads(stored) if stored else ())):
+            for text, row in entries:
+                key = tuple(text.split()) if at == 2 else text
+                table.held[key] = table.unpack(key, tuple(row))
+        return tables
+
+    def _write(self, name: str, dossier: Dossier, tables: list[Kept], before: tuple | None) -> None:
+        stored = None
+        if tables[0].whole and sum(len(t.held) for t in tables) <= SMALL:
+            stored = json.dumps([t.entries() for t in tables], ensure_ascii=False)
+        else:
+            for table in tables:
+                table.write()
+        if (dossier.count, stored) != before:
+            self.dossiers.updateValue((name,), (dossier.count, stored))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable", ignore_index=True)  # the documents of a group of dossiers in one batch
+        new = not self.dossiers.exists()
+        held: dict[str, tuple] = {}
         met = []
-        for mentions in batch["mentions"]:
-            ordered = sorted(mentions, key=lambda m: m["start"])
-            met.append([(m["surface"], dossier.meet(Form(m["surface"], m["form"]["gender"], m["form"]["bare"], tuple(m["form"]["key"]), int(m["form"]["full"]), int(m["form"]["capitals"]), int(m["form"]["all_capitals"])))) for m in ordered])
-        for table in tables:
-            table.write()
-        self.count.update((dossier.count,))
+        for dossier_id, mentions in zip(batch["dossier_id"].tolist(), batch["mentions"].tolist()):
+            name = "" if dossier_id is None else f"={dossier_id}"
+            if name not in held:
+                before = tuple(self.dossiers.getValue((name,))) if not new and self.dossiers.containsKey((name,)) else None
+                tables = self._tables(name, before and before[1], before is None or before[1] is not None)
+                held[name] = Dossier(*tables, count=before[0] if before else 0), tables, before
+            dossier = held[name][0]
+            forms = [(m["surface"], m["form"]) for m in sorted(json.loads(mentions), key=lambda m: m["start"])]
+            met.append((dossier, [(s, dossier.meet(Form(s, f.get("gender"), f["bare"], tuple(f["key"]), f["full"], f["capitals"], f["all_capitals"]))) for s, f in forms]))
+        for name, (dossier, tables, before) in held.items():
+            self._write(name, dossier, tables, before)
         # every person as the batch leaves them
-        batch["people"] = [[{"surface": s, "number": n, "placeholder": f"[PERSONNE_{n:03d}]", "canonical": dossier.people[n].canonical, "ambiguous": dossier.people[n].unclear} for s, n in row] for row in met]
+        told = lambda d, s, n: {"surface": s, "number": n, "placeholder": f"[PERSONNE_{n:03d}]", "canonical": d.people[n].canonical, "ambiguous": d.people[n].unclear}
+        batch["people"] = [json.dumps([told(d, s, n) for s, n in row], ensure_ascii=False) for d, row in met]
         yield batch[["dossier_id", "seq", "body", "people"]]
 
     def close(self) -> None:
@@ -128,10 +162,12 @@ def people_stream(docs: DataFrame, engines: Iterable[Engine], policies: DataFram
     names = F.filter("spans", lambda s: (s["type"] == "PERSONNE") & numbered)
     mentions = F.transform(names, lambda s: F.struct(s["start"].alias("start"), s["value"].alias("surface"), form_of(s["value"]).alias("form")))
     # the body passes through as one text
-    rows = found.select("dossier_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct("text", "spans")).alias("body"), mentions.alias("mentions"))
-    resolved = rows.groupBy("dossier_id").transformWithStateInPandas(People(), f"dossier_id string, seq long, body string, people array<struct<{MENTION.replace(' ', ':').replace(',:', ',')}>>", "Append", "None")
+    bucket = F.pmod(F.xxhash64("dossier_id"), F.lit(BUCKETS)).alias("bucket")
+    rows = found.select(bucket, "dossier_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct("text", "spans")).alias("body"), F.to_json(mentions).alias("mentions"))
+    resolved = rows.groupBy("bucket").transformWithStateInPandas(People(), "dossier_id string, seq long, body string, people string", "Append", "None")
     body = F.from_json("body", "text string, spans array<struct<type:string,start:int,end:int,score:double,value:string>>")
-    return resolved.withColumn("b", body).select("dossier_id", "seq", "b.text", "b.spans", "people")
+    people = F.from_json("people", f"array<struct<{MENTION.replace(' ', ':').replace(',:', ',')}>>")
+    return resolved.withColumn("b", body).select("dossier_id", "seq", "b.text", "b.spans", people.alias("people"))
 
 
 def people_of(batch: DataFrame) -> DataFrame:
